@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op6_packing
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op2_quality_rules
+from .token_files import op5_token_files
 
 OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_quality_classifier,
     op2_quality_rules,
+    op5_token_files,
+    op6_packing,
 )
 
 
