@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lm_scoring import op3_lm_scoring
 from .packing import op6_packing
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op2_quality_rules
+from .secret_scan import op4_secret_scan
 from .token_files import op5_token_files
 
 OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_quality_classifier,
     op2_quality_rules,
+    op3_lm_scoring,
+    op4_secret_scan,
     op5_token_files,
     op6_packing,
 )
