@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .lm_scoring import op3_lm_scoring
+from .mixing import OP7_SQL, op7_mixing
+from .near_dedup import op9_near_dedup
 from .packing import op6_packing
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op2_quality_rules
@@ -20,6 +22,8 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op4_secret_scan,
     op5_token_files,
     op6_packing,
+    op7_mixing,
+    op9_near_dedup,
 )
 
 
@@ -28,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": OP7_SQL}
