@@ -10,6 +10,7 @@ from .lm_scoring import op3_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op9_near_dedup
 from .packing import op6_packing
+from .permutation_index import op8_permutation_index
 from .quality_classifier import op1_quality_classifier
 from .quality_rules import op2_quality_rules
 from .secret_scan import op4_secret_scan
@@ -23,6 +24,7 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op5_token_files,
     op6_packing,
     op7_mixing,
+    op8_permutation_index,
     op9_near_dedup,
 )
 
