@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_layout import op10_html_extraction
 from .lm_scoring import op3_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op9_near_dedup
@@ -26,6 +27,7 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op7_mixing,
     op8_permutation_index,
     op9_near_dedup,
+    op10_html_extraction,
 )
 
 
