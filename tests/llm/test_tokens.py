@@ -16,7 +16,7 @@ from tidemark.llm.token_ids import WordEncoder
 
 SCHEMA = "doc_id long, text string, ids string, `start` long, open boolean"
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-ODD = ["", None, " \t\n", "a", "İx ſ ́e é \x1c  x y", "it's <|endoftext|> x<|startoftext|>y it'S", "漢字 ééé\x0bz", "w" * 700 + " end " + "w" * 700, "rep " * 9000]
+ODD = ["The the THE, tHe. A\u030a a\u030a. H\u0331, h\u0331 don't DON'T, x., 9. ,", "<|ENDOFTEXT|> A, b.", "", None, " \t\n", "a", "İx ſ ́e é \x1c  x y", "it's <|endoftext|> x<|startoftext|>y it'S", "漢字 ééé\x0bz", "w" * 700 + " end " + "w" * 700, "rep " * 9000]
 
 
 def whole(text, end):
@@ -46,7 +46,7 @@ def test_simple8b_rejects_other_bytes():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=80))
+@given(st.one_of(st.text(max_size=80), st.lists(st.sampled_from(["A", "a", "b.", ",", "1", "é", "ab###", "x'.", "9%", "!!", "|", "12.", "É", "ß.", "ö,", "»", "ÿ", "÷", "µ", "ñ", "\u0331", "H", "'S", " ", ".", "<|", "|>", "\u00a0"]), max_size=30).map("".join)))
 def test_words_encode_like_whole_texts(text):
     text = text.encode("utf-8", "ignore").decode()
     assert ENCODE(text.encode()).tolist() == whole(text, 0)[:-1]

@@ -73,13 +73,13 @@ class OpenBins:
 
 def _packed(tokenizer: str, end_id: int, capacity: int, open_bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, first = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        encode, first = encoder(tokenizer).each, TaskContext.get().partitionId() << 32
         bins, held = OpenBins(capacity, open_bins), {}
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    ids = np.append(encode(text or b""), np.uint32(end_id)).astype("<u4")
+                for doc_id, found in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         k, offset, closed = bins.place(len(part))

@@ -39,7 +39,7 @@ def segments(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = END
     ship(docs.sparkSession)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, shard = encoder(tokenizer).each, TaskContext.get().partitionId()
 
         def rows() -> Iterator[tuple]:
             held: list[np.ndarray] = []
@@ -50,8 +50,8 @@ def segments(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = END
                 return shard, segment, start, size, list(ids), [len(x) for x in held], simple8b.encode(np.concatenate(held))
 
             for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                    found = np.append(encode(text or b""), np.uint32(end_id))
+                for doc_id, without_end in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                    found = np.append(without_end, np.uint32(end_id))
                     if held and size + len(found) > SEGMENT_IDS:
                         yield row()
                         start, segment, size = start + size, segment + 1, 0

@@ -1,97 +1,142 @@
 """Token ids of whole texts by a public tokenizer, a word at a time.
 
 The tokenizer drops white space and never joins what white space separates, so a text's ids are its
-words' ids in a row. A word is encoded once per worker; later texts look it up. Tests hold the
-result against encoding whole texts.
+words' ids in a row. A word is encoded once per worker; later texts look it up. Two more of the
+tokenizer's rules make fewer words distinct: it ignores case, and it parts letters from the
+signs after them. Tests hold the result against encoding whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words that a worker remembers at most; then it begins anew.
-CACHED_WORDS = 1_000_000
-#: Longer words are encoded, but not remembered past the next text.
+CACHED_WORDS = 1_500_000
+#: Longer words are forgotten after the texts that hold them.
 LONGEST_CACHED = 256
-#: Words that one call of the tokenizer gets.
+#: Words that the tokenizer gets as one text, joined by a special token.
 _JOINED = 64
+#: Bytes of text that are looked up together, at least, unless there are no more.
+_TOGETHER = 1 << 20
+#: Words of small Latin letters (a-z and, in UTF-8, those of U+00DF to U+00FF) are as the tokenizer would make them.
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Such letters, or a digit, and then signs without an apostrophe: the tokenizer parts the two.
+_SIGNED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9])([]!\"#$%&()*+,./:;=>?@[^_`{}~|-]+)")
+
+
+def _folded(text: bytes) -> bytes:
+    """The text with A-Z lowered where that changes no id: not beside combining marks or special tokens."""
+    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 class WordEncoder:
     def __init__(self, file: str = TOKENIZER_FILE):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.end = self.tokenizer.token_to_id("<|endoftext|>")
+        # for words that need neither normalising nor splitting
+        self.simple = Tokenizer.from_file(public_tokenizers.path(file))
+        self.simple.normalizer = normalizers.Sequence([])
+        self.simple.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.joint = self.tokenizer.token_to_id("<|endoftext|>")
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.numbered = 0
         self.first = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
-        self.numbered = 0
         self.long: list[bytes] = []
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit numbers, without special tokens added."""
-        if self.long:
-            self._drop_long()
-        if len(self.number) > CACHED_WORDS:
-            self._forget()
-        words = text.split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        number = self.number
-        try:
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in number])
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        length = self.length[at]
-        ends = np.cumsum(length)
-        return self.flat[np.repeat(self.first[at] - ends + length, length) + np.arange(ends[-1])]
-
-    def _drop_long(self) -> None:
-        """Forgets the long words of the last text; their ids go with the next _forget."""
+        return next(self.each([text]))
+
+    def each(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; null is the empty text."""
+        held: list[list[bytes]] = []
+        size = 0
+        for t in texts:
+            held.append(_folded(t).split() if t else [])
+            size += len(t or b"")
+            if size >= _TOGETHER:
+                yield from self._looked_up(held)
+                held, size = [], 0
+        if held:
+            yield from self._looked_up(held)
+
+    def _looked_up(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
         for w in self.long:
             del self.number[w]
         self.long = []
-        if self.used > 8 * CACHED_WORDS:
+        if len(self.number) > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
             self._forget()
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        found: list[np.ndarray] = []
-        joint = "<|endoftext|>"
-        texts = [joint.join(w.decode() for w in plain[i : i + _JOINED]) + joint for i in range(0, len(plain), _JOINED)]
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.asarray(e.ids, np.uint32)
-            found += np.split(ids, np.flatnonzero(ids == self.end) + 1)[:-1]
-        found = [x[:-1] for x in found]
-        special = [w for w in words if b"<|" in w]  # these may hold the joint themselves
-        found += [np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32) for w in special]
+        new = set(chain.from_iterable(texts)).difference(self.number)
+        if new:
+            self._learn(new)
+        counts = [len(words) for words in texts]
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(counts))
+        length = self.length[at]
+        ends = np.cumsum(length)
+        ids = self.flat[np.repeat(self.first[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[np.cumsum([0, *counts])]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield ids[a:b]
+
+    def _learn(self, new: set[bytes]) -> None:
+        signed = [m for m in map(_SIGNED.fullmatch, new) if m]
+        new.difference_update([m[0] for m in signed])
+        new.update(part for m in signed for part in m.groups() if part not in self.number)
+        special = [w for w in new if b"<|" in w]  # these may hold the joint themselves
+        new.difference_update(special)
+        simple = [w for w in new if _SMALL.fullmatch(w)]
+        new.difference_update(simple)
+        self._encode(simple, self.simple)
+        self._encode(list(new), self.tokenizer)
+        for w in special:
+            ids = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+            self._add([w], ids, np.zeros(1, np.int64), np.asarray([len(ids)]))
+        if signed:
+            pairs = np.fromiter((self.number[part] for m in signed for part in m.groups()), np.int64, 2 * len(signed))
+            length = self.length[pairs]
+            ends = np.cumsum(length)
+            ids = self.flat[np.repeat(self.first[pairs] - (ends - length), length) + np.arange(ends[-1])]
+            both = length.reshape(-1, 2).sum(axis=1)
+            self._add([m[0] for m in signed], ids, np.cumsum(both) - both, both)
+
+    def _encode(self, words: list[bytes], tokenizer: Tokenizer) -> None:
+        text = "<|endoftext|>"
+        joined = [text.join([w.decode() for w in words[i : i + _JOINED]]) + text for i in range(0, len(words), _JOINED)]
+        found = [np.asarray(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        if found:
+            ids = np.concatenate(found)
+            ends = np.flatnonzero(ids == self.joint)
+            first = np.append(0, ends[:-1] + 1)
+            self._add(words, ids, first, ends - first)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
         n, more = self.numbered, len(words)
-        ids = np.concatenate(found)
         if n + more > len(self.first):
             self.first, self.length = (np.resize(x, 2 * (n + more)) for x in (self.first, self.length))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        size = np.fromiter(map(len, found), np.int64, more)
-        self.length[n : n + more] = size
-        self.first[n : n + more] = self.used + np.cumsum(size) - size
+        self.first[n : n + more] = self.used + first
+        self.length[n : n + more] = length
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         self.numbered += more
-        order = plain + special
-        self.number.update(zip(order, range(n, n + more), strict=True))
-        self.long = [w for w in order if len(w) > LONGEST_CACHED]
+        self.number.update(zip(words, range(n, n + more), strict=True))
+        self.long += [w for w in words if len(w) > LONGEST_CACHED]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
