@@ -121,3 +121,19 @@ def test_calibration_run_and_summary(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "runs.csv")).count() == runs.count()
     with pytest.raises(ValueError):
         calibrate.summarize(runs.drop("alert"))
+
+
+def test_views_of_a_result(spark):
+    from tidemark import analyze
+    from tidemark.plans.views import alerts_frame, checks_frame, projected, visible
+
+    r, c = (spark.createDataFrame([(float(k + s), "ab"[k % 2]) for k in range(30)], "v double, g string") for s in (0, 40))
+    result = analyze(r, c)
+    checks = checks_frame(spark, result)
+    assert [x.position for x in checks.orderBy("position").collect()] == list(range(checks.count()))
+    bad = visible(checks, ["warning"], ["v"])
+    assert {x.check for x in bad.collect()} == {"ks"} and "p_value" in bad.columns
+    assert "reason" not in visible(checks, ["ok"], ["g"]).columns
+    named = projected(bad, {"feature": "column", "status": "state"}, {"status": {"warning": "look"}})
+    assert [tuple(x) for x in named.collect()] == [("v", "look")]
+    assert alerts_frame(spark, result).count() == result["summary"]["n_alerts"] > 0

@@ -125,6 +125,14 @@ class Store:
         runs = runs.where(F.col("status") == status) if status else runs
         return runs.orderBy(F.desc("created_at"), F.desc("run_id")).offset(offset).limit(limit)
 
+    def listing(self, table: str, **equal: str) -> DataFrame:
+        """Records as they are now, oldest first, by creation and key; only those whose columns equal what is given."""
+        rows = self.latest(table)
+        for name, value in equal.items():
+            rows = rows.where(F.col(name) == value)
+        created = next(c for c in ("created_at", "received_at", "committed_at", "number") if c in rows.columns)
+        return rows.orderBy(created, TABLES[table][1]).drop("version")
+
     def count_events(self, state: str) -> int:
         return self.latest("events").where(F.col("state") == state).count()
 
