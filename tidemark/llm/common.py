@@ -81,7 +81,7 @@ def words_of(text: str | None) -> list[bytes]:
 class HashCache(dict):
     """Word to 64-bit hash, computed once per worker; emptied when it grows past `limit` words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
