@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_layout import op10_html_extraction
 from .lm_scoring import op3_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op6_packing
 from .permutation_index import op8_permutation_index
 from .quality_classifier import op1_quality_classifier
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL}
