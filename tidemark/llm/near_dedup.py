@@ -261,7 +261,8 @@ def link(docs: DataFrame) -> DataFrame:
         parts = met.join(sized.where("not fits").select("class", "first_id"), "class")
         units = units.unionByName(parts.select(F.col("node").alias("unit"), "class", "first_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    with_text = units.join(texts, F.col("first_id").eqNullSafe(F.col("_id"))).select("unit", "class", "text")
+    # units grow with the corpus, so they are never broadcast: one plan at every size
+    with_text = units.hint("merge").join(texts, F.col("first_id").eqNullSafe(F.col("_id"))).select("unit", "class", "text")
     confirmed = with_text.repartition("unit").sortWithinPartitions("unit").mapInArrow(_confirmed, "a binary, b binary")
     if split:
         joined = components(confirmed, scratch, "links").select(F.col("node").alias("class"), "component")
