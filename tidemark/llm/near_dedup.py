@@ -247,6 +247,7 @@ def link(docs: DataFrame) -> DataFrame:
     classes = scratch.write(by_class, "classes")
 
     met = scratch.write(leaves(classes, scratch), "met")
+    scratch.drop(*(f"{kind}{level}" for kind in ("level", "sizes") for level in range(LEVELS)))
     compared = met.join(classes.select("class", "signature"), "class").select("node", "class", "signature")
     stars = compared.repartition("node").sortWithinPartitions("node").mapInArrow(_stars, "a binary, b binary")
     groups = components(stars, scratch, "candidates")
@@ -274,6 +275,7 @@ def link(docs: DataFrame) -> DataFrame:
     named = joined.join(members.select("class", "first_id"), "class")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of_class = scratch.write(named.join(least, "component").select("class", "component_id"), "of_class")
+    scratch.drop("met", "members", "sized", "links", "candidates-stars", "links-stars")
     ids = classes.select("class", "first_id").join(of_class, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id"))
     found = with_words.select("doc_id", "n_shingles", "class").join(ids, "class")
     alone = sketched.where("class is null").select("class", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
