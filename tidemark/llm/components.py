@@ -22,6 +22,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        low = scratch.write(low, f"{name}-low")  # apart from the edges' shuffle, so that Spark may split a node of many edges
         large = both.where("b > a").join(low, "a").select(F.col("b"), F.col("low").alias("a"))
         current = scratch.write(_tidy(large), f"{name}-{step + 1}")
         # now every edge points from a larger node b to a smaller one a
@@ -37,7 +38,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         before = tuple(seen)
     stars = current.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     roots = current.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return scratch.write(stars.unionByName(roots), f"{name}-stars")
+    found = scratch.write(stars.unionByName(roots), f"{name}-stars")
+    scratch.drop(f"{name}-{step}", f"{name}-low")
+    return found
 
 
 def _tidy(edges: DataFrame) -> DataFrame:

@@ -255,7 +255,9 @@ def link(docs: DataFrame) -> DataFrame:
     members = scratch.write(groups.join(classes.select(F.col("class").alias("node"), "first_id", "n_shingles"), "node").withColumnRenamed("node", "class"), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     fits = (F.col("n") <= GROUP_CLASSES) & (F.col("shingles") <= GROUP_SHINGLES)
-    sized = scratch.write(members.join(sizes.select("component", fits.alias("fits")), "component"), "sized")
+    # written before they are joined: a join of two scans can be split where one group is large
+    fitting = scratch.write(sizes.select("component", fits.alias("fits")), "fitting")
+    sized = scratch.write(members.join(fitting, "component"), "sized")
     units = sized.where("fits").select(F.xxhash64("component").alias("unit"), "class", "first_id")
     split = not sized.where("not fits").isEmpty()
     if split:
@@ -273,10 +275,12 @@ def link(docs: DataFrame) -> DataFrame:
         joined = stars.select(F.col("b").alias("class"), F.col("a").alias("component")).unionByName(roots)
 
     named = joined.join(members.select("class", "first_id"), "class")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = scratch.write(named, "named")
+    least = scratch.write(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
     of_class = scratch.write(named.join(least, "component").select("class", "component_id"), "of_class")
-    scratch.drop("met", "members", "sized", "links", "candidates-stars", "links-stars")
+    scratch.drop("met", "members", "fitting", "sized", "links", "candidates-stars", "links-stars", "named", "least")
     ids = classes.select("class", "first_id").join(of_class, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id"))
+    ids = scratch.write(ids, "ids")
     found = with_words.select("doc_id", "n_shingles", "class").join(ids, "class")
     alone = sketched.where("class is null").select("class", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select("doc_id", "n_shingles", "class", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
