@@ -13,7 +13,7 @@ import math
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import default_config, validate_config
@@ -250,10 +250,11 @@ def _chi2_check(found: Mapping[str, Any] | None, counts: tuple[int, int], detail
 def _category_names(frame: DataFrame, features: list[str]) -> dict[str, dict[str, list[str]]]:
     """Names of new and disappeared categories, up to LISTED per feature and change."""
     out: dict[str, dict[str, list[str]]] = {n: {"new": [], "disappeared": []} for n in features}
-    for n in features:
-        for change, names in out[n].items():
-            found = cat.new_and_gone(frame).where((F.col("feature") == n) & (F.col("change") == change))
-            names.extend(r["cell"] for r in found.orderBy("cell").limit(LISTED).collect())
+    place = F.row_number().over(Window.partitionBy("feature", "change").orderBy("cell"))  # Spark keeps the first LISTED before it shuffles
+    listed = cat.new_and_gone(frame).withColumn("place", place).where(F.col("place") <= LISTED)
+    for r in listed.orderBy("feature", "change", "place").collect():
+        if r["feature"] in out:
+            out[r["feature"]][r["change"]].append(r["cell"])
     return out
 
 
@@ -282,7 +283,7 @@ def analyze_drift(reference: DataFrame, current: DataFrame, config: Mapping[str,
             category_stability = _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
             if "chi2" in methods:
                 chi, changes = _rows(cat.chi_square(frame)), _rows(cat.category_changes(frame))
-                names = _category_names(frame, [n for n in categories if n in changes and changes[n]["n_new"] + changes[n]["n_gone"]])
+                names = _category_names(frame, categories)
         finally:
             frame.unpersist()
     features: dict[str, dict[str, Any]] = {}

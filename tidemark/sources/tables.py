@@ -37,12 +37,15 @@ def table_format(path: object) -> str:
     return extension
 
 
-def load_table(spark: SparkSession, path: str | os.PathLike[str]) -> DataFrame:
-    """A CSV or Parquet table with NaN as null; CSV columns are doubles, whole numbers, booleans or text."""
+def load_table(spark: SparkSession, path: str | os.PathLike[str], multi_line: bool = False) -> DataFrame:
+    """A CSV or Parquet table with NaN as null; CSV columns are doubles, whole numbers, booleans or text.
+
+    multi_line: quoted CSV values may hold line breaks; a file is then read by one task.
+    """
     extension, name = table_format(path), os.fspath(path)
     if extension == ".parquet":
         return canonical(spark.read.parquet(name))
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(name)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(name)
     cleaned = raw.select(*[F.when(~column(c).isin(*MISSING_TEXTS), column(c)).alias(c) for c in raw.columns])
     whole, real = r"^\s*[+-]?\d+\s*$", r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*$"
     test = lambda c, p: F.bool_and(column(c).rlike(p))
