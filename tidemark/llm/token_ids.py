@@ -28,10 +28,9 @@ LONGEST_CACHED = 256
 _JOINED = 64
 #: Bytes of text that are looked up together, at least, unless there are no more.
 _TOGETHER = 1 << 20
-#: Words of small Latin letters (a-z and, in UTF-8, those of U+00DF to U+00FF) are as the tokenizer would make them.
-_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-#: Such letters, or a digit, and then signs without an apostrophe: the tokenizer parts the two.
-_SIGNED = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9])([]!\"#$%&()*+,./:;=>?@[^_`{}~|-]+)")
+#: Small Latin letters (a-z and, in UTF-8, those of U+00DF to U+00FF) or a digit, then signs without an
+#: apostrophe. The tokenizer parts the two, and takes each as it is.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9])?([]!\"#$%&()*+,./:;=>?@[^_`{}~|-]+)?")
 
 
 def _folded(text: bytes) -> bytes:
@@ -39,6 +38,21 @@ def _folded(text: bytes) -> bytes:
     return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
+class _Numbers(dict):
+    """Words to numbers; a word that is asked for first gets the next number and is noted as new."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.given = 0
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.given
+        self.given += 1
+        self.new.append(word)
+        return number
+
+
 class WordEncoder:
     def __init__(self, file: str = TOKENIZER_FILE):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
@@ -50,10 +64,9 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.numbered = 0
-        self.first = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int64)
+        self.number = _Numbers()
+        self.first = np.zeros(1024, np.int32)
+        self.length = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
         self.long: list[bytes] = []
@@ -81,38 +94,49 @@ class WordEncoder:
         self.long = []
         if len(self.number) > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
             self._forget()
-        new = set(chain.from_iterable(texts)).difference(self.number)
-        if new:
-            self._learn(new)
         counts = [len(words) for words in texts]
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int64, sum(counts))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int32, sum(counts))
+        if self.number.new:
+            self._learn()
         length = self.length[at]
-        ends = np.cumsum(length)
-        ids = self.flat[np.repeat(self.first[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(length, dtype=np.int32)
+        ids = self.flat[np.repeat(self.first[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         cuts = np.append(0, ends)[np.cumsum([0, *counts])]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield ids[a:b]
 
-    def _learn(self, new: set[bytes]) -> None:
-        signed = [m for m in map(_SIGNED.fullmatch, new) if m]
-        new.difference_update([m[0] for m in signed])
-        new.update(part for m in signed for part in m.groups() if part not in self.number)
-        special = [w for w in new if b"<|" in w]  # these may hold the joint themselves
-        new.difference_update(special)
-        simple = [w for w in new if _SMALL.fullmatch(w)]
-        new.difference_update(simple)
-        self._encode(simple, self.simple)
-        self._encode(list(new), self.tokenizer)
-        for w in special:
-            ids = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
-            self._add([w], ids, np.zeros(1, np.int64), np.asarray([len(ids)]))
+    def _learn(self) -> None:
+        """Gives all new words, and the parts that they are made of, their ids."""
+        plain: list[bytes] = []
+        other: list[bytes] = []
+        signed: list[tuple[bytes, bytes, bytes]] = []
+        new, number = self.number.new, self.number
+        for w in new:  # parts that are new come to its end
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                other.append(w)
+            elif m.lastindex == 2 and m[1]:
+                signed.append((w, m[1], m[2]))
+                number[m[1]], number[m[2]]
+            else:
+                plain.append(w)
+        if number.given > len(self.first):
+            self.first, self.length = (np.resize(x, 2 * number.given) for x in (self.first, self.length))
+        self._encode(plain, self.simple)
+        self._encode([w for w in other if b"<|" not in w], self.tokenizer)
+        for w in other:
+            if b"<|" in w:  # it may hold the joint itself
+                ids = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
+                self._add([w], ids, np.zeros(1, np.int64), np.asarray([len(ids)]))
         if signed:
-            pairs = np.fromiter((self.number[part] for m in signed for part in m.groups()), np.int64, 2 * len(signed))
+            pairs = np.fromiter((number[part] for _, *parts in signed for part in parts), np.int64, 2 * len(signed))
             length = self.length[pairs]
             ends = np.cumsum(length)
             ids = self.flat[np.repeat(self.first[pairs] - (ends - length), length) + np.arange(ends[-1])]
             both = length.reshape(-1, 2).sum(axis=1)
-            self._add([m[0] for m in signed], ids, np.cumsum(both) - both, both)
+            self._add([w for w, _, _ in signed], ids, np.cumsum(both) - both, both)
+        self.long = [w for w in new if len(w) > LONGEST_CACHED]
+        new.clear()
 
     def _encode(self, words: list[bytes], tokenizer: Tokenizer) -> None:
         text = "<|endoftext|>"
@@ -125,18 +149,13 @@ class WordEncoder:
             self._add(words, ids, first, ends - first)
 
     def _add(self, words: list[bytes], ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
-        n, more = self.numbered, len(words)
-        if n + more > len(self.first):
-            self.first, self.length = (np.resize(x, 2 * (n + more)) for x in (self.first, self.length))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.first[n : n + more] = self.used + first
-        self.length[n : n + more] = length
+        self.first[at] = self.used + first
+        self.length[at] = length
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.numbered += more
-        self.number.update(zip(words, range(n, n + more), strict=True))
-        self.long += [w for w in words if len(w) > LONGEST_CACHED]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
