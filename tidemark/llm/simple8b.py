@@ -43,6 +43,25 @@ def _choose(values: np.ndarray) -> np.ndarray:
     return best
 
 
+def _visited(steps: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Where words begin: the positions that jumps by `steps` reach from the blocks' firsts.
+
+    All jumps are followed at once: the set reached so far doubles its number of jumps every round.
+    """
+    n = len(steps)
+    at = np.arange(n, dtype=np.int32)
+    jump = np.append(np.minimum(at + steps, (at // BLOCK + 1) * BLOCK), n).clip(max=n)
+    seen = np.zeros(n + 1, bool)
+    seen[firsts] = True
+    count = len(firsts)
+    while True:
+        seen[jump[np.flatnonzero(seen)]] = True
+        new = np.count_nonzero(seen)
+        if new == count:
+            return np.flatnonzero(seen[:n])
+        count, jump = new, jump[jump]
+
+
 def encode(numbers: np.ndarray) -> bytes:
     n = len(numbers)
     blocks = -(-n // BLOCK)
@@ -51,19 +70,12 @@ def encode(numbers: np.ndarray) -> bytes:
     whole[:n] = numbers
     padded[:, :BLOCK] = whole.reshape(blocks, BLOCK)
     chosen = _choose(padded)
-    count_of = np.asarray([*COUNTS, 0, 1], np.int64)
-    at: list[int] = []
-    first: list[int] = []
-    for b in range(blocks):
-        steps, pos, end = count_of[chosen[b]].tolist(), 0, min(BLOCK, n - b * BLOCK)
-        first.append(len(at))
-        base = b * (BLOCK + max(COUNTS))
-        while pos < end:
-            at.append(base + pos)
-            pos += steps[pos]
-    places = np.asarray(at, np.int64)
-    row, col = np.divmod(places, BLOCK + max(COUNTS))
-    selector = chosen[row, col] if n else np.zeros(0, np.uint8)
+    steps = np.asarray([*COUNTS, 0, 1], np.int32)[chosen].ravel()[:n]
+    firsts = np.arange(0, n, BLOCK)
+    starts = _visited(steps, firsts)
+    row, col = np.divmod(starts, BLOCK)
+    places = row * (BLOCK + max(COUNTS)) + col
+    selector = chosen[row, col]
     escaped = selector == ESCAPE
     slot = np.arange(len(places)) + np.cumsum(escaped) - escaped  # an escape takes two words
     words = np.zeros(len(places) + int(escaped.sum()), np.uint64)
@@ -78,8 +90,7 @@ def encode(numbers: np.ndarray) -> bytes:
         for j in range(COUNTS[k]):
             packed |= flat[places[mine] + j] << np.uint64(j * BITS[k])
         words[slot[mine]] = packed
-    starts = np.asarray(first, np.int64)
-    offsets = (slot[starts] if blocks else starts).astype("<u4")
+    offsets = slot[np.searchsorted(starts, firsts)].astype("<u4")
     head = np.asarray([n, blocks, len(words)], "<u4")
     return MAGIC + head.tobytes() + offsets.tobytes() + words.astype("<u8").tobytes()
 
