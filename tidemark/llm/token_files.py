@@ -30,8 +30,6 @@ END_ID = 2
 SEGMENT_IDS = 1 << 16
 _SEGMENTS = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 _SEGMENTS_DDL = "shard int, segment int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
-_DOCS = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-_DOCS_DDL = "shard int, doc_id long, place long, n_tokens long, ids binary"
 
 
 def segments(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = END_ID) -> DataFrame:
@@ -76,32 +74,39 @@ def segments(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = END
 
 def documents(files: DataFrame) -> DataFrame:
     """Each document of the files: doc_id, start, n_tokens, and ids as little-endian unsigned 32-bit numbers."""
+    return _read(files, "ids")
+
+
+def _read(files: DataFrame, what: str) -> DataFrame:
     ship(files.sparkSession)
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for shard, start, doc_ids, lengths, payload in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                    ids = simple8b.decode(payload).astype("<u4")
-                    at = 0
-                    for doc_id, n in zip(doc_ids, lengths, strict=True):
-                        yield shard, doc_id, start + at, n, ids[at : at + n].tobytes()
-                        at += n
-
-        yield from record_batches(rows(), _DOCS, 1024)
+        for b in batches:
+            lists = zip(b.column(2), b.column(3), strict=True)
+            for shard, start, payload, (doc_ids, lengths) in zip(*(b.column(k).to_pylist() for k in (0, 1, 4)), lists, strict=True):
+                ids = simple8b.decode(payload).astype("<u4")
+                n = lengths.values.to_numpy()
+                ends = np.append(0, np.cumsum(n))
+                columns = [pa.array(np.full(len(n), shard, np.int32)), doc_ids.values, pa.array(start + ends[:-1]), lengths.values]
+                if what == "ids":
+                    last = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                else:
+                    last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, last], ["shard", "doc_id", "place", "n_tokens", what])
 
     # one row per shard, that is at most one per shuffle partition of the writing job
     manifest = files.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     first = manifest.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("first"))
-    found = files.select("shard", "start", "doc_ids", "lengths", "payload").mapInArrow(unpacked, _DOCS_DDL)
-    return found.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids")
+    found = files.select("shard", "start", "doc_ids", "lengths", "payload").mapInArrow(unpacked, f"shard int, doc_id long, place long, n_tokens long, {'ids binary' if what == 'ids' else 'ids_crc32 long'}")
+    return found.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", what)
 
 
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
+def digests(files: DataFrame) -> DataFrame:
+    """Like `documents`, with ids_crc32 in place of the ids, which then need not leave the task that reads them."""
+    return _read(files, "ids_crc32")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "tokens")
     files = scratch.write(segments(table(spark, sf_dir, "documents")), "files")
-    return documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return digests(files).select("doc_id", "start", "n_tokens", "ids_crc32")
