@@ -26,9 +26,12 @@ def quantile_edges(long: DataFrame, n_bins: int = 10) -> DataFrame:
 def numeric_cells(long: DataFrame, n_bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """(feature, cell, n_reference, n_current, p_reference, p_current): all cells, empty ones too.
 
-    Cell k holds values from edge k - 1 up to, but not at, edge k.
+    Cell k holds values from edge k - 1 up to, but not at, edge k. Edges that are not given are computed
+    once and held as n_bins - 1 numbers a feature.
     """
-    edges = quantile_edges(long, n_bins) if edges is None else edges
+    if edges is None:
+        rows = [tuple(r) for r in quantile_edges(long, n_bins).collect()]
+        edges = long.sparkSession.createDataFrame(rows, "feature string, constant double, edges array<double>")
     cell = F.when(F.col("constant").isNull(), F.size(F.filter("edges", lambda e: e <= F.col("v")))).otherwise(F.signum(F.col("v") - F.col("constant")).cast("int") + 1)
     counted = long.join(F.broadcast(edges), "feature").groupBy("feature", cell.alias("cell")).agg(
         F.count(F.when(F.col("is_reference"), 1)).alias("n_reference"), F.count(F.when(~F.col("is_reference"), 1)).alias("n_current")

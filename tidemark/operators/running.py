@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def running_sums(frame: DataFrame, group: str, order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:

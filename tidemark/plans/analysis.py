@@ -10,7 +10,8 @@ from __future__ import annotations
 import copy
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
@@ -36,6 +37,12 @@ def _rows(frame: DataFrame) -> dict[str, dict[str, Any]]:
     return {r["feature"]: r.asDict(recursive=True) for r in frame.collect()}
 
 
+def together(*calls: Callable[[], Any]) -> list[Any]:
+    """Runs independent jobs at once: small ones leave most cores idle, and Spark takes jobs from many threads."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
+
+
 # ---- quality ---------------------------------------------------------------------------------------
 
 
@@ -93,8 +100,8 @@ def summarize_quality(checks: list[dict[str, Any]]) -> tuple[str, str | None]:
     return "ok", None
 
 
-def check_quality(reference: DataFrame, current: DataFrame, config: Mapping[str, Any], schema: Mapping[str, Any] | None = None, empty: Mapping[str, bool] | None = None, profiles: Mapping[str, Any] | None = None) -> dict[str, Any]:
-    """The quality section. What a caller knows already (schema, empty, profiles) is not computed again."""
+def check_quality(reference: DataFrame, current: DataFrame, config: Mapping[str, Any], schema: Mapping[str, Any] | None = None, empty: Mapping[str, bool] | None = None, profiles: Mapping[str, Any] | None = None, repeated: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    """The quality section. What a caller knows already (schema, empty, profiles, repeated) is not computed again."""
     require_frames(reference, current)
     config = validate_config(config)
     frames = dict(zip(SIDES, (reference, current), strict=True))
@@ -102,18 +109,19 @@ def check_quality(reference: DataFrame, current: DataFrame, config: Mapping[str,
     schema = validate_schema(reference, current, config["schema"], empty) if schema is None else schema
     if any(empty.values()):
         return {"status": "error", "dataset_checks": [], "feature_checks": {}, "reason": f"empty tables: {', '.join(s for s in SIDES if empty[s])}"}
+    specs = {n: config["schema"]["features"][n] for n in schema["valid_features"]}
+    profiles = profiles_of(frames, specs) if profiles is None else profiles
+    repeated = repeated_rows(frames) if repeated is None else repeated
     limits, dataset = config["quality"], []
-    for side, frame in frames.items():
+    for side in SIDES:
         name, limit = f"{side}_duplicate_fraction", limits["max_duplicate_fraction"]
-        if len(set(frame.columns)) < len(frame.columns):
+        d = repeated[side]
+        if d is None:
             dataset.append(check_result(name, "error", threshold=limit, reason=f"{side} repeats column names, so its rows cannot be compared", details={"dataset": side}))
             continue
-        d = duplicates(frame).first()
         alert = exceeds(d["duplicate_fraction"], limit)
         details = {"dataset": side, "row_count": d["rows"], "duplicate_count": d["duplicate_count"], "definition": "rows after the first of equal ones"}
         dataset.append(check_result(name, "warning" if alert else "ok", value=d["duplicate_fraction"], threshold=limit, alert=alert, reason=f"too many duplicate rows in {side}" if alert else None, details=details))
-    specs = {n: config["schema"]["features"][n] for n in schema["valid_features"]}
-    profiles = profiles_of(frames, specs) if profiles is None else profiles
     features = {n: feature_checks(n, spec, {s: profiles[s][n] for s in SIDES}, limits) for n, spec in specs.items()}
     status, reason = summarize_quality(dataset + [c for x in features.values() for c in x])
     return {"status": status, "dataset_checks": dataset, "feature_checks": features, "reason": reason}
@@ -121,7 +129,14 @@ def check_quality(reference: DataFrame, current: DataFrame, config: Mapping[str,
 
 def profiles_of(frames: Mapping[str, DataFrame], specs: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
     """By side and feature, the counts of operators.quality.profile: one job a side."""
-    return {s: _rows(profile(f.select(*_selected(f, specs)), specs)) if specs else {} for s, f in frames.items()}
+    found = together(*[lambda f=f: _rows(profile(f.select(*_selected(f, specs)), specs)) if specs else {} for f in frames.values()])
+    return dict(zip(frames, found, strict=True))
+
+
+def repeated_rows(frames: Mapping[str, DataFrame]) -> dict[str, dict[str, Any] | None]:
+    """By side, the row of operators.quality.duplicates; None where column names repeat."""
+    found = together(*[lambda f=f: None if len(set(f.columns)) < len(f.columns) else duplicates(f).first().asDict() for f in frames.values()])
+    return dict(zip(frames, found, strict=True))
 
 
 def _selected(frame: DataFrame, names: Mapping[str, Any]) -> list:
@@ -258,34 +273,50 @@ def _category_names(frame: DataFrame, features: list[str]) -> dict[str, dict[str
     return out
 
 
-def analyze_drift(reference: DataFrame, current: DataFrame, config: Mapping[str, Any], schema: Mapping[str, Any], profiles: Mapping[str, Mapping[str, Any]]) -> dict[str, Any]:
-    """The drift section; profiles hold rows and missing counts by side and feature."""
-    drift, specs = config["drift"], config["schema"]["features"]
-    valid = [n for n in specs if n in schema["valid_features"]]
-    numbers, categories = ([n for n in valid if specs[n]["kind"] == k] for k in ("numeric", "categorical"))
-    distances = numeric_stability = edges = chi = changes = category_stability = names = {}
-    methods = set(drift["numeric_methods"]) if numbers else set()
+def numeric_statistics(reference: DataFrame, current: DataFrame, features: list[str], drift: Mapping[str, Any]) -> tuple[dict, dict, dict]:
+    """By feature: distances, PSI and JS, and the edges of the bins."""
+    methods = set(drift["numeric_methods"]) if features else set()
+    distances: dict = {}
+    stable: dict = {}
+    edges: dict = {}
     if methods:
-        long = numeric_long(reference, current, numbers).persist()
+        long = numeric_long(reference, current, features).persist()
         try:
             if methods & {"ks", "wasserstein"}:
                 distances = _rows(ks_wasserstein(long))
             if methods & {"psi", "js"}:
                 edges = _rows(cells.quantile_edges(long, drift["n_bins"]))
                 frame = cells.numeric_cells(long, drift["n_bins"], _edges_frame(long, edges))
-                numeric_stability = _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+                stable = _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
         finally:
             long.unpersist()
-    methods = set(drift["categorical_methods"]) if categories else set()
-    if methods:
-        frame = cells.category_cells(category_long(reference, current, categories)).persist()
-        try:
-            category_stability = _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
-            if "chi2" in methods:
-                chi, changes = _rows(cat.chi_square(frame)), _rows(cat.category_changes(frame))
-                names = _category_names(frame, categories)
-        finally:
-            frame.unpersist()
+    return distances, stable, edges
+
+
+def category_statistics(reference: DataFrame, current: DataFrame, features: list[str], drift: Mapping[str, Any]) -> tuple[dict, dict, dict, dict]:
+    """By feature: PSI and JS, chi-square, changes of categories, and the names of new and disappeared ones."""
+    if not features or not drift["categorical_methods"]:
+        return {}, {}, {}, {}
+    frame = cells.category_cells(category_long(reference, current, features)).persist()
+    try:
+        stable = _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+        if "chi2" not in drift["categorical_methods"]:
+            return stable, {}, {}, {}
+        return stable, _rows(cat.chi_square(frame)), _rows(cat.category_changes(frame)), _category_names(frame, features)
+    finally:
+        frame.unpersist()
+
+
+def valid_by_kind(config: Mapping[str, Any], schema: Mapping[str, Any], kind: str) -> list[str]:
+    return [n for n, s in config["schema"]["features"].items() if n in schema["valid_features"] and s["kind"] == kind]
+
+
+def analyze_drift(config: Mapping[str, Any], schema: Mapping[str, Any], profiles: Mapping[str, Mapping[str, Any]], numeric: tuple, category: tuple) -> dict[str, Any]:
+    """The drift section, from profiles by side and feature, numeric_statistics and category_statistics."""
+    drift, specs = config["drift"], config["schema"]["features"]
+    valid = set(schema["valid_features"])
+    distances, numeric_stability, edges = numeric
+    category_stability, chi, changes, names = category
     features: dict[str, dict[str, Any]] = {}
     for name, spec in specs.items():
         base = {"feature_type": spec["kind"], "status": "skipped", "n_reference_valid": 0, "n_current_valid": 0, "checks": {}, "alert": None, "reason": None}
@@ -384,12 +415,18 @@ def analyze(reference: DataFrame, current: DataFrame, config: Mapping[str, Any]
     require_frames(reference, current)
     config = validate_config(default_config(reference) if config is None else config)
     frames = dict(zip(SIDES, (reference, current), strict=True))
-    empty = {s: is_empty(f) for s, f in frames.items()}
+    empty = dict(zip(SIDES, together(*[lambda f=f: is_empty(f) for f in frames.values()]), strict=True))
     schema = validate_schema(reference, current, config["schema"], empty)
     specs = {n: config["schema"]["features"][n] for n in schema["valid_features"]}
-    profiles = profiles_of(frames, specs)
-    quality = check_quality(reference, current, config, schema, empty, profiles)
-    drift = analyze_drift(reference, current, config, schema, profiles)
+    by_kind = {k: valid_by_kind(config, schema, k) for k in ("numeric", "categorical")}
+    profiles, repeated, numeric, category = together(
+        lambda: profiles_of(frames, specs),
+        lambda: dict.fromkeys(SIDES) if any(empty.values()) else repeated_rows(frames),
+        lambda: numeric_statistics(reference, current, by_kind["numeric"], config["drift"]),
+        lambda: category_statistics(reference, current, by_kind["categorical"], config["drift"]),
+    )
+    quality = check_quality(reference, current, config, schema, empty, profiles, repeated)
+    drift = analyze_drift(config, schema, profiles, numeric, category)
     kinds = {n: s["kind"] for n, s in specs.items()}
     try:
         adversary = adversarial.validate(reference, current, config["adversarial"], kinds, config["random_seed"])
