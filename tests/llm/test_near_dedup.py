@@ -116,6 +116,23 @@ def test_documents_that_stay(spark):
     assert got == sorted(map(str, spark.createDataFrame([rows[1], rows[3], rows[4], rows[5]], docs.schema).collect()))
 
 
+def test_similarity_is_a_parameter(spark):
+    a = [f"w{k}" for k in range(204)]
+    near = a[:182] + ["x"]
+    far = a[:170] + ["y"]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(far))], "doc_id long, text string")
+    assert 80 <= 100 * len(full_set(" ".join(a)) & full_set(" ".join(far))) / len(full_set(" ".join(a)) | full_set(" ".join(far))) < 85
+    assert [r.doc_id for r in N.keep_documents(docs, 80).collect()] == [1]
+    assert sorted(r.doc_id for r in N.keep_documents(docs).collect()) == [1, 2]
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(near))], "doc_id long, text string")
+    assert [r.doc_id for r in N.keep_documents(docs).collect()] == [1]
+
+
+def test_margin_and_trees_follow_the_similarity():
+    assert (N.margin(85), N.trees(85)) == (90, 2)
+    assert (N.margin(80), N.trees(80)) == (82, 3)
+
+
 def test_empty_table(spark):
     assert N.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -4,11 +4,12 @@ Texts with equal shingle sets form a class, which takes part once. Classes are s
 node chooses some coordinates of the minwise signature, by a hash of its path, and a class goes to one
 child per chosen coordinate, which the coordinate's value names. Similar classes share most values,
 so they meet in some leaf; others seldom do. A node that is still large branches on; one that is small
-compares its classes exhaustively; trees are repeated to reach the target recall (at similarity 0.85
-a pair is missed by all trees with probability below 1e-5). A node that stays large at the last
-level, because its signatures agree, is compared in pairs of blocks, so no class is left out.
+compares its classes exhaustively; trees are repeated to reach the target recall (a pair at the
+similarity asked for is missed by all trees with probability below 1e-5: 2 trees at 0.85, 3 at 0.80).
+A node that stays large at the last level, because its signatures agree, is compared in pairs of
+blocks, so no class is left out.
 
-Leaves compare signatures, with a margin of more than four standard deviations below the threshold,
+Leaves compare signatures, with a margin of more than four standard deviations below the similarity,
 and hand on stars, not pairs. The classes that stars connect are then confirmed on full sets: each
 such group is searched from class to class, exact intersections deciding, so links cost memory in
 proportion to the group, and members of a group are never expanded into pairs. A group too large for
@@ -22,7 +23,8 @@ result; `keep_documents` keeps all other columns, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,10 @@ from .common import Scratch, mix64, ship, table
 from .components import components
 from .shingles import COORDINATES, identity, shingles, signature
 
-#: A link: 100 * intersection >= SIMILARITY * union.
+#: A link, unless another similarity is asked for: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
-#: Agreeing share of two signatures from which classes are confirmed on full sets.
-MARGIN = 0.70
-TREES = 2
+#: Share of pairs at the similarity that the leaves' margin, and all trees together, may miss.
+MISSED = 1e-5
 #: Coordinates that a node chooses on the first levels; every level below chooses two.
 BRANCHES = (4, 2, 1)
 LATER_BRANCHES = 2
@@ -48,6 +49,26 @@ LEVELS = 12
 GROUP_CLASSES = 4000
 GROUP_SHINGLES = 4_000_000
 
+
+
+def margin(similarity: int) -> int:
+    """Agreeing coordinates from which classes are confirmed: fewer agree by chance in at most MISSED of pairs."""
+    p, below = similarity / 100, 0.0
+    for need in range(COORDINATES + 1):
+        below += comb(COORDINATES, need) * p**need * (1 - p) ** (COORDINATES - need)
+        if below > MISSED:
+            return need
+    return COORDINATES
+
+
+def trees(similarity: int) -> int:
+    """Trees that miss a pair at this similarity, all of them, with probability below MISSED."""
+    p, missed = similarity / 100, 0.0
+    for branches in (*[LATER_BRANCHES] * (LEVELS - len(BRANCHES)), *reversed(BRANCHES)):
+        missed = (1 - p * (1 - missed)) ** branches
+    return max(1, ceil(log(MISSED) / log(missed))) if missed > 0 else 1
+
+
 _SKETCH = "doc_id long, n_shingles long, class binary, signature binary"
 
 
@@ -90,15 +111,18 @@ def _children(path: np.ndarray, sign: np.ndarray, branches: int) -> tuple[np.nda
     return np.concatenate(paths), np.tile(rows, branches)
 
 
-def _first_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sign = _signatures(b.column(1))
-        for tree in range(TREES):
-            path, row = np.full(len(sign), tree + 1, np.uint64), np.arange(len(sign))
-            for branches in BRANCHES:
-                path, at = _children(path, sign[row], branches)
-                row = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(0).take(pa.array(row))], ["node", "class"])
+def _first_levels(n_trees: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sign = _signatures(b.column(1))
+            for tree in range(n_trees):
+                path, row = np.full(len(sign), tree + 1, np.uint64), np.arange(len(sign))
+                for branches in BRANCHES:
+                    path, at = _children(path, sign[row], branches)
+                    row = row[at]
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(0).take(pa.array(row))], ["node", "class"])
+
+    return run
 
 
 def _next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +131,9 @@ def _next_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(1).take(pa.array(row))], ["node", "class"])
 
 
-def leaves(classes: DataFrame, scratch: Scratch) -> DataFrame:
+def leaves(classes: DataFrame, scratch: Scratch, similarity: int = SIMILARITY) -> DataFrame:
     """(node, class): nodes of 2 to SMALL classes; each is to be compared exhaustively."""
-    rows = scratch.write(classes.select("class", "signature").mapInArrow(_first_levels, "node long, class binary"), "level0")
+    rows = scratch.write(classes.select("class", "signature").mapInArrow(_first_levels(trees(similarity)), "node long, class binary"), "level0")
     found = None
     level = 0
     while True:
@@ -158,33 +182,36 @@ def _cut(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
     return t, np.append(begins, len(key))
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per leaf, classes whose signatures agree by MARGIN, directly or by way of others: (a, b), a the first of them."""
-    need = int(np.ceil(MARGIN * COORDINATES))
-    for t, cuts in _by_key(batches):
-        classes, sign = t.column(1), _signatures(t.column(2))
-        size = np.diff(cuts)
-        two = cuts[:-1][size == 2]
-        a = two[(sign[two] == sign[two + 1]).sum(axis=1) >= need]
-        froms, tos = [a], [a + 1]
-        for begin, end in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
-            left = np.arange(begin, end)
-            while len(left):
-                root, front = left[0], [left[0]]
-                left = left[1:]
-                while front and len(left):
-                    near = (sign[left] == sign[front.pop()]).sum(axis=1) >= need
-                    if near.any():
-                        hit = left[near]
-                        froms.append(np.full(len(hit), root))
-                        tos.append(hit)
-                        front += hit.tolist()
-                        left = left[~near]
-        f, g = np.concatenate(froms), np.concatenate(tos)
-        yield pa.RecordBatch.from_arrays([classes.take(pa.array(x)).combine_chunks() for x in (f, g)], ["a", "b"])
-
-
-def linked_groups(sets: list[np.ndarray]) -> list[int]:
+def _stars(need: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per leaf, classes whose signatures agree in `need` coordinates, directly or by way of others: (a, b), a the first of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _by_key(batches):
+            classes, sign = t.column(1), _signatures(t.column(2))
+            size = np.diff(cuts)
+            two = cuts[:-1][size == 2]
+            a = two[(sign[two] == sign[two + 1]).sum(axis=1) >= need]
+            froms, tos = [a], [a + 1]
+            for begin, end in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist(), strict=True):
+                left = np.arange(begin, end)
+                while len(left):
+                    root, front = left[0], [left[0]]
+                    left = left[1:]
+                    while front and len(left):
+                        near = (sign[left] == sign[front.pop()]).sum(axis=1) >= need
+                        if near.any():
+                            hit = left[near]
+                            froms.append(np.full(len(hit), root))
+                            tos.append(hit)
+                            front += hit.tolist()
+                            left = left[~near]
+            f, g = np.concatenate(froms), np.concatenate(tos)
+            yield pa.RecordBatch.from_arrays([classes.take(pa.array(x)).combine_chunks() for x in (f, g)], ["a", "b"])
+
+    return run
+
+
+def linked_groups(sets: list[np.ndarray], similarity: int = SIMILARITY) -> list[int]:
     """For each set the number of the first set that it reaches over links, itself included."""
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -203,7 +230,7 @@ def linked_groups(sets: list[np.ndarray]) -> list[int]:
             mark[own] = True
             shared = np.add.reduceat(mark[held].astype(np.int64), starts)
             mark[own] = False
-            hit = ~gone & (100 * shared >= SIMILARITY * (size[x] + size[left] - shared))
+            hit = ~gone & (100 * shared >= similarity * (size[x] + size[left] - shared))
             for k in left[hit].tolist():
                 of[k] = root
                 front.append(k)
@@ -215,30 +242,34 @@ def linked_groups(sets: list[np.ndarray]) -> list[int]:
     return of
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From texts by unit, each class's confirmed links as stars (a, b)."""
-    for t, cuts in _by_key(batches):
-        a, b = [], []
-        expected = t.column(1).to_pylist()
-        texts = t.column(2).cast(pa.binary()).to_pylist()
-        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            sets: dict[bytes, np.ndarray] = {}
-            for k in range(begin, end):
-                if expected[k] not in sets:
-                    found = shingles(texts[k])
-                    if len(found) and identity(found) == expected[k]:
-                        sets[expected[k]] = found
-            if len(sets) > 1:
-                names = sorted(sets)
-                for k, root in enumerate(linked_groups([sets[x] for x in names])):
-                    if k != root:
-                        a.append(names[root])
-                        b.append(names[k])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class, component_id and kept of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _by_key(batches):
+            a, b = [], []
+            expected = t.column(1).to_pylist()
+            texts = t.column(2).cast(pa.binary()).to_pylist()
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sets: dict[bytes, np.ndarray] = {}
+                for k in range(begin, end):
+                    if expected[k] not in sets:
+                        found = shingles(texts[k])
+                        if len(found) and identity(found) == expected[k]:
+                            sets[expected[k]] = found
+                if len(sets) > 1:
+                    names = sorted(sets)
+                    for k, root in enumerate(linked_groups([sets[x] for x in names], similarity)):
+                        if k != root:
+                            a.append(names[root])
+                            b.append(names[k])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def link(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, class, component_id and kept of every row; sets link from `similarity` percent on."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     sketched = scratch.write(sketches(docs), "sketched")
@@ -246,10 +277,10 @@ def link(docs: DataFrame) -> DataFrame:
     by_class = with_words.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = scratch.write(by_class, "classes")
 
-    met = scratch.write(leaves(classes, scratch), "met")
+    met = scratch.write(leaves(classes, scratch, similarity), "met")
     scratch.drop(*(f"{kind}{level}" for kind in ("level", "sizes") for level in range(LEVELS)))
     compared = met.join(classes.select("class", "signature"), "class").select("node", "class", "signature")
-    stars = compared.repartition("node").sortWithinPartitions("node").mapInArrow(_stars, "a binary, b binary")
+    stars = compared.repartition("node").sortWithinPartitions("node").mapInArrow(_stars(margin(similarity)), "a binary, b binary")
     groups = components(stars, scratch, "candidates")
 
     members = scratch.write(groups.join(classes.select(F.col("class").alias("node"), "first_id", "n_shingles"), "node").withColumnRenamed("node", "class"), "members")
@@ -266,7 +297,7 @@ def link(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     # units grow with the corpus, so they are never broadcast: one plan at every size
     with_text = units.hint("merge").join(texts, F.col("first_id").eqNullSafe(F.col("_id"))).select("unit", "class", "text")
-    confirmed = with_text.repartition("unit").sortWithinPartitions("unit").mapInArrow(_confirmed, "a binary, b binary")
+    confirmed = with_text.repartition("unit").sortWithinPartitions("unit").mapInArrow(_confirmed(similarity), "a binary, b binary")
     if split:
         joined = components(confirmed, scratch, "links").select(F.col("node").alias("class"), "component")
     else:
@@ -286,9 +317,9 @@ def link(docs: DataFrame) -> DataFrame:
     return found.unionByName(alone).select("doc_id", "n_shingles", "class", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
+def keep_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of docs whose doc_id names their component, all columns as they were; of rows that repeat one."""
-    kept = link(docs).where("kept").groupBy(F.col("doc_id").alias("_kept")).count()
+    kept = link(docs, similarity).where("kept").groupBy(F.col("doc_id").alias("_kept")).count()
     repeated = not kept.where("count > 1").isEmpty()
     stay = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay
