@@ -133,6 +133,20 @@ def test_margin_and_trees_follow_the_similarity():
     assert (N.margin(80), N.trees(80)) == (82, 3)
 
 
+def test_one_text_of_each_component_stays_without_ids(spark):
+    base = [f"w{k}" for k in range(100)]
+    a, b, c = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(base).upper()
+    other = " ".join(f"v{k}" for k in range(100))
+    lone = " ".join(f"u{k}" for k in range(20))
+    rows = [(None, ""), (None, a), (None, b), (None, c), (None, other), (7, other + " end"), (None, lone)]
+    rows += [(9, "only nine here"), (9, other), (9, "only nine here"), (None, lone), (10, "p q r"), (10, "P q r")]
+    got = [tuple(r) for r in N.keep_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sum(t in (a, b, c) for _, t in got) == 1
+    assert sum(t in ("p q r", "P q r") for _, t in got) == 1
+    rest = [r for r in got if r[1] not in (a, b, c, "p q r", "P q r")]
+    assert sorted(rest, key=str) == sorted([(None, ""), (7, other + " end"), (None, lone), (9, "only nine here")], key=str)
+
+
 def test_empty_table(spark):
     assert N.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -18,7 +18,8 @@ one task is confirmed leaf by leaf, and the leaves' confirmed links are connecte
 Defined results: texts without words, null texts too, have an empty set, link with nothing, and are
 their own component; rows that repeat are equal texts, so they share a component; a null doc_id takes
 part, but never names a component unless no member has another id; an empty table gives an empty
-result; `keep_documents` keeps all other columns, whatever their names.
+result; `keep_documents` keeps one text of each component, that of the smallest id (null last), ties
+broken by the text's digest, and all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, ship, table
@@ -69,11 +70,16 @@ def trees(similarity: int) -> int:
     return max(1, ceil(log(MISSED) / log(missed))) if missed > 0 else 1
 
 
-_SKETCH = "doc_id long, n_shingles long, class binary, signature binary"
+_SKETCH = "doc_id long, text_id string, n_shingles long, class binary, signature binary"
+
+
+def text_id(text: Column) -> Column:
+    """A digest that tells texts apart; null counts as the empty text."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null without words) and signature of every row."""
+    """doc_id, text_id, n_shingles, class (null without words) and signature of every row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +90,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n.append(len(found))
                 ids.append(identity(found) if len(found) else None)
                 signs.append(signature(found).tobytes() if len(found) else None)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class", "signature"])
+            columns = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_id", "n_shingles", "class", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text", text_id(F.col("text"))).mapInArrow(run, _SKETCH)
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -268,13 +274,21 @@ def _confirmed(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
+def _first(first_id: str, first_text: str) -> Column:
+    """The struct whose minimum is the row of the smallest id, null last; ties go to the smallest text_id."""
+    return F.struct(F.col(first_id).isNull(), F.col(first_id), F.col(first_text))
+
+
 def link(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, class, component_id and kept of every row; sets link from `similarity` percent on."""
+    """doc_id, text_id, n_shingles, class, component_id, kept and stays of every row; sets link from `similarity` percent on.
+
+    `kept`: the doc_id names the component. `stays`: the row is, up to rows that repeat it, the one of its component to keep.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     sketched = scratch.write(sketches(docs), "sketched")
     with_words = sketched.where("class is not null")
-    by_class = with_words.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    by_class = with_words.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min(_first("doc_id", "text_id"))["text_id"].alias("first_text"), F.max("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = scratch.write(by_class, "classes")
 
     met = scratch.write(leaves(classes, scratch, similarity), "met")
@@ -283,7 +297,7 @@ def link(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     stars = compared.repartition("node").sortWithinPartitions("node").mapInArrow(_stars(margin(similarity)), "a binary, b binary")
     groups = components(stars, scratch, "candidates")
 
-    members = scratch.write(groups.join(classes.select(F.col("class").alias("node"), "first_id", "n_shingles"), "node").withColumnRenamed("node", "class"), "members")
+    members = scratch.write(groups.join(classes.select(F.col("class").alias("node"), "first_id", "first_text", "n_shingles"), "node").withColumnRenamed("node", "class"), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"))
     fits = (F.col("n") <= GROUP_CLASSES) & (F.col("shingles") <= GROUP_SHINGLES)
     # written before they are joined: a join of two scans can be split where one group is large
@@ -305,23 +319,27 @@ def link(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         roots = stars.select(F.col("a").alias("class"), F.col("a").alias("component")).distinct()
         joined = stars.select(F.col("b").alias("class"), F.col("a").alias("component")).unionByName(roots)
 
-    named = joined.join(members.select("class", "first_id"), "class")
+    named = joined.join(members.select("class", "first_id", "first_text"), "class")
     named = scratch.write(named, "named")
-    least = scratch.write(named.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
-    of_class = scratch.write(named.join(least, "component").select("class", "component_id"), "of_class")
+    least = scratch.write(named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(_first("first_id", "first_text"))["first_text"].alias("keeper")), "least")
+    of_class = scratch.write(named.join(least, "component").select("class", "component_id", "keeper"), "of_class")
     scratch.drop("met", "members", "fitting", "sized", "links", "candidates-stars", "links-stars", "named", "least")
-    ids = classes.select("class", "first_id").join(of_class, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id"))
+    own = classes.select("class", "first_id", "first_text").join(of_class, "class", "left")
+    ids = own.select("class", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("keeper", "first_text").alias("keeper"))
     ids = scratch.write(ids, "ids")
-    found = with_words.select("doc_id", "n_shingles", "class").join(ids, "class")
-    alone = sketched.where("class is null").select("class", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone).select("doc_id", "n_shingles", "class", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    found = with_words.select("doc_id", "text_id", "n_shingles", "class").join(ids, "class")
+    alone = sketched.where("class is null").select("class", "doc_id", "text_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("text_id").alias("keeper"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = kept & (F.col("text_id") == F.col("keeper"))
+    return found.unionByName(alone).select("doc_id", "text_id", "n_shingles", "class", "component_id", kept.alias("kept"), stays.alias("stays"))
 
 
 def keep_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id names their component, all columns as they were; of rows that repeat one."""
-    kept = link(docs, similarity).where("kept").groupBy(F.col("doc_id").alias("_kept")).count()
+    """One row of docs of each component, and each row without words, all columns as they were; of rows that repeat one."""
+    kept = link(docs, similarity).where("stays").groupBy(F.col("doc_id").alias("_kept"), F.col("text_id").alias("_text")).count()
     repeated = not kept.where("count > 1").isEmpty()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    same = docs["doc_id"].eqNullSafe(F.col("_kept")) & (text_id(docs["text"]) == F.col("_text"))
+    stay = docs.join(kept, same, "left_semi")
     return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay
 
 
