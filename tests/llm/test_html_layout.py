@@ -46,6 +46,41 @@ def test_layout(name):
     assert H.visible_text(html) == text
 
 
+SHEETS = {
+    "print": ("@media print { .x, nav { display:none } }", "a"),
+    "narrow": ("@media (max-width:600px){ .x{display:none} }", "a"),
+    "screen with a condition": ("@media screen and (max-width:600px){ .x{display:none} }", "a"),
+    "screen": ("@media print, screen { .x{display:none} }", ""),
+    "supports in media": ("@media screen { @supports (x:y) { .x{display:none} } }", "a"),
+    "layer": ("@layer b { .x{display:none} }", ""),
+    "unlayered beats layer": (".x{display:block} @layer b { .x{display:none} }", "a"),
+    "after an at-rule": ("@import url('{;'); @media print{i{color:red}} .x{display:none}", ""),
+    "keyframes": ("@keyframes k { from{display:none} .x{display:none} }", "a"),
+    "shown again": (".x{display:none} .x{display:block}", "a"),
+    "hidden at last": (".x{display:block} .x{visibility:hidden}", ""),
+    "both properties": (".x{visibility:hidden} .x{display:block}", ""),
+    "important": (".x{display:none!important} .x{display:block}", ""),
+    "another selector shows": (".x{display:none} .y{display:block}", "a"),
+    "id before class": ("#k{display:none} .x{display:block}", ""),
+    "nested": (".x{display:none; .z{color:red} display:block}", "a"),
+    "left open": ("p{color:red} .x{display:none", ""),
+    "string": (""".x::before{content:"}"} .x{display:none}""", ""),
+}
+
+
+@pytest.mark.parametrize("name", SHEETS)
+def test_sheets(name):
+    sheet, text = SHEETS[name]
+    assert H.visible_text(f"<style>{sheet}</style><p class='x y' id=k>a</p>") == text
+
+
+def test_inline_style_and_media_of_a_sheet():
+    assert H.visible_text("<style>.x{display:none}</style><p class=x style='display:block'>a") == "a"
+    assert H.visible_text("<style>.x{display:none!important}</style><p class=x style='display:block'>a") == ""
+    assert H.visible_text("<style media=print>.x{display:none}</style><p class=x>a") == "a"
+    assert H.visible_text("<p style='display:none;display:block'>a") == "a"
+
+
 def test_null():
     assert H.visible_text(None) == ""
 

@@ -10,7 +10,9 @@ visible; the rest is laid out as blocks and lines. Nothing that is visible is dr
 
 Invisible are head, scripts, styles, templates and the like, the `hidden` attribute, closed details and
 dialogs, and what inline style or a simple rule of the page's own style sheet (tag, .class or #id)
-sets to `display: none` or `visibility: hidden`.
+sets to `display: none` or `visibility: hidden`. Where such rules disagree on an element, importance,
+layer, kind of selector and order decide. Of rules inside at-rules only those of `@layer` and of
+`@media` for screen or all, without conditions, count.
 
 Each page is one row's work, in time and memory proportional to it. Defined results: a null or empty
 page is the empty text; broken markup is repaired, never an error; elements nested deeper than
@@ -142,27 +144,82 @@ class TreeBuilder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "style":
-            self.styles.append(data)
+            if applies("@media " + self.open[-1].attrs.get("media", "")):
+                self.styles.append(data)
         elif data.strip() and self.open[-1].tag == "head":
             self._close(frozenset(("head",)), frozenset())
         self.open[-1].children.append(data)
 
 
-def parse(html: str) -> tuple[Element, set[str]]:
-    """The page's tree, and the tags, .classes and #ids that its own style sheet hides."""
+def parse(html: str) -> tuple[Element, dict[str, dict[str, Decision]]]:
+    """The page's tree, and what its own style sheet decides for tags, .classes and #ids."""
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    sheet = re.sub(r"/\*.*?\*/", "", " ".join(builder.styles), flags=re.DOTALL)
-    hidden: set[str] = set()
-    for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", sheet):
-        if hides(body):
-            hidden.update(s for s in (x.strip().lower() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s))
-    return builder.root, hidden
+    return builder.root, decided(" ".join(builder.styles))
+
+
+#: A decision on whether an element shows: its precedence, and whether it hides.
+Decision = tuple[tuple, bool]
+PROPERTIES = ("display", "visibility")
+
+
+def decided(sheet: str) -> dict[str, dict[str, Decision]]:
+    """What a style sheet decides of each property, by simple selector; nothing where it never hides."""
+    found: dict[str, dict[str, Decision]] = {x: {} for x in PROPERTIES}
+    for order, (selectors, body, layered) in enumerate(rules(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL))):
+        simple = [s for s in (x.strip().lower() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s)]
+        for name, (important, hide) in declared(body).items() if simple else ():
+            for s in simple:
+                decision = ((important, layered == important, ".#".find(s[0]), order), hide)
+                found[name][s] = max(decision, found[name].get(s, decision))
+    return {name: x for name, x in found.items() if any(hide for _, hide in x.values())}
+
+
+def rules(sheet: str) -> Iterator[tuple[str, str, bool]]:
+    """(selectors, declarations, whether in a layer) of the rules that hold on every screen; blocks left open end with the sheet."""
+    blocks: list[tuple[str, bool, bool]] = []  # of each open block: head, whether it holds, whether layered
+    parts: list[str] = []
+    body = ""
+    tokens = re.findall(r"""(?:[^{};"'\\]++|\\.|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')++|.""", sheet, re.DOTALL)
+    for token in [*tokens, *"}" * sheet.count("{")]:
+        if token == "{":
+            head = "".join(parts).strip()
+            above, holds, layered = blocks[-1] if blocks else ("@", True, False)
+            holds = holds and above[:1] == "@" and (head[:1] != "@" or applies(head))
+            blocks.append((head, holds, layered or head[:6].lower() == "@layer"))
+            parts = []
+            body = "" if holds else body
+        elif token == "}":
+            if blocks:
+                head, holds, layered = blocks.pop()
+                if holds and head[:1] != "@":
+                    yield head, body + "".join(parts), layered
+            parts = []
+        elif token == ";":
+            if blocks and blocks[-1][1] and blocks[-1][0][:1] != "@":
+                body += "".join(parts) + ";"
+            parts = []
+        else:
+            parts.append(token)
+
+
+def applies(head: str) -> bool:
+    """Whether an at-rule's block holds on every screen."""
+    if re.match(r"@layer\b", head, re.IGNORECASE):
+        return True
+    media = re.fullmatch(r"@media\b(.*)", head, re.IGNORECASE | re.DOTALL)
+    return bool(media) and any(re.fullmatch(r"(?:(?:only\s+)?(?:screen|all))?", x.strip(), re.IGNORECASE) for x in media[1].split(","))
 
 
-def hides(style: str) -> bool:
-    return bool(re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", style, re.IGNORECASE))
+def declared(style: str) -> dict[str, tuple[bool, bool]]:
+    """(important, hides) of each of PROPERTIES that the declarations set; the last counts, after important ones."""
+    found: dict[str, tuple[bool, bool]] = {}
+    for name, value, rest in re.findall(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", style, re.IGNORECASE):
+        name, important = name.lower(), bool(re.search(r"!\s*important\b", rest, re.IGNORECASE))
+        if important or not found.get(name, (False,))[0]:
+            found[name] = important, value.lower() in (("none",) if name == "display" else ("hidden", "collapse"))
+    return found
 
 
 class Layout:
@@ -227,16 +284,24 @@ class Layout:
 
 
 class Renderer:
-    def __init__(self, hidden: set[str]):
-        self.hidden = hidden
+    def __init__(self, sheet: dict[str, dict[str, Decision]]):
+        self.sheet = sheet
 
     def visible(self, e: Element) -> bool:
         a = e.attrs
-        if e.tag in INVISIBLE or "hidden" in a or (e.tag == "dialog" and "open" not in a) or ("style" in a and hides(a["style"])):
+        if e.tag in INVISIBLE or "hidden" in a or (e.tag == "dialog" and "open" not in a):
             return False
-        if self.hidden:
-            names = {e.tag, "#" + a.get("id", "").lower(), *("." + c.lower() for c in a.get("class", "").split())}
-            return not names & self.hidden
+        own = declared(a["style"]) if "style" in a else {}
+        if not self.sheet:
+            return not any(hide for _, hide in own.values())
+        names = {e.tag, "#" + a.get("id", "").lower(), *("." + c.lower() for c in a.get("class", "").split())}
+        for name in PROPERTIES:
+            here = self.sheet.get(name, {})
+            best = max((here[x] for x in names if x in here), default=None)
+            if name in own and (best is None or own[name][0] >= best[0][0]):
+                best = own[name]
+            if best is not None and best[1]:
+                return False
         return True
 
     def render(self, e: Element) -> list[str]:
@@ -396,8 +461,8 @@ def columns(text: str) -> int:
 def visible_text(html: str | None) -> str:
     if not html:
         return ""
-    root, hidden = parse(html)
-    return "\n".join(Renderer(hidden).render(root))
+    root, sheet = parse(html)
+    return "\n".join(Renderer(sheet).render(root))
 
 
 def title_of(html: str | None) -> str | None:
