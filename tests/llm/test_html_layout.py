@@ -81,6 +81,31 @@ def test_inline_style_and_media_of_a_sheet():
     assert H.visible_text("<p style='display:none;display:block'>a") == "a"
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<table><tr><td>A</td></tr><form><tr><td>B</td></tr></form></table>", "A\nB"),
+    ("<table><form><tr><td>A<td>B</td></tr></form></table>", "A  B"),
+    ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A  B"),
+    ("<table><tr><td>A</td></tr><p>Note<tr><td>B</table>", "Note\nA\nB"),
+    ("<table><thead><div>n</div><tr><th>A</thead><tbody><tr><td>B</table>", "n\nA\nB"),
+    ("<table><tr><td><b>A<tr><td>B</table>c", "A\nB\n\nc"),
+    ("<table><tr><td>A<table><p>in<tr><td>B</table><td>C</table>", "A   C\n\nin\nB"),
+])
+def test_what_does_not_belong_into_a_table(html, text):
+    assert H.visible_text(html) == text
+
+
+def test_drawings_and_formulas():
+    assert H.visible_text("a <svg><title>t</title><defs/><desc>d</desc><path/><g><text>x</text><text>y</text></g></svg> b") == "a x y b"
+    assert H.visible_text("<math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math>, <desc>z</desc>") == "x+1, z"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("<tr> <td> </td> </tr> <form> </form> <p> </p> <b> </b> <div> </div> <tbody> </tbody> <thead> <caption> </caption> <table> </table> <svg> </svg>".split()), max_size=20))
+def test_no_word_of_a_table_is_lost(tags):
+    html = "<table><tr><td>x</td></tr>" + "".join(f"{t} w{i} " for i, t in enumerate(tags))
+    assert sorted(H.visible_text(html).split()) == sorted(["x", *(f"w{i}" for i in range(len(tags)))])
+
+
 def test_null():
     assert H.visible_text(None) == ""
 

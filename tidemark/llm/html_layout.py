@@ -40,7 +40,9 @@ WIDEST_COLUMN = 60
 WIDEST_SPAN = 100
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INVISIBLE = frozenset("head script style template noframes iframe object audio video canvas datalist title svg math".split())
+INVISIBLE = frozenset("head script style template noframes iframe object audio video canvas datalist title".split())
+#: Of drawings and formulas, what is not drawn.
+UNDRAWN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker".split()), "math": frozenset(("annotation", "annotation-xml"))}
 #: Blocks with a margin above and below, and without.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure hr fieldset article section".split())
 BLOCKS = SPACED | frozenset("html body div li dt dd address aside main nav header footer form details summary figcaption legend caption dialog center hgroup search tr thead tbody tfoot td th optgroup".split())
@@ -59,6 +61,12 @@ CLOSES = {
     "th": (CELLS | {"caption", "colgroup"}, frozenset(("tr", "table"))),
     **{x: (CELLS | SECTIONS | {"tr", "caption", "colgroup"}, frozenset(("table",))) for x in (*SECTIONS, "caption", "colgroup")},
 }
+#: The elements of a table that a part of it stands in, or below.
+TABLE_PARTS = {
+    **dict.fromkeys(CELLS, SECTIONS | {"tr", "table"}),
+    "tr": SECTIONS | {"table"},
+    **dict.fromkeys((*SECTIONS, "caption", "colgroup"), frozenset(("table",))),
+}
 #: Block starts close an open paragraph.
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "legend", "optgroup"}
 #: An end tag does not reach past these, unless it is theirs.
@@ -80,6 +88,7 @@ class TreeBuilder(HTMLParser):
         self.root = Element("html", {})
         self.open = [self.root]
         self.styles: list[str] = []
+        self.drawn = False  # whether the page has svg or math
 
     def _push(self, tag: str, attrs: dict[str, str] | None = None) -> None:
         e = Element(tag, attrs or {})
@@ -108,6 +117,9 @@ class TreeBuilder(HTMLParser):
             self.open.pop()
         inside = {e.tag for e in self.open}
         if "table" in inside:
+            if tag in TABLE_PARTS:  # what does not belong into a table ends where a part of it starts
+                above = TABLE_PARTS[tag]
+                self.open = self.open[: next(k for k in range(len(self.open), 0, -1) if self.open[k - 1].tag in above)]
             if tag in CELLS and self.open[-1].tag != "tr":
                 self._ready("tr")
                 self._push("tr")
@@ -123,13 +135,21 @@ class TreeBuilder(HTMLParser):
             return
         self._ready(tag)
         found = {k: v or "" for k, v in attrs}
+        self.drawn = self.drawn or tag in UNDRAWN
+        for outer in UNDRAWN.keys() & {e.tag for e in self.open} if self.drawn else ():
+            if tag in UNDRAWN[outer]:
+                found["hidden"] = ""
+            elif (outer, tag) == ("svg", "text"):
+                found["_apart"] = ""
         if tag in VOID:
             self.open[-1].children.append(Element(tag, found))
         else:
             self._push(tag, found)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash closes void elements only, which are closed anyway
+        self.handle_starttag(tag, attrs)  # a slash closes void elements, which are closed anyway, and those of svg and math
+        if self.drawn and self.open[-1].tag == tag and any(e.tag in UNDRAWN for e in self.open):
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -332,6 +352,10 @@ class Renderer:
                 out.text(" ", False)
                 self._into(o, out, False)
                 out.text(" ", False)
+        elif "_apart" in e.attrs:
+            out.text(" ", False)
+            self._into(e, out, False)
+            out.text(" ", False)
         elif tag in LISTS:
             margin = 0 if "_inner" in e.attrs else 1
             out.block(margin)
@@ -395,7 +419,11 @@ class Renderer:
             elif c.tag not in SECTIONS and c.tag != "tr" and self.visible(c):
                 before += self.render(c)
             elif c.tag != "tr" and self.visible(c):
-                before += [" ".join(x.split()) for x in c.children if isinstance(x, str) and x.strip()]
+                for x in c.children:
+                    if isinstance(x, str):
+                        before += [" ".join(x.split())] if x.strip() else []
+                    elif x.tag != "tr" and self.visible(x):
+                        before += self.render(x)
         grid: list[list[tuple[int, list[str]]]] = []
         taken: dict[tuple[int, int], bool] = {}
         for y, r in enumerate(rows):
@@ -407,6 +435,9 @@ class Renderer:
                     continue
                 if not self.visible(c):
                     continue
+                if c.tag not in CELLS:
+                    before += self.render(c)
+                    continue
                 while (y, x) in taken:
                     x += 1
                 wide, tall = (min(max(1, _number(c.attrs.get(a), 1)), WIDEST_SPAN) for a in ("colspan", "rowspan"))
