@@ -45,9 +45,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 ID = re.compile(r"\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})", re.ASCII | re.IGNORECASE)
 _ID_HINTS = ("user", "login", "client", "account", "keyid", "key_id")
-#: Tokens that may be secrets: 20 to 128 characters of the base64 alphabets.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", re.ASCII)
-ENDPOINT = re.compile(r"\b(?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]+|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}:\d{2,5}\b", re.ASCII)
+#: Tokens that may be secrets: 20 or more characters of the base64 alphabets.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])", re.ASCII)
+ENDPOINT = re.compile(r"\b(?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]+|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}:\d{2,5}\b|(?<![\w.-])(?:localhost|(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)):\d{2,5}\b", re.ASCII)
 
 Span = tuple[int, int, str]
 
@@ -69,8 +69,8 @@ def _order(span: Span) -> tuple[int, int, int]:
 
 
 def looks_random(token: str) -> bool:
-    """Mixed classes and few repeats: letters of both cases and digits, with many distinct characters."""
-    return bool(re.search(r"\d", token) and re.search("[a-z]", token) and re.search("[A-Z]", token)) and len(set(token)) >= 10
+    """Mixed classes and few repeats: two of lower case, upper case and digits, with many distinct characters."""
+    return sum(bool(re.search(x, token)) for x in ("[0-9]", "[a-z]", "[A-Z]")) >= 2 and len(set(token)) >= 10
 
 
 def weak_spans(text: str, certain: list[Span]) -> list[Span]:
@@ -98,13 +98,16 @@ def linked(text: str, certain: list[Span], weak: list[Span], reach: int = REACH)
     if not weak:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
-    at: dict[str, list[int]] = {}
-    for s, _, kind in sorted(certain + weak, key=_order):
-        at.setdefault(kind, []).append(s)
+    at: dict[str, tuple[list[int], list[int]]] = {}  # starts and ends, both ascending: spans of one kind do not overlap
+    for s, e, kind in sorted(certain + weak, key=_order):
+        starts, ends = at.setdefault(kind, ([], []))
+        starts.append(s)
+        ends.append(e)
 
     def near(kind: str, low: int, high: int) -> bool:
-        starts = at.get(kind, [])
-        return bisect_left(starts, low) < bisect_right(starts, high)
+        starts, ends = at.get(kind, ([], []))
+        k = bisect_right(ends, low)
+        return k < len(starts) and starts[k] <= high
 
     kept = []
     for s, e, kind in weak:
