@@ -133,6 +133,17 @@ def test_few_bins_still_place_everything():
     assert sum(used.values()) == sum(sizes)
 
 
+def test_every_evicted_bin_is_reported_as_closed():
+    bins, out = packing.OpenBins(100, 3), set()
+    for s in [60, 70, 80, 100, 100, 90, 95, 100, 5, 99, 100] * 5:
+        closed = bins.place(s)[2]
+        out |= set() if closed is None else {closed}
+        assert bins.made - bins.open == len(out)
+    bins = packing.OpenBins(100, 3)
+    assert [bins.place(s)[2] for s in (60, 70, 80, 100)] == [None, None, None, 3]
+    assert bins.open == 3
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none).count() == 0

@@ -44,6 +44,9 @@ class OpenBins:
         self.open = self.made = 0
 
     def place(self, size: int) -> tuple[int, int, int | None]:
+        if size == self.capacity:  # a bin of its own, which needs no room among the open ones
+            self.made += 1
+            return self.made - 1, 0, self.made - 1
         roomy, closed = self.bits >> size, None
         if roomy:
             free = size + (roomy & -roomy).bit_length() - 1
