@@ -65,7 +65,7 @@ def test_long_and_two_class_secrets():
         assert kinds(f"user = johndoe, {secret}") == ["id", "secret"]
         assert kinds(f"{secret} user = johndoe") == ["secret", "id"]
         assert S.redacted(f"user = johndoe, {secret}.") == "[id], [secret]."
-    for dull in ("a1" * 40, "abcdefghijklmnopqrstuvwxyz"):
+    for dull in ("x1" * 40, "abcdefghijklmnopqrstuvwxyz"):
         assert kinds(f"user = johndoe, {dull}") == []
 
 
