@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -81,14 +80,18 @@ def _packed(tokenizer: str, end_id: int, capacity: int, open_bins: int):
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for doc_id, found in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                    ids = np.append(found, np.uint32(end_id)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        part = ids[start : start + capacity]
-                        k, offset, closed = bins.place(len(part))
-                        held.setdefault(k, []).append((doc_id, piece, start, len(part), part.tobytes(), first + k, offset, False))
-                        if closed is not None:
-                            yield from held.pop(closed)
+                doc_ids = iter(b.column(0).to_pylist())
+                for ids, ends in encode(b.column(1), end_id):
+                    data, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
+                    for end in ends.tolist():
+                        doc_id = next(doc_ids)
+                        for piece, at in enumerate(range(begin, end, capacity)):
+                            size = min(capacity, end - at)
+                            k, offset, closed = bins.place(size)
+                            held.setdefault(k, []).append((doc_id, piece, at - begin, size, bytes(data[4 * at : 4 * (at + size)]), first + k, offset, False))
+                            if closed is not None:
+                                yield from held.pop(closed)
+                        begin = end
             for pieces in held.values():
                 yield from (x[:-1] + (True,) for x in pieces)
 

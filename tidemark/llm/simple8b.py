@@ -25,13 +25,19 @@ def _choose(values: np.ndarray) -> np.ndarray:
     """For each position of (blocks, BLOCK + 60) values, zero past a block's end: the selector that packs most from there on."""
     width = values.shape[1] - max(COUNTS)
     best = np.full((len(values), width), ESCAPE, np.uint8)
-    high = values.max(initial=0)
+    # the least selector with bits enough for each value, in one byte
+    limits = np.asarray([1 << b for b in BITS[:-1]], np.uint64)
+    alone = np.searchsorted(limits, values, side="right").astype(np.uint8)
+    alone[values >= np.uint64(1) << np.uint64(BITS[-1])] = len(BITS)
+    high, low = alone.max(initial=0), alone.min(initial=len(BITS))
     for k in range(len(COUNTS) - 1, -1, -1):
-        count, limit = COUNTS[k], np.uint64(1) << np.uint64(BITS[k])
-        if high < limit:
+        count = COUNTS[k]
+        if high <= k:
             best[:] = k
             continue
-        fits, have = values < limit, 1
+        if k < low:
+            break
+        fits, have = alone <= k, 1
         while have < count:  # windows of 1, 2, 4, ... positions, then of count
             more = min(have, count - have)
             fits = fits[:, :-more] & fits[:, more:]
@@ -65,8 +71,9 @@ def _visited(steps: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 def encode(numbers: np.ndarray) -> bytes:
     n = len(numbers)
     blocks = -(-n // BLOCK)
-    padded = np.zeros((blocks, BLOCK + max(COUNTS)), np.uint64)
-    whole = np.zeros(blocks * BLOCK, np.uint64)
+    kind = np.uint32 if numbers.dtype == np.uint32 else np.uint64
+    padded = np.zeros((blocks, BLOCK + max(COUNTS)), kind)
+    whole = np.zeros(blocks * BLOCK, kind)
     whole[:n] = numbers
     padded[:, :BLOCK] = whole.reshape(blocks, BLOCK)
     chosen = _choose(padded)
@@ -86,9 +93,10 @@ def encode(numbers: np.ndarray) -> bytes:
             words[slot[mine]] = np.uint64(ESCAPE) << np.uint64(60)
             words[slot[mine] + 1] = flat[places[mine]]
             continue
-        packed = np.full(int(mine.sum()), np.uint64(k) << np.uint64(60))
+        at = places[mine]
+        packed = np.full(len(at), np.uint64(k) << np.uint64(60))
         for j in range(COUNTS[k]):
-            packed |= flat[places[mine] + j] << np.uint64(j * BITS[k])
+            packed |= flat[at + j].astype(np.uint64) << np.uint64(j * BITS[k])
         words[slot[mine]] = packed
     offsets = slot[np.searchsorted(starts, firsts)].astype("<u4")
     head = np.asarray([n, blocks, len(words)], "<u4")
@@ -112,26 +120,27 @@ def decode(segment: bytes, blocks: range | None = None) -> np.ndarray:
     raw = _after_escapes(selector)
     counts = np.asarray([*COUNTS, 0, 1], np.int64)[selector]
     counts[raw] = 0
-    # a block's last word may hold fewer numbers than it has room for
     local = np.zeros(len(words), np.int64)
     firsts = offsets[blocks[0] : blocks[-1] + 1] - start
     local[firsts[1:]] = 1
     block = np.cumsum(local)
     ends = np.cumsum(counts)
     before = ends - counts - np.concatenate([[0], (ends - counts)[firsts[1:]]])[block]
-    room = np.minimum(BLOCK, n - block * BLOCK)
-    out = np.zeros(len(firsts) * BLOCK, np.uint64)
+    # a block's last word may have room for more numbers than the block; they go past its end
+    row = BLOCK + max(COUNTS)
+    out = np.zeros(len(firsts) * row, np.uint64)
+    place = block * row + before
     for k in np.unique(selector[~raw]):
         mine = np.flatnonzero((selector == k) & ~raw)
+        at = place[mine]
         if k == ESCAPE:
-            out[block[mine] * BLOCK + before[mine]] = words[mine + 1]
+            out[at] = words[mine + 1]
             continue
+        own = words[mine]
         mask = (np.uint64(1) << np.uint64(BITS[k])) - np.uint64(1)
         for j in range(COUNTS[k]):
-            inside = before[mine] + j < room[mine]
-            w = mine[inside]
-            out[block[w] * BLOCK + before[w] + j] = (words[w] >> np.uint64(j * BITS[k])) & mask
-    return out[:n]
+            out[at + j] = (own >> np.uint64(j * BITS[k])) & mask
+    return out.reshape(-1, row)[:, :BLOCK].ravel()[:n]
 
 
 def _after_escapes(selector: np.ndarray) -> np.ndarray:

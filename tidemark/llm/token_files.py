@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Scratch, record_batches, ship, table
+from .common import Scratch, ship, table
 from .token_ids import TOKENIZER_FILE, encoder
 
 END_ID = 2
@@ -38,38 +38,48 @@ def segments(docs: DataFrame, tokenizer: str = TOKENIZER_FILE, end_id: int = END
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = encoder(tokenizer).each, TaskContext.get().partitionId()
+        held: list[np.ndarray] = []  # ids of whole documents that are in no segment yet
+        doc_ids: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        size = start = segment = 0
+
+        def row() -> pa.RecordBatch:
+            ids = pa.concat_arrays(doc_ids)
+            n = np.concatenate(lengths)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), x) for x in (ids, pa.array(n))]
+            payload = pa.array([simple8b.encode(np.concatenate(held))], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([segment], pa.int32()), pa.array([start]), pa.array([size]), *lists, payload], schema=_SEGMENTS)
 
-        def rows() -> Iterator[tuple]:
-            held: list[np.ndarray] = []
-            ids: list[int | None] = []
-            size = start = segment = 0
-
-            def row() -> tuple:
-                return shard, segment, start, size, list(ids), [len(x) for x in held], simple8b.encode(np.concatenate(held))
-
-            for b in batches:
-                for doc_id, without_end in zip(b.column(0).to_pylist(), encode(b.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                    found = np.append(without_end, np.uint32(end_id))
-                    if held and size + len(found) > SEGMENT_IDS:
+        for b in batches:
+            first = 0
+            for ids, ends in encode(b.column(1), end_id):
+                names = b.column(0).slice(first, len(ends))
+                first += len(ends)
+                n = np.diff(ends, prepend=0)
+                at = 0  # documents before this one are held
+                while at < len(ends):
+                    done = int(ends[at - 1]) if at else 0
+                    to = int(np.searchsorted(ends, done + SEGMENT_IDS - size, side="right"))
+                    if to <= at and size:  # the next document is too long for what is held
                         yield row()
                         start, segment, size = start + size, segment + 1, 0
-                        held.clear()
-                        ids.clear()
-                    held.append(found)
-                    ids.append(doc_id)
-                    size += len(found)
-            if held:
-                yield row()
-
-        yield from record_batches(rows(), _SEGMENTS, 64)
-
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .select("doc_id", "text")
-    )
-    return ordered.mapInArrow(packed, _SEGMENTS_DDL)
+                        held, doc_ids, lengths = [], [], []
+                        continue
+                    to = max(to, at + 1)
+                    held.append(ids[done : ends[to - 1]])
+                    doc_ids.append(names.slice(at, to - at))
+                    lengths.append(n[at:to])
+                    size += int(ends[to - 1]) - done
+                    at = to
+        if size:
+            yield row()
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    # the order needs the texts' hashes only where ids repeat, and ranges are cut without reading a text otherwise
+    repeats = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    order = ["doc_id", "tie"] if repeats else ["doc_id"]
+    tied = rows.withColumn("tie", F.xxhash64("text")) if repeats else rows
+    return tied.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(packed, _SEGMENTS_DDL)
 
 
 def documents(files: DataFrame) -> DataFrame:
@@ -82,16 +92,18 @@ def _read(files: DataFrame, what: str) -> DataFrame:
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = zip(b.column(2), b.column(3), strict=True)
-            for shard, start, payload, (doc_ids, lengths) in zip(*(b.column(k).to_pylist() for k in (0, 1, 4)), lists, strict=True):
-                ids = simple8b.decode(payload).astype("<u4")
-                n = lengths.values.to_numpy()
+            for k in range(b.num_rows):
+                shard, start = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+                doc_ids, lengths = b.column(2)[k].values, b.column(3)[k].values
+                ids = simple8b.decode(b.column(4)[k].as_buffer()).astype("<u4")
+                n = lengths.to_numpy()
                 ends = np.append(0, np.cumsum(n))
-                columns = [pa.array(np.full(len(n), shard, np.int32)), doc_ids.values, pa.array(start + ends[:-1]), lengths.values]
+                columns = [pa.array(np.full(len(n), shard, np.int32)), doc_ids, pa.array(start + ends[:-1]), lengths]
                 if what == "ids":
                     last = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(4 * ends.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
                 else:
-                    last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+                    data, at = memoryview(ids).cast("B"), (4 * ends).tolist()
+                    last = pa.array([zlib.crc32(data[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays([*columns, last], ["shard", "doc_id", "place", "n_tokens", what])
 
     # one row per shard, that is at most one per shuffle partition of the writing job

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from typing import NamedTuple
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 import numpy as np  # noqa: E402
 import public_tokenizers  # noqa: E402
+import pyarrow as pa  # noqa: E402
+import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -27,10 +29,10 @@ LONGEST_CACHED = 256
 #: Words that the tokenizer gets as one text, joined by a special token.
 _JOINED = 64
 #: Bytes of text that are looked up together, at least, unless there are no more.
-_TOGETHER = 1 << 20
-#: Small Latin letters (a-z and, in UTF-8, those of U+00DF to U+00FF) or a digit, then signs without an
-#: apostrophe. The tokenizer parts the two, and takes each as it is.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9])?([]!\"#$%&()*+,./:;=>?@[^_`{}~|-]+)?")
+_TOGETHER = 8 << 20
+#: A line each: small Latin letters (a-z and, in UTF-8, those of U+00DF to U+00FF) or a digit, then signs
+#: without an apostrophe, which the tokenizer parts and takes as they are; or any other word.
+_LINES = re.compile(rb"^(?:((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])++|[0-9])?([]!\"#$%&()*+,./:;=>?@[^_`{}~|-]++)?|(.+))$", re.MULTILINE)
 
 
 def _folded(text: bytes) -> bytes:
@@ -38,6 +40,16 @@ def _folded(text: bytes) -> bytes:
     return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
+def _all_folded(texts: pa.Array) -> pa.Array:
+    """_folded of every text."""
+    size = texts.offset + len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, size + 1)
+    data = bytes(texts.buffers()[2][offsets[texts.offset] : offsets[size]]) if len(texts) and texts.buffers()[2] else b""
+    if _folded(data) is data:
+        return pa.array([_folded(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string())
+    return pc.ascii_lower(texts)
+
+
 class _Numbers(dict):
     """Words to numbers; a word that is asked for first gets the next number and is noted as new."""
 
@@ -53,6 +65,13 @@ class _Numbers(dict):
         return number
 
 
+class Encoded(NamedTuple):
+    """The ids of some texts one after another, each text's end id last, and the places where the texts end."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+
+
 class WordEncoder:
     def __init__(self, file: str = TOKENIZER_FILE):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
@@ -73,87 +92,95 @@ class WordEncoder:
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit numbers, without special tokens added."""
-        return next(self.each([text]))
-
-    def each(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
-        """The ids of each text; null is the empty text."""
-        held: list[list[bytes]] = []
-        size = 0
-        for t in texts:
-            held.append(_folded(t).split() if t else [])
-            size += len(t or b"")
-            if size >= _TOGETHER:
-                yield from self._looked_up(held)
-                held, size = [], 0
-        if held:
-            yield from self._looked_up(held)
-
-    def _looked_up(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        return next(self.each(pa.array([text], pa.binary()).cast(pa.string()))).ids[:-1]
+
+    def each(self, texts: pa.Array, end_id: int = 0) -> Iterator[Encoded]:
+        """The ids of all texts, in order, a group of texts at a time; null is the empty text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(texts):
+            before = size[begin - 1] if begin else 0
+            end = min(len(texts), int(np.searchsorted(size, before + _TOGETHER)) + 1)
+            yield self._looked_up(texts.slice(begin, end - begin), end_id)
+            begin = end
+
+    def _looked_up(self, texts: pa.Array, end_id: int) -> Encoded:
         for w in self.long:
             del self.number[w]
         self.long = []
         if len(self.number) > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
             self._forget()
-        counts = [len(words) for words in texts]
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int32, sum(counts))
+        words = pc.ascii_split_whitespace(_all_folded(texts))
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.number.__getitem__, distinct), np.int32, len(distinct))
         if self.number.new:
             self._learn()
+        at = numbers[coded.indices.to_numpy()]
         length = self.length[at]
-        ends = np.cumsum(length, dtype=np.int32)
-        ids = self.flat[np.repeat(self.first[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        cuts = np.append(0, ends)[np.cumsum([0, *counts])]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield ids[a:b]
+        of_words = np.append(0, np.cumsum(length, dtype=np.int64))
+        of_texts = of_words[np.append(0, np.cumsum(counts))]
+        n_ends = len(counts)
+        # a text's ids move by one for each end before it
+        ids = np.full(int(of_words[-1]) + n_ends, end_id, np.uint32)
+        inside = np.ones(len(ids), bool)
+        ends = of_texts[1:] + np.arange(1, n_ends + 1)
+        inside[ends - 1] = False
+        ids[inside] = self.flat[np.repeat((self.first[at] - of_words[:-1]).astype(np.int32), length) + np.arange(of_words[-1], dtype=np.int32)]
+        return Encoded(ids, ends)
 
     def _learn(self) -> None:
         """Gives all new words, and the parts that they are made of, their ids."""
-        plain: list[bytes] = []
-        other: list[bytes] = []
-        signed: list[tuple[bytes, bytes, bytes]] = []
         new, number = self.number.new, self.number
-        for w in new:  # parts that are new come to its end
-            m = _PLAIN.fullmatch(w)
-            if m is None:
-                other.append(w)
-            elif m.lastindex == 2 and m[1]:
-                signed.append((w, m[1], m[2]))
-                number[m[1]], number[m[2]]
+        first_new = number.given - len(new)
+        words = len(new)
+        plain, other, signed, parts = [], [], [], []
+        # parts that are new come to the list's end; they are letters or signs alone, so plain
+        for k, (letters, signs, rest) in enumerate(_LINES.findall(b"\n".join(new)), first_new):
+            if rest:
+                other.append(k)
+            elif letters and signs:
+                signed.append(k)
+                parts += number[letters], number[signs]
             else:
-                plain.append(w)
+                plain.append(k)
+        plain += range(first_new + words, number.given)
         if number.given > len(self.first):
             self.first, self.length = (np.resize(x, 2 * number.given) for x in (self.first, self.length))
-        self._encode(plain, self.simple)
-        self._encode([w for w in other if b"<|" not in w], self.tokenizer)
-        for w in other:
-            if b"<|" in w:  # it may hold the joint itself
-                ids = np.asarray(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, np.uint32)
-                self._add([w], ids, np.zeros(1, np.int64), np.asarray([len(ids)]))
+        self._encode(plain, [new[k - first_new] for k in plain], self.simple)
+        odd = [k for k in other if b"<|" in new[k - first_new]]  # it may hold the joint itself
+        rest = [k for k in other if b"<|" not in new[k - first_new]] if odd else other
+        self._encode(rest, [new[k - first_new] for k in rest], self.tokenizer)
+        for k in odd:
+            ids = np.asarray(self.tokenizer.encode(new[k - first_new].decode(), add_special_tokens=False).ids, np.uint32)
+            self._add([k], ids, np.zeros(1, np.int64), np.asarray([len(ids)]))
         if signed:
-            pairs = np.fromiter((number[part] for _, *parts in signed for part in parts), np.int64, 2 * len(signed))
+            pairs = np.asarray(parts)
             length = self.length[pairs]
             ends = np.cumsum(length)
             ids = self.flat[np.repeat(self.first[pairs] - (ends - length), length) + np.arange(ends[-1])]
             both = length.reshape(-1, 2).sum(axis=1)
-            self._add([w for w, _, _ in signed], ids, np.cumsum(both) - both, both)
+            self._add(signed, ids, np.cumsum(both) - both, both)
         self.long = [w for w in new if len(w) > LONGEST_CACHED]
         new.clear()
 
-    def _encode(self, words: list[bytes], tokenizer: Tokenizer) -> None:
-        text = "<|endoftext|>"
-        joined = [text.join([w.decode() for w in words[i : i + _JOINED]]) + text for i in range(0, len(words), _JOINED)]
+    def _encode(self, numbers: list[int], words: list[bytes], tokenizer: Tokenizer) -> None:
+        text = b"<|endoftext|>"
+        joined = [(text.join(words[i : i + _JOINED]) + text).decode() for i in range(0, len(words), _JOINED)]
         found = [np.asarray(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         if found:
             ids = np.concatenate(found)
             ends = np.flatnonzero(ids == self.joint)
             first = np.append(0, ends[:-1] + 1)
-            self._add(words, ids, first, ends - first)
+            self._add(numbers, ids, first, ends - first)
 
-    def _add(self, words: list[bytes], ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+    def _add(self, numbers: list[int], ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-        self.first[at] = self.used + first
-        self.length[at] = length
+        self.first[numbers] = self.used + first
+        self.length[numbers] = length
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
