@@ -116,10 +116,30 @@ def test_deep_and_wide_pages():
     assert H.visible_text("<table><tr><td>" * 3_000 + "x").strip().endswith("x")
     assert len(H.visible_text("<table>" + f"<tr><td>{'w' * 500}<td>y" + "<tr><td>a<td>b" * 2_000)) < 200_000
     assert H.visible_text("<table><tr><td colspan=999999999 rowspan=99999999>a<td>b").split() == ["a", "b"]
+    assert H.visible_text("<table>" + "<tr><td colspan=1000 rowspan=65534>a" * 500).split() == ["a"] * 500
+    assert H.visible_text("<table><tr><td rowspan=101>x<td>y" + "<tr><td>z" * 102).split("\n")[-3:] == ["   z", "z", "z"]
+
+
+@pytest.mark.parametrize("depth", [100, 130, 10_000])
+@pytest.mark.parametrize("tag", ["div", "b", "blockquote", "ul><li", "table><tr><td"])
+def test_what_hides_does_so_at_any_depth(depth, tag):
+    inner = "<script>var s</script><style>.h{display:none}</style><p hidden>no</p><p class=h>never</p><p>yes</p>"
+    found = H.visible_text(f"<{tag}>" * depth + inner)
+    assert found.split()[-1] == "yes" and not set(found.split()) & {"var", "s", "no", "never", ".h{display:none}"}
+    assert len(found) < 400 * depth
+
+
+def test_declarations_and_instructions():
+    for odd in ("<![>", "<![-- x -->", "<![0]>", "<!x>", "<!>", "<?php x ?>", "<![CDATA[x]]>", "<![if IE]>", "<!--x--!>", "<!-->", "<!--->"):
+        assert H.visible_text(f"a{odd}b") == "ab"
+    for odd in ("<![ y", "<!-- y", "<? y", "<!y", "<!["):
+        assert H.visible_text(f"a {odd}") == "a"
+    assert H.visible_text("<svg><text><![CDATA[a<b]]></text></svg>") == "a<b"
+    assert H.visible_text("<p class=h>a<p>b<style>.h{display:none}") == "b"
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("<p> <div> </div> <ul> <li> </ul> <table> <tr> <td> </td> </tr> </table> <b> </b> <pre> </pre> <select> <option> <br> <h2> </p> <dl> <dd> &amp; < > x".split() + [" "]), max_size=40).map("".join))
+@given(st.lists(st.sampled_from("<p> <div> </div> <ul> <li> </ul> <table> <tr> <td> </td> </tr> </table> <b> </b> <pre> </pre> <select> <option> <br> <h2> </p> <dl> <dd> &amp; < > x <! <![ <? <!-- --> ]]> <!doctype <![CDATA[ <svg> </svg> <style> </style> <script> </".split() + [" "]), max_size=40).map("".join))
 def test_any_markup_is_laid_out(html):
     H.visible_text(html)
 

@@ -14,9 +14,10 @@ sets to `display: none` or `visibility: hidden`. Where such rules disagree on an
 layer, kind of selector and order decide. Of rules inside at-rules only those of `@layer` and of
 `@media` for screen or all, without conditions, count.
 
-Each page is one row's work, in time and memory proportional to it. Defined results: a null or empty
-page is the empty text; broken markup is repaired, never an error; elements nested deeper than
-DEEPEST lie flat at that depth; repeated rows and null ids are rows like any other; an empty table
+Each page is one row's work, in memory proportional to it. Elements are opened at every depth, so what
+hides them does too; only indentation and padding end somewhere. Defined results: a null or empty page
+is the empty text; broken markup is repaired, never an error (a declaration, comment or instruction that
+is left open ends with the page); repeated rows and null ids are rows like any other; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -24,8 +25,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Generator, Iterable, Iterator
 from html.parser import HTMLParser
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +36,14 @@ from pyspark.sql import functions as F
 
 from .common import record_batches, ship, table
 
-DEEPEST = 120
+#: Lists, quotes and definitions are indented up to so many levels; what lies deeper is no less shown.
+INDENTED = 40
 #: Columns are padded to their widest cell, but no further than this.
 WIDEST_COLUMN = 60
-#: Spans that a cell may ask for.
-WIDEST_SPAN = 100
+#: Where a column begins at most; cells beyond stand side by side.
+WIDEST_TABLE = 2000
+#: Spans that a cell may ask for (fixed values of the HTML standard).
+COLSPAN, ROWSPAN = 1000, 65534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INVISIBLE = frozenset("head script style template noframes iframe object audio video canvas datalist title".split())
@@ -87,25 +93,33 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}  # where in `open` the elements of each tag stand
         self.styles: list[str] = []
         self.drawn = False  # whether the page has svg or math
 
     def _push(self, tag: str, attrs: dict[str, str] | None = None) -> None:
         e = Element(tag, attrs or {})
         self.open[-1].children.append(e)
-        if len(self.open) < DEEPEST:
-            self.open.append(e)
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(e)
+
+    def _cut(self, size: int) -> None:
+        """Leaves the first `size` elements open."""
+        while len(self.open) > size:
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags; 0, the root's, if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def _close(self, kinds: frozenset[str], bounds: frozenset[str]) -> None:
-        last = None
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k].tag
-            if tag in kinds:
-                last = k
-            elif tag in bounds:
-                break
-        if last is not None:
-            del self.open[last:]
+        """Closes the elements of these kinds that are open inside the innermost bound."""
+        at = [self.places[t] for t in kinds if self.places.get(t)]
+        if at:
+            bound = self._last(bounds)
+            found = [x[k] for x in at if (k := bisect_right(x, bound)) < len(x)]
+            if found:
+                self._cut(min(found))
 
     def _ready(self, tag: str) -> None:
         """Closes and opens what must be before `tag` starts."""
@@ -114,18 +128,16 @@ class TreeBuilder(HTMLParser):
         if tag in ENDS_PARAGRAPH:
             self._close(frozenset(("p",)), BOUNDS | {"button"})
         if tag[0] == "h" and tag[1:].isdigit() and self.open[-1].tag[0] == "h" and self.open[-1].tag[1:].isdigit():
-            self.open.pop()
-        inside = {e.tag for e in self.open}
-        if "table" in inside:
+            self._cut(len(self.open) - 1)
+        if self.places.get("table"):
             if tag in TABLE_PARTS:  # what does not belong into a table ends where a part of it starts
-                above = TABLE_PARTS[tag]
-                self.open = self.open[: next(k for k in range(len(self.open), 0, -1) if self.open[k - 1].tag in above)]
+                self._cut(self._last(TABLE_PARTS[tag]) + 1)
             if tag in CELLS and self.open[-1].tag != "tr":
                 self._ready("tr")
                 self._push("tr")
             elif tag == "tr" and self.open[-1].tag == "table":
                 self._push("tbody")
-        if "head" in inside and tag not in INVISIBLE | {"meta", "link", "base", "noscript"}:
+        if self.places.get("head") and tag not in INVISIBLE | {"meta", "link", "base", "noscript"}:
             self._close(frozenset(("head",)), frozenset())
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -136,7 +148,7 @@ class TreeBuilder(HTMLParser):
         self._ready(tag)
         found = {k: v or "" for k, v in attrs}
         self.drawn = self.drawn or tag in UNDRAWN
-        for outer in UNDRAWN.keys() & {e.tag for e in self.open} if self.drawn else ():
+        for outer in [x for x in UNDRAWN if self.places.get(x)] if self.drawn else ():
             if tag in UNDRAWN[outer]:
                 found["hidden"] = ""
             elif (outer, tag) == ("svg", "text"):
@@ -148,19 +160,46 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements, which are closed anyway, and those of svg and math
-        if self.drawn and self.open[-1].tag == tag and any(e.tag in UNDRAWN for e in self.open):
-            self.open.pop()
+        if self.drawn and self.open[-1].tag == tag and any(self.places.get(x) for x in UNDRAWN):
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Element("br", {}))
             return
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in BOUNDS and tag not in BOUNDS and tag not in SECTIONS and tag != "tr":
-                return
+        at = self.places.get(tag)
+        if not at or at[-1] == 0:
+            return
+        free = tag in BOUNDS or tag in SECTIONS or tag == "tr"
+        if free or self._last(BOUNDS) <= at[-1]:
+            self._cut(at[-1])
+
+    def _to(self, i: int, end: str) -> int:
+        """The place after the next `end`, or the page's end: the whole page is read at once."""
+        k = self.rawdata.find(end, i)
+        return len(self.rawdata) if k < 0 else k + len(end)
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        found = re.compile(r"--!?\s*>|(?<=<!-)->|(?<=<!--)>").search(self.rawdata, i + 3)
+        return found.end() if found else len(self.rawdata)
+
+    def parse_bogus_comment(self, i: int, report: bool = True) -> int:
+        return self._to(i + 2, ">")
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![CDATA[", i) and any(self.places.get(x) for x in UNDRAWN):
+            end = self._to(i + 9, "]]>")
+            self.handle_data(self.rawdata[i + 9 : end].removesuffix("]]>"))
+            return end
+        return self._to(i + 2, ">")
+
+    def parse_pi(self, i: int) -> int:
+        return self._to(i + 2, ">")
+
+    def close(self) -> None:
+        if self.cdata_elem == "style":  # left open, it ends with the page
+            self.handle_data(self.rawdata)
+        super().close()
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "style":
@@ -303,9 +342,27 @@ class Layout:
         return [x.rstrip() for x in self.lines]
 
 
+#: A step of rendering: it yields steps that it waits for, is sent their results, and returns its own.
+Step = Generator[Any, Any, Any]
+
+
+def carried_out(step: Step) -> Any:
+    """What a step returns. Steps wait on a list, not on Python's own stack, so pages may be of any depth."""
+    waiting, value = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+    return value
+
+
 class Renderer:
     def __init__(self, sheet: dict[str, dict[str, Decision]]):
         self.sheet = sheet
+        self.level = 0  # of indentation
 
     def visible(self, e: Element) -> bool:
         a = e.attrs
@@ -324,22 +381,32 @@ class Renderer:
                 return False
         return True
 
-    def render(self, e: Element) -> list[str]:
+    def render(self, e: Element) -> Step:
+        """The lines of an element."""
         out = Layout()
         if self.visible(e):
-            self._into(e, out, e.tag == "pre")
+            yield self._into(e, out, e.tag == "pre")
         return out.done()
 
-    def _into(self, e: Element, out: Layout, keep: bool) -> None:
+    def _indented(self, e: Element, mark: str) -> Step:
+        """The lines of an element, the first after a mark and the others below it."""
+        deep = self.level >= INDENTED
+        self.level += 1
+        lines = yield self.render(e)
+        self.level -= 1
+        below = "" if deep else " " * len(mark)
+        return [(mark if not k else below) + x if x else x for k, x in enumerate(lines)]
+
+    def _into(self, e: Element, out: Layout, keep: bool) -> Step:
         shut = e.tag == "details" and "open" not in e.attrs
         for c in e.children:
             if isinstance(c, str):
                 if not shut:
                     out.text(c, keep)
             elif self.visible(c) and not (shut and c.tag != "summary"):
-                self._element(c, out, keep)
+                yield self._element(c, out, keep)
 
-    def _element(self, e: Element, out: Layout, keep: bool) -> None:
+    def _element(self, e: Element, out: Layout, keep: bool) -> Step:
         tag = e.tag
         if tag == "br":
             out.newline()
@@ -347,36 +414,47 @@ class Renderer:
             if e.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") and e.attrs.get("value"):
                 out.text(f" {e.attrs['value']} ", False)
         elif tag == "select":
-            options = [o for o in _descendants(e, "option") if self.visible(o)]
+            options = self._options(e)
             for o in [o for o in options if "selected" in o.attrs] or options[:1]:
                 out.text(" ", False)
-                self._into(o, out, False)
+                yield self._into(o, out, False)
                 out.text(" ", False)
         elif "_apart" in e.attrs:
             out.text(" ", False)
-            self._into(e, out, False)
+            yield self._into(e, out, False)
             out.text(" ", False)
         elif tag in LISTS:
             margin = 0 if "_inner" in e.attrs else 1
             out.block(margin)
-            out.add(self._list(e))
+            out.add((yield self._list(e)))
             out.block(margin)
         elif tag == "table":
             out.block(1)
-            out.add(self._table(e))
+            out.add((yield self._table(e)))
             out.block(1)
         elif tag in ("blockquote", "dd"):
             out.block(int(tag in SPACED))
-            out.add(["  " + x if x else x for x in self.render(e)])
+            out.add((yield self._indented(e, "  " if self.level < INDENTED else "")))
             out.block(int(tag in SPACED))
         elif tag in BLOCKS:
             out.block(int(tag in SPACED))
-            self._into(e, out, keep or tag == "pre")
+            yield self._into(e, out, keep or tag == "pre")
             out.block(int(tag in SPACED))
         else:
-            self._into(e, out, keep)
+            yield self._into(e, out, keep)
+
+    def _options(self, e: Element) -> list[Element]:
+        """The visible options below a select, in order."""
+        found, waiting = [], [e]
+        while waiting:
+            x = waiting.pop()
+            if x.tag == "option":
+                found.append(x)
+            else:
+                waiting += [c for c in reversed(x.children) if isinstance(c, Element) and self.visible(c)]
+        return found
 
-    def _list(self, e: Element) -> list[str]:
+    def _list(self, e: Element) -> Step:
         lines: list[str] = []
         number, step = _number(e.attrs.get("start"), 1), -1 if "reversed" in e.attrs else 1
         for c in e.children:
@@ -392,42 +470,44 @@ class Renderer:
             if c.tag != "li":  # a list within a list, or what should not be there
                 if c.tag in LISTS:
                     c.attrs["_inner"] = "1"
-                    lines += ["  " + x for x in self._list(c)]
+                    deep = self.level >= INDENTED
+                    self.level += 1
+                    own = yield self._list(c)
+                    self.level -= 1
+                    lines += own if deep else ["  " + x for x in own]
                 else:
-                    lines += self.render(c)
+                    lines += yield self.render(c)
                 continue
             number = _number(c.attrs.get("value"), number)
             mark = f"{number}. " if e.tag == "ol" else "- "
             number += step
-            own = self.render(c)
-            if own:
-                lines.append(mark + own[0])
-                lines += [" " * len(mark) + x if x else x for x in own[1:]]
+            lines += yield self._indented(c, mark)
         return lines
 
-    def _table(self, e: Element) -> list[str]:
+    def _table(self, e: Element) -> Step:
         before: list[str] = []
         rows: list[Element] = []
-        parts = [(e, c) for c in e.children if isinstance(c, Element) and self.visible(c)]
+        parts = [c for c in e.children if isinstance(c, Element) and self.visible(c)]
         for kind in ("thead", "tbody", "tfoot"):
-            for _, c in parts:
+            for c in parts:
                 if c.tag == kind or (kind == "tbody" and c.tag == "tr"):
                     rows += [c] if c.tag == "tr" else [r for r in c.children if isinstance(r, Element) and r.tag == "tr" and self.visible(r)]
         for c in e.children:  # captions, and what does not belong into a table, come before it
             if isinstance(c, str):
                 before += [" ".join(c.split())] if c.strip() else []
             elif c.tag not in SECTIONS and c.tag != "tr" and self.visible(c):
-                before += self.render(c)
+                before += yield self.render(c)
             elif c.tag != "tr" and self.visible(c):
                 for x in c.children:
                     if isinstance(x, str):
                         before += [" ".join(x.split())] if x.strip() else []
                     elif x.tag != "tr" and self.visible(x):
-                        before += self.render(x)
-        grid: list[list[tuple[int, list[str]]]] = []
-        taken: dict[tuple[int, int], bool] = {}
+                        before += yield self.render(x)
+        grid: list[list[tuple[int, int, list[str]]]] = []
+        spanning: list[tuple[int, int, int]] = []  # of cells that reach down: first column, column after, row after
         for y, r in enumerate(rows):
-            x, cells = 0, []
+            spanning = sorted(s for s in spanning if s[2] > y)
+            x, k, cells, down = 0, 0, [], []
             for c in r.children:
                 if isinstance(c, str):
                     if c.strip():
@@ -436,36 +516,38 @@ class Renderer:
                 if not self.visible(c):
                     continue
                 if c.tag not in CELLS:
-                    before += self.render(c)
+                    before += yield self.render(c)
                     continue
-                while (y, x) in taken:
-                    x += 1
-                wide, tall = (min(max(1, _number(c.attrs.get(a), 1)), WIDEST_SPAN) for a in ("colspan", "rowspan"))
-                for dy in range(1, min(tall, len(rows) - y)):
-                    for dx in range(wide):
-                        taken[y + dy, x + dx] = True
-                cells.append((x, wide, self.render(c)))
+                while k < len(spanning) and spanning[k][0] <= x:
+                    x = max(x, spanning[k][1])
+                    k += 1
+                wide = min(max(1, _number(c.attrs.get("colspan"), 1)), COLSPAN)
+                tall = min(max(1, _number(c.attrs.get("rowspan"), 1)), ROWSPAN)
+                if tall > 1:
+                    down.append((x, x + wide, y + tall))
+                cells.append((x, wide, (yield self.render(c))))
                 x += wide
+            spanning += down
             grid.append(cells)
         width: dict[int, int] = {}
         for cells in grid:
             for x, wide, text in cells:
-                width.setdefault(x, 0)
-                if wide == 1:
-                    width[x] = max(width[x], min(WIDEST_COLUMN, max(map(columns, text), default=0)))
+                own = max(map(columns, text), default=0) if wide == 1 else 0
+                width[x] = max(width.get(x, 0), min(WIDEST_COLUMN, own))
         begins, at = {}, 0
-        for x in range(max(width, default=-1) + 1):
-            begins[x] = at
-            at += width[x] + 2 if width.get(x) else 0
+        for x in sorted(width):
+            begins[x] = min(at, WIDEST_TABLE)
+            at += width[x] + 2 if width[x] else 0
         lines = before
         for cells in grid:
             for k in range(max((len(text) for _, _, text in cells), default=0)):
-                line = ""
+                line, end = [], 0
                 for x, _, text in cells:
                     if k < len(text) and text[k]:
-                        gap = begins[x] - columns(line)
-                        line += " " * max(gap, 2 if line else 0) + text[k]
-                lines.append(line)
+                        gap = max(begins[x] - end, 2 if line else 0)
+                        line += [" " * gap, text[k]]
+                        end += gap + columns(text[k])
+                lines.append("".join(line))
         return lines
 
 
@@ -473,15 +555,6 @@ def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"-?[0-9]{1,9}", text.strip()) else default
 
 
-def _descendants(e: Element, tag: str) -> Iterator[Element]:
-    for c in e.children:
-        if isinstance(c, Element):
-            if c.tag == tag:
-                yield c
-            else:
-                yield from _descendants(c, tag)
-
-
 def columns(text: str) -> int:
     """Columns that a text takes: wide characters take two, combining ones none."""
     if text.isascii():
@@ -493,7 +566,7 @@ def visible_text(html: str | None) -> str:
     if not html:
         return ""
     root, sheet = parse(html)
-    return "\n".join(Renderer(sheet).render(root))
+    return "\n".join(carried_out(Renderer(sheet).render(root)))
 
 
 def title_of(html: str | None) -> str | None:
