@@ -47,7 +47,7 @@ ID = re.compile(r"\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?k
 _ID_HINTS = ("user", "login", "client", "account", "keyid", "key_id")
 #: Tokens that may be secrets: 20 or more characters of the base64 alphabets.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])", re.ASCII)
-ENDPOINT = re.compile(r"\b(?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]+|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,24}:\d{2,5}\b|(?<![\w.-])(?:localhost|(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)):\d{2,5}\b", re.ASCII)
+ENDPOINT = re.compile(r"\b(?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]+|(?<![\w.-])(?:[a-z0-9-]++\.)++[a-z]{2,}+:\d{2,5}\b|(?<![\w.-])(?:localhost|(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)):\d{2,5}\b", re.ASCII)
 
 Span = tuple[int, int, str]
 
