@@ -62,7 +62,8 @@ def test_hot_source_nulls_and_empty_texts(spark):
     sized = M.measured(docs, M.Scratch(spark, "t"))
     decided, few = M.plan(sized.select("source", "size", "ord"))
     for flag in (few, False):
-        got = M._near(sized, decided, flag).selectExpr("doc_id", "size", "source_size", "target", "(whole + if(ord <= cut, 1, 0)) * size taken").collect()
+        found = M.repeated(sized, decided, flag, ["doc_id", "size", "source_size", "target"], M.Scratch(spark, "t"))
+        got = found.selectExpr("doc_id", "size", "source_size", "target", "times * size taken").collect()
         check(rows, got, 4)
 
 
@@ -94,7 +95,33 @@ def test_empty_table_and_sizes_of_zero(spark):
     assert M.mix(docs).count() == 0
 
 
-@pytest.mark.parametrize("doc_id", [0, 17, None])
-def test_order_is_md5(spark, doc_id):
-    got = spark.createDataFrame([(doc_id,)], "doc_id long").select(M.order_of()).first()[0]
-    assert got == hashlib.md5(("mix-1" if doc_id is None else f"mix-1:{doc_id}").encode()).hexdigest()
+@pytest.mark.parametrize("doc_id,text", [(0, "a"), (17, None), (None, "é"), (None, None)])
+def test_order_is_md5(spark, doc_id, text):
+    got = spark.createDataFrame([(doc_id, text)], "doc_id long, text string").select(M.order_of()).first()[0]
+    parts = ["mix-1", None if doc_id is None else str(doc_id), None if text is None else hashlib.md5(text.encode()).hexdigest()]
+    assert got == hashlib.md5(":".join(p for p in parts if p is not None).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("case", ["null ids", "one id", "one row"])
+def test_sources_of_one_id_come_near_their_target(spark, case):
+    same = {"null ids": lambda i: (None, f"w{i} b c"), "one id": lambda i: (5, f"w{i} b c"), "one row": lambda i: (5, "a b c")}[case]
+    rows = [(*same(i), "big", i) for i in range(900)] + [(1000 + i, "a b c d", "small", i) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    want = plain_targets({"big": 2700, "small": 400})
+    for _ in range(2):
+        taken = defaultdict(int)
+        times = defaultdict(int)
+        for r in M.mix(docs).collect():
+            taken[r.source] += len(r.text.split())
+            times[r.n, r.source] += 1
+        assert all(abs(taken[s] - want[s]) <= 4 for s in want) and max(times.values()) <= 3
+
+
+def test_repeats_like_the_sql(spark, tmp_path):
+    rows = [(7 if i % 3 else None, "a b c" if i % 2 else "d e", "s" if i % 5 else None) for i in range(300)] + [(1000 + i, "x y " * i, "t") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[3], 6), r[4])
+    got = sorted(key(tuple(r)) for r in M.op7_mixing(spark, str(tmp_path)).collect())
+    assert got == sorted(map(key, con.sql(M.OP7_SQL).fetchall()))

@@ -14,8 +14,10 @@ with a third of all rows never meets in one task. Sources are ranked by range pa
 task. The table of sources is broadcast only when its counted rows are few.
 
 Defined results: a null text has size 0; the null source ranks last, the empty one first; sources of
-size 0 have target 0 (as their cap); rows that repeat share a hash, and are taken or left together;
-an empty table gives an empty result; `mix` keeps all other columns, whatever their names.
+size 0 have target 0 (as their cap); rows that repeat id and text share a hash, and where the cut falls
+among them as many are taken as come nearest (which of them is arbitrary, so if they differ in other
+columns, `mix` may take one or the other); null ids are told apart by their texts; an empty table gives
+an empty result; `mix` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ def size_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_of(doc_id: str = "doc_id", seed: str = SEED) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), F.col(doc_id).cast("string")).cast("binary"))
+def order_of(doc_id: str = "doc_id", text: str = "text", seed: str = SEED) -> Column:
+    """A seeded digest of id and text; nulls are left out of it."""
+    own = F.md5(F.col(text).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed), F.col(doc_id).cast("string"), own).cast("binary"))
 
 
 def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
@@ -86,9 +90,10 @@ def _near(left: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, bool]:
-    """From (source, size, ord) of each document: source, source_size, target, whole, cut; and whether the sources are few.
+    """From (source, size, ord) of each document: source, source_size, target, whole, cut, chosen, of; and whether the sources are few.
 
-    A document is taken `whole` times, and once more if its ord is at most `cut` (null: none).
+    A document is taken `whole` times, and once more if its ord is below `cut` (null: none), or equal to it
+    and the document is one of `chosen`; `of` documents have that ord.
     """
     scratch = Scratch(sized.sparkSession, "plan")
     sources = scratch.write(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
@@ -107,19 +112,42 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
         first = crossing.groupBy("source", "want").agg(F.min_by(F.struct("lead", (F.col("upto") - F.col("size")).alias("before")), "lead").alias("x"))
         at = scratch.write(first.select("source", "want", "x.lead", "x.before"), f"at{k}")
     last = _near(sized, at, few).where(F.substring("ord", 1, REFINEMENTS * DIGITS) == F.col("lead"))
-    sums = last.groupBy("source", "ord", "want", "before").agg(F.sum("size").alias("size"))
-    ends = sums.withColumn("upto", F.col("before") + F.sum("size").over(by_source.orderBy("ord")))
-    # the place before these documents is the lead itself, which sorts below all ords that begin with it
-    places = ends.select("source", "want", "ord", "upto").unionByName(at.select("source", "want", F.col("lead").alias("ord"), F.col("before").alias("upto")))
-    nearest = places.groupBy("source").agg(F.min_by("ord", F.struct(F.abs(F.col("upto") - F.col("want")), "ord")).alias("cut"))
-    cuts = scratch.write(nearest, "cuts")
+    sums = last.groupBy("source", "ord", "want", "before").agg(F.sum("size").alias("size"), F.count("*").alias("of"))
+    ends = sums.withColumn("start", F.col("before") + F.sum("size").over(by_source.orderBy("ord")) - F.col("size"))
+    # of the rows with one ord, all of one size, as many as come nearest
+    each = F.col("size") / F.col("of")
+    near = F.least(F.greatest(F.ceil((F.col("want") - F.col("start")) / each - 0.5), F.lit(0)), F.col("of"))
+    chosen = F.when(F.col("size") > 0, near).otherwise(F.lit(0)).cast("long")
+    counted = ends.withColumn("chosen", chosen).withColumn("upto", F.col("start") + (F.col("chosen") * F.col("size") / F.col("of")).cast("long"))
+    places = counted.select("source", "want", "ord", "upto", "chosen", "of")
+    cut = F.min_by(F.struct("ord", "chosen", "of"), F.struct(F.abs(F.col("upto") - F.col("want")), "ord"))
+    cuts = scratch.write(places.groupBy("source").agg(cut.alias("x")).select("source", F.col("x.ord").alias("cut"), "x.chosen", "x.of"), "cuts")
     right = cuts.withColumnRenamed("source", "_source")
     joined = shared.join(right, shared["source"].eqNullSafe(F.col("_source")), "left")
-    return joined.select("source", "source_size", "target", "whole", "cut"), few
+    return joined.select("source", "source_size", "target", "whole", "cut", "chosen", "of"), few
 
 
-def repeats() -> Column:
-    return F.col("whole") + F.when(F.col("ord") <= F.col("cut"), 1).otherwise(0)
+def repeated(rows: DataFrame, decided: DataFrame, few: bool, keep: list[str], scratch: Scratch) -> DataFrame:
+    """`keep` columns and `times` of every row of `rows` (which holds source and ord).
+
+    Where a cut falls among rows of one ord, these rows are numbered, in partitions as they come, and the
+    first of them taken; their numbers are written, so that all who read them see the same.
+    """
+    joined = _near(rows, decided, few)
+    below = F.col("whole") + F.when((F.col("ord") < F.col("cut")) | ((F.col("ord") == F.col("cut")) & (F.col("chosen") >= F.col("of"))), 1).otherwise(0)
+    if decided.where("chosen > 0 and chosen < of").isEmpty():
+        return joined.select(*keep, below.alias("times"))
+    tied = F.coalesce((F.col("ord") == F.col("cut")) & (F.col("chosen") > 0) & (F.col("chosen") < F.col("of")), F.lit(False))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = scratch.write(joined.where(tied).select(*keep, "source", "whole", "chosen", F.spark_partition_id().alias("_part"), place.alias("_place")), "tied")
+    # rows of one source lie between others in a partition, so they are counted by partition and source
+    own = Window.partitionBy("source", "_part").orderBy("_place")
+    counts = placed.groupBy("source", "_part").count()
+    along = Window.partitionBy("source").orderBy("_part")
+    before = counts.select(F.col("source").alias("_source"), F.col("_part").alias("_of"), (F.sum("count").over(along) - F.col("count")).alias("_before"))
+    numbered = placed.withColumn("_n", F.row_number().over(own)).join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_of")))
+    times = F.col("whole") + F.when(F.col("_before") + F.col("_n") <= F.col("chosen"), 1).otherwise(0)
+    return joined.where(~tied).select(*keep, below.alias("times")).unionByName(numbered.select(*keep, times.alias("times")))
 
 
 def measured(docs: DataFrame, scratch: Scratch, seed: str = SEED) -> DataFrame:
@@ -133,21 +161,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     decided, few = plan(measured(docs, scratch, seed).select("source", "size", "ord"), weights, max_epochs)
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), order_of(seed=seed).alias("ord"))
-    times = _near(packed, decided.select("source", "whole", "cut"), few).select("row", repeats().alias("times"))
+    times = repeated(packed, decided.select("source", "whole", "cut", "chosen", "of"), few, ["row"], scratch)
     return times.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = measured(docs, Scratch(spark, "mix"))
+    scratch = Scratch(spark, "mix")
+    sized = measured(docs, scratch)
     decided, few = plan(sized.select("source", "size", "ord"))
-    return _near(sized, decided, few).select("doc_id", "size", "source_size", "target", (repeats() * F.col("size")).alias("taken"))
+    found = repeated(sized, decided, few, ["doc_id", "size", "source_size", "target"], scratch)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
 OP7_SQL = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(concat_ws(':', 'mix-1', doc_id::VARCHAR)) AS ord
+         md5(concat_ws(':', 'mix-1', doc_id::VARCHAR, md5(text))) AS ord
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -169,19 +199,21 @@ shared AS (
 wanted AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM shared),
 places AS (
-  SELECT s.source, s.ord, sum(s.size) AS size FROM sized s GROUP BY s.source, s.ord),
+  SELECT source, ord, sum(size) AS size, count(*) AS n FROM sized GROUP BY source, ord),
 summed AS (
-  SELECT p.source, p.ord, sum(p.size) OVER (PARTITION BY p.source ORDER BY p.ord) AS upto FROM places p),
+  SELECT source, ord, size, n, sum(size) OVER (PARTITION BY source ORDER BY ord) - size AS start FROM places),
 ends AS (
-  SELECT source, ord, upto FROM summed UNION ALL SELECT source, '', 0 FROM wanted),
+  SELECT s.source, ord, n, w.target - w.whole * w.source_size AS want, start, size,
+    CASE WHEN size > 0 THEN least(greatest(ceil((w.target - w.whole * w.source_size - start) / (size / n) - 0.5::DOUBLE), 0), n) ELSE 0 END::BIGINT AS chosen
+  FROM summed s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source
+  WHERE w.target - w.whole * w.source_size > 0),
 cuts AS (
-  SELECT e.source, min_by(e.ord, (abs(e.upto - (w.target - w.whole * w.source_size)), e.ord)) AS cut
-  FROM ends e JOIN wanted w ON e.source IS NOT DISTINCT FROM w.source
-  WHERE w.target - w.whole * w.source_size > 0
-  GROUP BY e.source)
+  SELECT source, min_by({'ord': ord, 'chosen': chosen}, (abs(start + chosen * (size / n) - want), ord)) AS cut FROM ends GROUP BY source),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY source, ord) AS place FROM sized)
 SELECT s.doc_id, s.size, w.source_size, w.target,
-       ((w.whole + CASE WHEN s.ord <= c.cut THEN 1 ELSE 0 END) * s.size)::BIGINT AS taken
-FROM sized s
+       ((w.whole + CASE WHEN s.ord < c.cut.ord OR (s.ord = c.cut.ord AND s.place <= c.cut.chosen) THEN 1 ELSE 0 END) * s.size)::BIGINT AS taken
+FROM numbered s
 JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source
 LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
 """
