@@ -38,28 +38,34 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = _matrix(b.column(1))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), *b.columns[2:]], ["label", "x", "id_hash", "text_hash"])
 
 
 def training_labels(labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS) -> DataFrame:
-    """At most sample_rows agreed labels (doc_id, label) outside the held-out fold."""
+    """At most sample_rows agreed labels (doc_id, label) outside the held-out fold; an id with a null label has none."""
     return (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of_id("doc_id", folds) != 0))
+        labels.where(F.col("doc_id").isNotNull() & (bucket_of_id("doc_id", folds) != 0))
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("label"), F.max("quality").alias("high"))
-        .where("label = high")
+        .agg(F.min("quality").alias("label"), F.max("quality").alias("high"), F.count(F.when(F.col("quality").isNull(), 1)).alias("nulls"))
+        .where("label = high and nulls = 0")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
         .select("doc_id", "label")
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS, **params) -> gbt.Forest:
-    """The forest learnt from the sample; repeated rows of a sampled id add up to twice sample_rows."""
+def sampled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS) -> pa.Table:
+    """(label, x) of the rows to learn from: those of the sampled ids, of which at most 2 * sample_rows, by their hash, where ids repeat."""
     ship(docs.sparkSession)
     chosen = F.broadcast(training_labels(labels, sample_rows, folds))  # sample_rows rows at most
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")
-    found = rows.mapInArrow(_with_features, "label int, x array<double>").limit(2 * sample_rows).toArrow()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text", F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash"))
+    found = rows.mapInArrow(_with_features, "label int, x array<double>, id_hash long, text_hash long")
+    return found.orderBy("id_hash", "text_hash").limit(2 * sample_rows).select("label", "x").toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS, **params) -> gbt.Forest:
+    """The forest learnt from the sample."""
+    found = sampled(docs, labels, sample_rows, folds)
     x = np.asarray(found["x"].to_pylist(), float).reshape(found.num_rows, len(textstats.FEATURES))
     y = np.asarray(found["label"].to_pylist(), float)
     order = np.lexsort(np.column_stack([x, y]).T)  # the same forest, however the rows arrive

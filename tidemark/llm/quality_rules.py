@@ -1,23 +1,29 @@
 """Quality rules: weak supervision in place of an all-must-pass filter.
 
-Every rule looks at a text's counts and votes good, bad, or abstains. How often each combination of
-votes occurs is counted over all documents (at most 3^rules combinations, whatever the number of
-documents); expectation-maximisation on these counts estimates each rule's accuracy and the share of
-good documents; a document's verdict is the posterior probability that it is good, given its votes.
-Two base conditions reject a document before any verdict.
+Every rule looks at one quantity of a text and votes good, bad, or abstains. What is usual is learnt from
+the corpus without labels: a rule's centre and spread are the median and the quartiles' distance over all
+documents that pass the base conditions. Near the centre it votes good, far from it bad, and between it
+abstains. How often each combination of votes occurs is counted over the same documents (at most 3^rules
+combinations, whatever the number of documents); expectation-maximisation on these counts estimates each
+rule's accuracy on good and on bad documents and the share of good ones; a document's verdict is the
+posterior probability that it is good, given its votes. A rule that often faults good documents thus
+weighs little, and a document is rejected by rules that agree, not by any one of them. Two base
+conditions reject a document before any verdict.
 
 Defined results: a null text is the empty text: no words, so base_failed; ties of the posterior with
-the threshold keep the document; repeated rows and null ids are rows like any other; an empty table
-gives an empty result; other columns are not read.
+the threshold keep the document; repeated rows and null ids are rows like any other; an empty table,
+and one of which no document passes the base conditions, has no posterior to learn: all posteriors are
+then those of the prior; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textstats
@@ -28,52 +34,86 @@ KEEP_FROM = 0.5
 MIN_WORDS = 50
 #: Of the words, the per cent in repeated three-word windows above which the base conditions reject.
 MAX_REPEAT_PERCENT = 50
+#: Spreads from the centre within which a rule votes good, and beyond which bad.
+GOOD_WITHIN, BAD_BEYOND = 1.5, 3.0
+#: Relative error of the medians and quartiles is at most one part in so many.
+ACCURACY = 10_000
+#: What is believed before any document is seen, each worth PRIOR_DOCUMENTS documents: the share of good
+#: documents, and a rule's two accuracies.
+GOOD, RIGHT_ON_GOOD, RIGHT_ON_BAD, PRIOR_DOCUMENTS = 0.9, 0.95, 0.5, 1.0
+
+
+class Rule(NamedTuple):
+    """`least`: the least spread that means anything; `side`: 1 faults large values, -1 small ones, 0 both."""
+
+    name: str
+    quantity: str
+    side: int
+    least: float
+
 
-#: (rule, quantity, votes good up to, votes bad from); it abstains in between. Quantities are ratios of the counts.
 RULES = (
-    ("few_symbols", "n_symbols / greatest(n_words, 1)", 0.10, 0.25),
-    ("almost_no_symbols", "n_symbols / greatest(word_chars, 1)", 0.01, 0.05),
-    ("little_repetition", "n_repeat_words / greatest(n_words, 1)", 0.15, 0.40),
-    ("few_duplicate_lines", "n_dup_lines / greatest(n_words, 1)", 0.01, 0.05),
-    ("short_words", "word_chars / greatest(n_words, 1)", 9.0, 14.0),
-    ("no_stub", "100 / greatest(n_words, 1)", 1.6, 2.5),
+    Rule("symbols", "n_symbols / greatest(n_words, 1)", 1, 0.05),
+    Rule("word_length", "word_chars / greatest(n_words, 1)", 0, 0.3),
+    Rule("short_words", "n_short_words / greatest(n_words, 1)", 0, 0.03),
+    Rule("top_word", "n_top_word / greatest(n_words, 1)", 1, 0.02),
+    Rule("repetition", "n_repeat_words / greatest(n_words, 1)", 1, 0.05),
+    Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", 1, 0.05),
+    Rule("variety", "if(n_words > 1, ln(n_distinct) / ln(n_words), 1)", -1, 0.02),
+    Rule("stops", "n_stops / greatest(n_words, 1)", 0, 0.03),
+    Rule("digits", "n_digits / greatest(word_chars, 1)", 1, 0.01),
 )
-_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_SCHEMA = "doc_id long, " + ", ".join(f"{n} long" for n in textstats.COUNTS)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in _SCHEMA.split(", ")]
+    names = ["doc_id", *textstats.COUNTS]
     for b in batches:
         rows = np.asarray([textstats.rule_counts(x or b"") for x in b.column(1).cast(pa.binary()).to_pylist()], np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.reshape(-1, 5).T)], names)
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in rows.reshape(-1, len(textstats.COUNTS)).T)], names)
 
 
-def with_votes(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text, base_failed, and `votes`: a character per rule, + good, - bad, 0 abstains."""
+def counted(docs: DataFrame) -> DataFrame:
+    """Counts of every whole text, and base_failed."""
     counts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_counts, _SCHEMA)
-    votes = [F.when(F.expr(q) <= good, "+").when(F.expr(q) >= bad, "-").otherwise("0") for _, q, good, bad in RULES]
-    return counts.withColumn(
-        "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    ).withColumn("votes", F.concat(*votes))
+    return counts.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+
+def usual(counts: DataFrame) -> list[tuple[float, float]]:
+    """Each rule's centre and spread over all documents that pass the base conditions."""
+    quartiles = [F.percentile_approx(F.expr(r.quantity), [0.25, 0.5, 0.75], ACCURACY).alias(r.name) for r in RULES]
+    found = counts.where("not base_failed").agg(*quartiles).first()
+    return [(q[1], max(q[2] - q[0], r.least)) if q else (0.0, 1.0) for r, q in zip(RULES, found, strict=True)]
+
+
+def votes_of(centres: list[tuple[float, float]]) -> Column:
+    """A character per rule: + good, - bad, 0 abstains."""
+
+    def vote(rule: Rule, centre: float, spread: float) -> Column:
+        off = (F.expr(rule.quantity) - centre) / spread
+        off = F.abs(off) if rule.side == 0 else off * rule.side
+        return F.when(off <= GOOD_WITHIN, "+").when(off > BAD_BEYOND, "-").otherwise("0")
+
+    return F.concat(*[vote(r, *c) for r, c in zip(RULES, centres, strict=True)])
 
 
 def estimate(patterns: dict[str, int], rounds: int = 500) -> tuple[float, np.ndarray, np.ndarray]:
     """The share of good documents and each rule's two accuracies, by expectation-maximisation.
 
     Where a rule votes, it is right on good documents with its first accuracy and on bad ones with its
-    second: a rule that knows one defect is nearly always right to see it, and often misses others.
-    Abstaining tells nothing. Rules are written so that they seldom fault a good document, so the first
-    accuracy stays within 0.98 and 0.9999; the second stays within 0.05 and 0.99.
+    second. Abstaining tells nothing. The priors are worth PRIOR_DOCUMENTS documents each, so that they
+    keep estimates inside (0, 1) and say which of the two classes is the good one, and no more.
     """
     votes = _signs(patterns)
+    n_rules = votes.shape[1]
     weight = np.asarray(list(patterns.values()), float)
-    good, on_good, on_bad = 0.9, np.full(len(RULES), 0.999), np.full(len(RULES), 0.4)
+    good, on_good, on_bad = GOOD, np.full(n_rules, RIGHT_ON_GOOD), np.full(n_rules, RIGHT_ON_BAD)
     for _ in range(rounds if len(weight) else 0):
         q = posterior(votes, good, on_good, on_bad)
         as_good, as_bad = weight * q, weight * (1 - q)
-        new_good = np.clip((as_good @ (votes > 0) + 0.999) / (as_good @ (votes != 0) + 1), 0.98, 0.9999)
-        new_bad = np.clip((as_bad @ (votes < 0) + 0.4) / (as_bad @ (votes != 0) + 1), 0.05, 0.99)
-        share = float(np.clip((as_good.sum() + 0.9) / (weight.sum() + 1), 0.01, 0.99))
+        new_good = (as_good @ (votes > 0) + PRIOR_DOCUMENTS * RIGHT_ON_GOOD) / (as_good @ (votes != 0) + PRIOR_DOCUMENTS)
+        new_bad = (as_bad @ (votes < 0) + PRIOR_DOCUMENTS * RIGHT_ON_BAD) / (as_bad @ (votes != 0) + PRIOR_DOCUMENTS)
+        share = float((as_good.sum() + PRIOR_DOCUMENTS * GOOD) / (weight.sum() + PRIOR_DOCUMENTS))
         moved = max(abs(share - good), float(np.abs(new_good - on_good).max()), float(np.abs(new_bad - on_bad).max()))
         good, on_good, on_bad = share, new_good, new_bad
         if moved < 1e-10:
@@ -82,7 +122,8 @@ def estimate(patterns: dict[str, int], rounds: int = 500) -> tuple[float, np.nda
 
 
 def _signs(patterns: Iterable[str]) -> np.ndarray:
-    return np.asarray([[{"+": 1, "-": -1}.get(v, 0) for v in p] for p in patterns], float).reshape(-1, len(RULES))
+    rows = [[{"+": 1, "-": -1}.get(v, 0) for v in p] for p in patterns]
+    return np.asarray(rows, float) if rows else np.zeros((0, len(RULES)))
 
 
 def vote_weights(on_good: np.ndarray, on_bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +140,9 @@ def judge(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """Counts, base_failed, votes, posterior and kept of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "rules")
-    counted = scratch.write(with_votes(docs), "counted")
-    found = {r["votes"]: r["count"] for r in counted.groupBy("votes").count().collect()}  # 3^rules rows at most
+    counts = scratch.write(counted(docs), "counted")
+    voted = counts.withColumn("votes", votes_of(usual(counts)))
+    found = {r["votes"]: r["count"] for r in voted.where("not base_failed").groupBy("votes").count().collect()}  # 3^rules rows at most
     patterns = dict(sorted(found.items()))
     good, on_good, on_bad = estimate(patterns)
     odds = F.lit(float(np.log(good / (1 - good))))
@@ -108,7 +150,7 @@ def judge(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
         vote = F.substring("votes", k + 1, 1)
         odds = odds + F.when(vote == "+", float(plus)).when(vote == "-", float(minus)).otherwise(0.0)
     chance = 1 / (1 + F.exp(-odds))
-    return counted.withColumn("posterior", chance).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
+    return voted.withColumn("posterior", chance).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

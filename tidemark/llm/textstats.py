@@ -9,6 +9,7 @@ import numpy as np
 #: Characters that the symbol rule counts (fixed values).
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL_CODES = np.frombuffer(SYMBOLS, np.uint8)
+_STOP_CODES = np.frombuffer(b".!?", np.uint8)
 _SPACE_CODES = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
 
 
@@ -52,15 +53,28 @@ def repeated_window_words(ids: np.ndarray, width: int = 3) -> int:
     return int(covered.sum())
 
 
-def rule_counts(text: bytes) -> tuple[int, int, int, int, int]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of a whole text."""
+#: Names of what `rule_counts` returns, in order.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_short_words", "n_top_word", "n_distinct", "n_stops", "n_digits")
+
+
+def rule_counts(text: bytes) -> tuple[int, ...]:
+    """COUNTS of a whole text. Lines hold a word; short words have at most three bytes; n_top_word counts the commonest word."""
     words, counts = text.split(), byte_counts(text)
+    ids = numbered(words)
+    tally = np.bincount(ids, minlength=1)
+    lines = [x for x in text.split(b"\n") if x.strip(b" \t\x0b\x0c\r")]
     return (
         len(words),
         code_points(counts) - int(counts[_SPACE_CODES].sum()),
         int(counts[_SYMBOL_CODES].sum()),
-        duplicate_lines(text),
-        repeated_window_words(numbered(words)),
+        len(lines) - len(set(lines)),
+        repeated_window_words(ids),
+        len(lines),
+        sum(n <= 3 for n in map(len, words)),
+        int(tally.max()),
+        len(tally) if words else 0,
+        int(counts[_STOP_CODES].sum()),
+        int(counts[48:58].sum()),
     )
 
 
