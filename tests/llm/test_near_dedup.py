@@ -33,7 +33,7 @@ def full_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)])
 
 
-def brute(rows):
+def brute(rows, similarity=85):
     """{row number: (n_shingles, component, kept)} by all pairs."""
     sets = [full_set(t) for _, t in rows]
     of = list(range(len(rows)))
@@ -47,9 +47,9 @@ def brute(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)) and root(i) != root(j):
+            if a and b and 100 * min(len(a), len(b)) >= similarity * max(len(a), len(b)) and root(i) != root(j):
                 shared = len(a & b)
-                if 100 * shared >= 85 * (len(a) + len(b) - shared):
+                if 100 * shared >= similarity * (len(a) + len(b) - shared):
                     of[root(i)] = root(j)
     groups = {}
     for k, (doc_id, _) in enumerate(rows):
@@ -154,7 +154,8 @@ def test_empty_table(spark):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=12))
 def test_linked_groups_like_all_pairs(sets):
-    got = N.linked_groups([np.asarray(sorted(s), np.uint64) for s in sets])
+    arrays = [np.asarray(sorted(s), np.uint64) for s in sets]
+    got = N.linked_groups(arrays)
     want = list(range(len(sets)))
     for _ in sets:
         for i, a in enumerate(sets):
@@ -164,6 +165,32 @@ def test_linked_groups_like_all_pairs(sets):
     assert got == want
 
 
+def test_many_rows_of_no_id(spark):
+    """A thousand rows of the null id, near copies among them, beside rows of one repeated id."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    rows = []
+    for k in range(250):
+        t = text(rng.randrange(20, 60))
+        rows += [(None, t), (None, edited(rng, t, 1)), (None, t), (5 if k % 2 else 2000 + k, edited(rng, t, k % 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert seen(N.link(docs)) == brute(rows)
+
+
+def test_long_near_copies_are_cut_by_volume(spark, monkeypatch):
+    """A thousand near copies of a long text, and some that are linked with few of them."""
+    rng = random.Random(9)
+    base = " ".join(f"w{rng.randrange(50_000)}" for _ in range(1_500))
+    rows = [(i, edited(rng, base, rng.randrange(1, 12))) for i in range(1_000)] + [(3000, base), (3001, base.upper())]
+    far = base
+    for k in range(40):  # ends far from the first
+        far = edited(rng, far, 8)
+        rows.append((4000 + k, far))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(N, "GROUP_SHINGLES", 100_000)
+    assert {(r.component_id, r.kept) for r in N.link(docs).collect()} == {(0, True), (0, False)}
+
+
 def test_components_of_a_path_a_star_and_a_ring(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 150)] + [(200 + i, 200 + (i + 1) % 7) for i in range(7)] + [(5, 5)]
     random.Random(1).shuffle(edges)

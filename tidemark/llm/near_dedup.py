@@ -13,7 +13,12 @@ Leaves compare signatures, with a margin of more than four standard deviations b
 and hand on stars, not pairs. The classes that stars connect are then confirmed on full sets: each
 such group is searched from class to class, exact intersections deciding, so links cost memory in
 proportion to the group, and members of a group are never expanded into pairs. A group too large for
-one task is confirmed leaf by leaf, and the leaves' confirmed links are connected afterwards.
+one task is cut into blocks, each of which meets the group's first class; only classes that are not
+linked with it by then go on to meet, leaf by leaf, what they met there, and the confirmed links are
+connected. So in a large group a link is lost if its two classes met in no leaf (probability below 1e-5);
+smaller groups find it even then. What one task holds is bounded in classes and in shingles, but for a
+single longer text. Each class's text is fetched by id and text digest, so rows that share an id, or have
+none, do not meet each other's classes.
 
 Defined results: texts without words, null texts too, have an empty set, link with nothing, and are
 their own component; rows that repeat are equal texts, so they share a component; a null doc_id takes
@@ -46,12 +51,11 @@ LATER_BRANCHES = 2
 #: Nodes of more classes branch on, up to so many levels.
 SMALL = 2000
 LEVELS = 12
-#: A group of more classes or shingles is confirmed leaf by leaf.
+#: Classes and shingles, about, that one task confirms at once; larger groups are cut.
 GROUP_CLASSES = 4000
 GROUP_SHINGLES = 4_000_000
 
 
-
 def margin(similarity: int) -> int:
     """Agreeing coordinates from which classes are confirmed: fewer agree by chance in at most MISSED of pairs."""
     p, below = similarity / 100, 0.0
@@ -249,31 +253,44 @@ def linked_groups(sets: list[np.ndarray], similarity: int = SIMILARITY) -> list[
 
 
 def _confirmed(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From texts by unit, each class's confirmed links as stars (a, b)."""
+    """From texts by unit, in the order of units and classes, each class's confirmed links as stars (a, b)."""
+
+    def stars(sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        names = list(sets)
+        of = linked_groups([sets[x] for x in names], similarity) if len(names) > 1 else []
+        linked = [k for k, root in enumerate(of) if k != root]
+        pairs = [names[of[k]] for k in linked], [names[k] for k in linked]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in pairs], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cuts in _by_key(batches):
-            a, b = [], []
-            expected = t.column(1).to_pylist()
-            texts = t.column(2).cast(pa.binary()).to_pylist()
-            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                sets: dict[bytes, np.ndarray] = {}
-                for k in range(begin, end):
-                    if expected[k] not in sets:
-                        found = shingles(texts[k])
-                        if len(found) and identity(found) == expected[k]:
-                            sets[expected[k]] = found
-                if len(sets) > 1:
-                    names = sorted(sets)
-                    for k, root in enumerate(linked_groups([sets[x] for x in names], similarity)):
-                        if k != root:
-                            a.append(names[root])
-                            b.append(names[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        sets: dict[bytes, np.ndarray] = {}
+        key = None
+        for b in batches:
+            texts = b.column(2).cast(pa.binary())
+            for k, (unit, name) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if unit != key:
+                    if len(sets) > 1:
+                        yield stars(sets)
+                    sets, key = {}, unit
+                if name not in sets:
+                    found = shingles(texts[k].as_py())
+                    if len(found) and identity(found) == name:
+                        sets[name] = found
+        yield stars(sets)
 
     return run
 
 
+def _blocks(rows: DataFrame, key: str, scratch: Scratch, name: str) -> DataFrame:
+    """rows (key, class, n_shingles, ...) with `unit`: a key's classes, or where they are too many each pair of blocks of them."""
+    much = F.greatest(F.count("*") / GROUP_CLASSES, F.sum("n_shingles") / GROUP_SHINGLES)
+    sizes = scratch.write(rows.groupBy(key).agg(F.when(much > 1, F.ceil(2 * much)).otherwise(1).cast("int").alias("_blocks")), name)
+    placed = rows.join(sizes, key).withColumn("_own", F.pmod(F.xxhash64("class"), "_blocks").cast("int"))
+    other = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    unit = F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return other.withColumn("unit", unit).drop("_blocks", "_own", "_other")
+
+
 def _first(first_id: str, first_text: str) -> Column:
     """The struct whose minimum is the row of the smallest id, null last; ties go to the smallest text_id."""
     return F.struct(F.col(first_id).isNull(), F.col(first_id), F.col(first_text))
@@ -303,29 +320,55 @@ def link(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     # written before they are joined: a join of two scans can be split where one group is large
     fitting = scratch.write(sizes.select("component", fits.alias("fits")), "fitting")
     sized = scratch.write(members.join(fitting, "component"), "sized")
-    units = sized.where("fits").select(F.xxhash64("component").alias("unit"), "class", "first_id")
-    split = not sized.where("not fits").isEmpty()
-    if split:
-        parts = met.join(sized.where("not fits").select("class", "first_id"), "class")
-        units = units.unionByName(parts.select(F.col("node").alias("unit"), "class", "first_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    # units grow with the corpus, so they are never broadcast: one plan at every size
-    with_text = units.hint("merge").join(texts, F.col("first_id").eqNullSafe(F.col("_id"))).select("unit", "class", "text")
-    confirmed = with_text.repartition("unit").sortWithinPartitions("unit").mapInArrow(_confirmed(similarity), "a binary, b binary")
-    if split:
-        joined = components(confirmed, scratch, "links").select(F.col("node").alias("class"), "component")
-    else:
-        stars = scratch.write(confirmed, "links")
+    own = ("class", "first_id", "first_text")
+    repeats = not sketched.groupBy("doc_id", "text_id").count().where("count > 1").isEmpty()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_id(F.col("text")).alias("_text"), "text")
+
+    def confirmed(units: DataFrame) -> DataFrame:
+        """The links between the classes of each unit, as stars."""
+        # units grow with the corpus, so they are never broadcast: one plan at every size
+        same = F.col("first_id").eqNullSafe(F.col("_id")) & (F.col("first_text") == F.col("_text"))
+        with_text = units.select("unit", *own).hint("merge").join(texts, same).select("unit", "class", "text")
+        if repeats:  # one row stands for those that repeat it, before they are dealt
+            with_text = with_text.dropDuplicates(["unit", "class"])
+        return with_text.repartition("unit").sortWithinPartitions("unit", "class").mapInArrow(_confirmed(similarity), "a binary, b binary")
+
+    fit = sized.where("fits").select(F.xxhash64("component").alias("unit"), *own)
+    large = sized.where("not fits")
+    if large.isEmpty():
+        stars = scratch.write(confirmed(fit), "links")
         roots = stars.select(F.col("a").alias("class"), F.col("a").alias("component")).distinct()
         joined = stars.select(F.col("b").alias("class"), F.col("a").alias("component")).unionByName(roots)
+    else:
+        # a large group's first class meets all others, block by block; most near copies are linked by that
+        parts = F.ceil(2 * F.greatest(F.col("n") / GROUP_CLASSES, F.col("shingles") / GROUP_SHINGLES)).cast("int")
+        counted = scratch.write(sizes.where(~fits).select("component", parts.alias("parts")), "counted")
+        dealt = large.join(counted, "component")
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        block = F.when(F.col("class") == F.col("component"), every).otherwise(F.array(F.pmod(F.xxhash64("class"), "parts").cast("int")))
+        met_first = dealt.withColumn("block", F.explode(block)).select(F.xxhash64("component", "block").alias("unit"), *own)
+        links = scratch.write(confirmed(fit.unionByName(met_first)), "links")
+        pieces = components(links, scratch, "pieces").select(F.col("node").alias("class"), F.col("component").alias("piece"))
+        # classes that are not in the piece of their group's first class meet what they met in leaves
+        led = scratch.write(large.join(pieces, "class", "left").select("component", "class", F.coalesce("piece", "class").alias("piece")), "led")
+        first = led.where("class = component").select("component", F.col("piece").alias("main"))
+        apart = scratch.write(led.join(first, "component").where("piece <> main").select("class"), "apart")
+        if apart.isEmpty():
+            joined = pieces.withColumnRenamed("piece", "component")
+        else:
+            nodes = scratch.write(met.join(apart, "class").select("node").distinct(), "nodes")
+            again = met.join(nodes, "node").join(large.select("n_shingles", *own), "class")
+            rest = scratch.write(confirmed(_blocks(again, "node", scratch, "blocks")), "rest")
+            joined = components(links.unionByName(rest), scratch, "joined").select(F.col("node").alias("class"), "component")
 
     named = joined.join(members.select("class", "first_id", "first_text"), "class")
     named = scratch.write(named, "named")
     least = scratch.write(named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.min(_first("first_id", "first_text"))["first_text"].alias("keeper")), "least")
     of_class = scratch.write(named.join(least, "component").select("class", "component_id", "keeper"), "of_class")
-    scratch.drop("met", "members", "fitting", "sized", "links", "candidates-stars", "links-stars", "named", "least")
-    own = classes.select("class", "first_id", "first_text").join(of_class, "class", "left")
-    ids = own.select("class", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("keeper", "first_text").alias("keeper"))
+    scratch.drop("met", "members", "fitting", "sized", "links", "candidates-stars", "named", "least")
+    scratch.drop("counted", "pieces-stars", "led", "apart", "nodes", "blocks", "rest", "joined-stars")
+    every = classes.select(*own).join(of_class, "class", "left")
+    ids = every.select("class", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("keeper", "first_text").alias("keeper"))
     ids = scratch.write(ids, "ids")
     found = with_words.select("doc_id", "text_id", "n_shingles", "class").join(ids, "class")
     alone = sketched.where("class is null").select("class", "doc_id", "text_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("text_id").alias("keeper"))
