@@ -18,6 +18,10 @@ from tidemark.llm import mixing, near_dedup, packing, quality_classifier, secret
 from tidemark.llm.common import Scratch, table
 
 
+#: Of two documents' five-word shingles together, the per cent that near copies share at least.
+SIMILARITY = 80
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from labels of these documents, predicts to be good."""
     forest = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -25,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    return near_dedup.keep_documents(docs)
+    """One document of each group of near copies, that of the smallest id; copies share SIMILARITY per cent of their shingles or more."""
+    return near_dedup.keep_documents(docs, SIMILARITY)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
