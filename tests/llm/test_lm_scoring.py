@@ -113,3 +113,53 @@ def test_no_rows_and_no_training_rows(spark):
     assert L.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(100) if crc32(str(i).encode()) % L.FOLDS == 0)
     assert seen(L.score_documents(spark.createDataFrame([(held, "a b")], "doc_id long, text string"), rounds=1)) == base([(held, "a b")])
+
+
+def plain_model(rows, rounds):
+    """{row: (log10 probability, by the first weights too)}, segmentation by segmentation of dictionaries, words one by one."""
+    pieces, logp = L.pieces_and_weights()
+    number = {p: i for i, p in enumerate(pieces)}
+    n, longest = len(pieces), max(map(len, pieces))
+    out = lambda i: crc32(("" if i is None else str(i)).encode()) % L.FOLDS == 0
+    words = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+
+    def steps(text, at):
+        found = [(k, (number[text[at:k]],)) for k in range(at + 1, min(len(text), at + longest) + 1) if text[at:k] in number]
+        return found if text[at] in number else [*found, (at + 1, tuple(n + x for x in text[at].encode()))]
+
+    def forward(text, w):
+        total = [1.0] + [0.0] * len(text)
+        for at in range(len(text)):
+            for k, used in steps(text, at):
+                total[k] += total[at] * math.prod(w[i] for i in used)
+        return total
+
+    first = w = np.exp(logp)
+    for _ in range(rounds):
+        counts = np.full(len(w), L.SMOOTHING)
+        for i, t in rows:
+            if out(i):
+                continue
+            counts[n + 256] += 1
+            for word in words(t):
+                text = MARK + word
+                alpha, beta = forward(text, w), [0.0] * len(text) + [1.0]
+                for at in range(len(text) - 1, -1, -1):
+                    beta[at] = sum(math.prod(w[i] for i in used) * beta[k] for k, used in steps(text, at))
+                for at in range(len(text)):
+                    for k, used in steps(text, at):
+                        for i in used:
+                            counts[i] += alpha[at] * math.prod(w[j] for j in used) * beta[k] / alpha[-1]
+        w = counts / counts.sum()
+    score = lambda t, w: sum(math.log10(forward(MARK + x, w)[-1]) for x in words(t)) + math.log10(w[n + 256])
+    return [(score(t, w), score(t, first)) for _, t in rows]
+
+
+@pytest.mark.parametrize("rounds,common", [(0, 1000), (1, 3), (2, 0)])
+def test_score_like_plain_segmentation(spark, rounds, common):
+    texts = ["the quick brown fox", "The thing, unbelievable!", "", None, "漢字 and é", "aaaa bbbb the", "x" * 40 + " end", "the the the", "\u00a0 odd", "internationalisation"]
+    rows = list(enumerate(texts * 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in L.score_documents(docs, common_words=common, rounds=rounds).collect()}
+    for (i, _), (score, first) in zip(rows, plain_model(rows, rounds), strict=True):
+        assert got[i].score == pytest.approx(score) and got[i].first_score == pytest.approx(first)

@@ -75,3 +75,16 @@ def test_few_rows(spark, n):
     valid = P.valid_vectors(vectors)
     got = seen(P.search(valid, valid))
     assert {q: len(h) for q, h in got.items()} == {50 * i: n - 1 for i in range(n) if n > 1}
+
+
+def test_huge_and_tiny_components(spark):
+    """Finite vectors of any size take part; cosine does not depend on their lengths."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 4))
+    scale = [1.0, 1e200, 1e-200, 1e308 / 4, 5e-300]
+    rows = [(i, (x[i] * scale[i % 5]).tolist()) for i in range(150)]
+    got = P.search(*(P.valid_vectors(spark.createDataFrame(r, "vec_id long, embedding array<double>")) for r in (rows, rows[::50]))).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 15
+    for r in got:
+        assert r.score == pytest.approx(float(unit[r.query_id] @ unit[r.vec_id]), abs=1e-9)

@@ -98,7 +98,7 @@ class Lattice:
         return Edges(node[i], node[i] + k, piece_, place[i], place[i] + k, begin + np.arange(len(words)), begin + np.arange(len(words)) + size, spelt)
 
     def _weights(self, e: Edges, logp: np.ndarray) -> np.ndarray:
-        spelt = np.asarray([logp[self.n + np.frombuffer(c, np.uint8)].sum() for c in e.spelt] or [0.0])
+        spelt = np.asarray([logp[self.n + np.frombuffer(c, np.uint8).astype(np.int64)].sum() for c in e.spelt] or [0.0])
         return np.where(e.piece >= 0, logp[np.maximum(e.piece, 0)], spelt[np.maximum(-1 - e.piece, 0)])
 
     @staticmethod
@@ -114,12 +114,18 @@ class Lattice:
 
     def log_probability(self, words: list[str], logp: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability, summed over all its segmentations."""
+        return self.log_probabilities(words, [logp])[0]
+
+    def log_probabilities(self, words: list[str], weights: list[np.ndarray]) -> list[np.ndarray]:
+        """The same by several weights of the pieces."""
         if not words:
-            return np.zeros(0)
-        e = self.edges(words)
-        alpha = np.zeros(int(e.last[-1]) + 1)
-        self._recur(e.stop, e.end, e.start, self._weights(e, logp), alpha, False)
-        return alpha[e.last]
+            return [np.zeros(0) for _ in weights]
+        e, out = self.edges(words), []
+        for logp in weights:
+            alpha = np.zeros(int(e.last[-1]) + 1)
+            self._recur(e.stop, e.end, e.start, self._weights(e, logp), alpha, False)
+            out.append(alpha[e.last])
+        return out
 
     def expected_counts(self, words: list[str], times: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """How often each piece is used in expectation, when each word occurs `times` times."""
@@ -137,5 +143,5 @@ class Lattice:
         total[: self.n] = np.bincount(e.piece[own], share[own], self.n)
         spelt = np.bincount(-1 - e.piece[~own], share[~own], max(1, len(e.spelt)))
         for c, x in zip(e.spelt, spelt, strict=False):
-            np.add.at(total, self.n + np.frombuffer(c, np.uint8), x)
+            np.add.at(total, self.n + np.frombuffer(c, np.uint8).astype(np.int64), x)
         return total

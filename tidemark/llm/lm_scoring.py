@@ -3,8 +3,12 @@
 The vocabulary is that of a public subword tokenizer. Its scores give the first weights of the
 pieces; expectation-maximisation over the words of all training documents fits them to the corpus. A
 text's score is the log10 probability of its lower-cased words and end, each word's probability
-being the sum over all its segmentations, by a forward recursion in log space. Beside it stands a
-word unigram with additive smoothing (base_score).
+being the sum over all its segmentations, by a forward recursion in log space. Beside it stand the
+same by the first weights (first_score) and a word unigram with additive smoothing (base_score).
+
+A deviation: no public vocabulary at hand has unigram scores. The file's are the ranks of a merge
+order, so the first weights are reciprocal ranks, no more than a beginning, and `score` is that of the
+fitted weights.
 
 How it scales: word counts are summed by Spark into a table (`words`), which is as large as the
 corpus makes it and is never collected. Only the COMMON most frequent words and the pieces' weights
@@ -141,15 +145,15 @@ def fit_weights(words: DataFrame, lattice: Lattice, logp: np.ndarray, ends: int,
     return logp
 
 
-_PARTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("word", pa.string()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
-_PARTS_DDL = "key long, doc_id long, n_tokens long, known long, base double, model double, word string, keys array<long>, times array<int>"
+_PARTS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("first", pa.float64()), ("word", pa.string()), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+_PARTS_DDL = "key long, doc_id long, n_tokens long, known long, base double, model double, first double, word string, keys array<long>, times array<int>"
 
 
 def _parts(common):
     """Per document what its common words add up to; per uncommon word, the documents that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known, base, model = common.value
+        number, known, base, model, first = common.value
         key = TaskContext.get().partitionId() << 36
         rare: dict[bytes, int] = {}
         posted: list[tuple[np.ndarray, np.ndarray, int]] = []
@@ -175,7 +179,7 @@ def _parts(common):
                 words = _lower_words(text)
                 at = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
                 own = at[at >= 0]
-                rows.append((key, doc_id, len(words) + 1, int(known[own].sum()), float(base[own].sum()), float(model[own].sum()), None, None, None))
+                rows.append((key, doc_id, len(words) + 1, int(known[own].sum()), float(base[own].sum()), float(model[own].sum()), float(first[own].sum()), None, None, None))
                 if len(own) < len(words):
                     mine = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
                     ids = np.fromiter((rare.setdefault(w, len(rare)) for w in mine), np.int64, len(mine))
@@ -194,6 +198,9 @@ def _parts(common):
     return run
 
 
+_MODELS = ("base", "model", "first")
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Joined postings to one row per document: its uncommon words' part of known, base and model."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -202,14 +209,13 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         keys = np.concatenate([h[0] for h in held])
         key, at = np.unique(keys, return_inverse=True)
-        known, base, model = (np.bincount(at, np.concatenate([h[k] for h in held]), len(key)) for k in (1, 2, 3))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model)], ["key", "known", "base", "model"])
+        known, *sums = (np.bincount(at, np.concatenate([h[k] for h in held]), len(key)) for k in (1, 2, 3, 4))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(known.astype(np.int64)), *map(pa.array, sums)], ["key", "known", *_MODELS])
 
     for b in batches:
         keys, times = b.column(0).flatten().to_numpy(), b.column(1).flatten().to_numpy()
         lengths = np.diff(b.column(0).offsets.to_numpy())
-        known, base, model = (np.repeat(b.column(k).to_numpy(), lengths) * times for k in (2, 3, 4))
-        held.append((keys, known, base, model))
+        held.append((keys, *(np.repeat(b.column(k).to_numpy(), lengths) * times for k in (2, 3, 4, 5))))
         size += len(keys)
         if size > 4 * HELD:
             yield rows()
@@ -219,7 +225,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int = FOLDS, common_words: int = COMMON, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and first_score of every row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     words = scratch.write(word_counts(docs, folds), "words")
@@ -228,33 +234,33 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int =
     total, distinct = words.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0))).first()
     total, distinct = (total or 0) + ends, (distinct or 0) + (ends > 0)
 
-    pieces, logp = pieces_and_weights(vocabulary)
+    pieces, first = pieces_and_weights(vocabulary)
     lattice = Lattice(pieces)
-    logp = fit_weights(words, lattice, logp, ends, rounds)
+    logp = fit_weights(words, lattice, first, ends, rounds)
 
     floor = float(np.log10(total + 0.1 * (distinct + 1)))
     term = lambda c: np.log10(c + 0.1) - floor
     top = words.orderBy(F.desc("c"), "word").limit(common_words).select("word", "c").toArrow()
     names, c = top["word"].to_pylist(), top["c"].to_numpy()
-    in_model = lambda w, lattice, logp: lattice.log_probability(w, logp) / _LN10
-    chunks = [in_model(names[i : i + 10_000], lattice, logp) for i in range(0, len(names), 10_000)]
-    common = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(names)}, c > 0, term(c), np.concatenate([np.zeros(0), *chunks])))
+    in_model = lambda w, lattice, *weights: np.stack(lattice.log_probabilities(w, list(weights))) / _LN10
+    chunks = [in_model(names[i : i + 10_000], lattice, logp, first) for i in range(0, len(names), 10_000)]
+    common = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(names)}, c > 0, term(c), *np.concatenate([np.zeros((2, 0)), *chunks], axis=1)))
     parts = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_parts(common), _PARTS_DDL), "parts")
 
-    model = spark.sparkContext.broadcast((lattice, logp))
+    model = spark.sparkContext.broadcast((lattice, logp, first))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, logp = model.value
         for b in batches:
             c = b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((c > 0).astype(np.int64)), pa.array(term(c)), pa.array(in_model(b.column(0).to_pylist(), lattice, logp))], ["word", "known", "base", "model"])
+            found = in_model(b.column(0).to_pylist(), *model.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((c > 0).astype(np.int64)), pa.array(term(c)), *map(pa.array, found)], ["word", "known", *_MODELS])
 
-    table_ = words.select("word", "c").mapInArrow(weighed, "word string, known long, base double, model double")
-    joined = parts.where("word is not null").select("word", "keys", "times").join(table_, "word").select("keys", "times", "known", "base", "model")
-    rest = joined.mapInArrow(_sums, "key long, known long, base double, model double")
-    own = parts.where("word is null").select("key", "doc_id", "n_tokens", "known", "base", "model")
+    table_ = words.select("word", "c").mapInArrow(weighed, "word string, known long, base double, model double, first double")
+    joined = parts.where("word is not null").select("word", "keys", "times").join(table_, "word").select("keys", "times", "known", *_MODELS)
+    rest = joined.mapInArrow(_sums, "key long, known long, base double, model double, first double")
+    own = parts.where("word is null").select("key", "doc_id", "n_tokens", "known", *_MODELS)
     sums = own.unionByName(rest, allowMissingColumns=True).groupBy("key").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(x).alias(x) for x in ("known", "base", "model"))
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(x).alias(x) for x in ("known", *_MODELS))
     )
     return sums.select(
         "doc_id",
@@ -263,6 +269,7 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY, folds: int =
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + float(term(ends))).alias("base_score"),
         (F.col("model") + float(logp[lattice.end] / _LN10)).alias("score"),
+        (F.col("first") + float(first[lattice.end] / _LN10)).alias("first_score"),
     )
 
 

@@ -59,8 +59,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1: the same directions, bit for bit, whose squares neither overflow nor vanish."""
+    exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]
+    return np.ldexp(x, -exponent)
+
+
 def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Each row's rank of each pivot, nearest 0; ties to the earlier pivot."""
+    x = scaled(x)
     seen = np.argsort(-(x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T, axis=1, kind="stable")
     ranks = np.empty(seen.shape, np.int16)
     np.put_along_axis(ranks, seen, np.arange(len(pivots), dtype=np.int16)[None, :], axis=1)
@@ -91,7 +98,7 @@ def _answers(width: int, pivots: int, k: int, share: float, least: int):
         if queries.num_rows and rows.num_rows:
             names = queries.column("query").to_pylist()
             ids = rows.column("ids").to_pylist()
-            q, v = (_matrix(t.column("vec").combine_chunks(), width) for t in (queries, rows))
+            q, v = (scaled(_matrix(t.column("vec").combine_chunks(), width)) for t in (queries, rows))
             rank_q, rank_v = (np.frombuffer(b"".join(t.column("ranks").to_pylist()), np.int16).reshape(-1, pivots) for t in (queries, rows))
             norm = np.sqrt((v * v).sum(axis=1))
             need = min(len(v), max(least, int(np.ceil(share * len(v)))))
@@ -128,7 +135,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, postings: i
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     chosen = distinct.orderBy(F.xxhash64("vec"), F.element_at("ids", 1)).limit(min(PIVOTS, max(1, n // VECTORS_PER_PIVOT))).select("vec").collect()
-    pivots = np.asarray([r["vec"] for r in chosen], float)
+    pivots = scaled(np.asarray([r["vec"] for r in chosen], float))
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
     add = _ordered(pivots)
     schema = "vec array<double>, ranks binary, files array<int>"
