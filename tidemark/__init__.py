@@ -13,3 +13,10 @@ def analyze(reference: Any, current: Any, config: Mapping[str, Any] | None = Non
     from .plans.analysis import analyze as run
 
     return run(reference, current, config)
+
+
+def changed_categories(reference: Any, current: Any, config: Mapping[str, Any] | None = None) -> Any:
+    """Every new and disappeared category: see tidemark.plans.analysis.changed_categories."""
+    from .plans.analysis import changed_categories as run
+
+    return run(reference, current, config)

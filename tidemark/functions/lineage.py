@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and written to the folder in spark.checkpoint.dir (one of our own where that is unset)."""
+    """The frame, computed once and written to the folder in spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine serves if all of Spark runs on it; a cluster needs the setting.
+    """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        given = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="tidemark-"))
     return frame.checkpoint(eager=True)

@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import as_double, category_key, column, is_finite, kind_of
 from ..functions.decide import exceeds
-from .twosample import roc_auc
+from .twosample import medians, roc_auc
 
 TREES, RATE, DEPTH, LEAF_ROWS = 80, 0.05, 4, 10
-MISSING = "<MISSING>"
+MISSING, OTHER = "<MISSING>", "<OTHER>"
+#: Categories of a feature that the learner tells apart: the commonest of the training rows; all others are OTHER.
+MOST_CATEGORIES = 256
 
 
 def labelled(reference: DataFrame, current: DataFrame, features: Mapping[str, str], group: str | None = None) -> DataFrame:
@@ -76,18 +78,30 @@ def group_folds(rows: DataFrame, n_splits: int, seed: int, label: str = "label",
     return rows.join(turn, F.col(group) == F.col("_g")).drop("_g")
 
 
+def _stacked(rows: DataFrame, kinds: list[str], kind: str) -> DataFrame:
+    """(feature, value) of all columns of one kind."""
+    pairs = [F.struct(F.lit(f"x{k}").alias("feature"), F.col(f"x{k}").alias("value")) for k, own in enumerate(kinds) if own == kind]
+    return rows.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+
+
 def _prepared(train: DataFrame, rows: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
-    """Imputed columns fitted on train: medians with an indicator, or a category for what is missing."""
-    numbers = [f"x{k}" for k, kind in enumerate(kinds) if kind == "numeric"]
-    medians = train.agg(*[F.median(c).alias(c) for c in numbers]).first() if numbers else {}
+    """Imputed columns fitted on train: medians with an indicator, or the commonest categories and one for what is missing."""
+    middle = {r["feature"]: r["quantile"] for r in medians(_stacked(train, kinds, "numeric"), "feature", "value").collect()} if "numeric" in kinds else {}
+    common: dict[str, list[str]] = {}
+    if "categorical" in kinds:
+        counts = _stacked(train, kinds, "categorical").where("value is not null").groupBy("feature", "value").count()
+        place = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("count"), "value"))  # Spark keeps the first before it shuffles
+        for r in counts.withColumn("place", place).where(F.col("place") <= MOST_CATEGORIES).collect():
+            common.setdefault(r["feature"], []).append(r["value"])
     out = []
     for frame in (train, rows):
         for k, kind in enumerate(kinds):
             c = f"x{k}"
             if kind == "numeric":
-                frame = frame.withColumn(f"{c}_missing", F.col(c).isNull().cast("double")).withColumn(c, F.coalesce(c, F.lit(medians[c]), F.lit(0.0)))
+                frame = frame.withColumn(f"{c}_missing", F.col(c).isNull().cast("double")).withColumn(c, F.coalesce(c, F.lit(middle.get(c)), F.lit(0.0)))
             else:
-                frame = frame.fillna(MISSING, [c])
+                known = F.col(c).isin(common[c]) if common.get(c) else F.lit(False)
+                frame = frame.withColumn(c, F.when(F.col(c).isNull(), MISSING).when(known, F.col(c)).otherwise(OTHER))
         out.append(frame)
     return out[0], out[1], [(k, kind) for k, kind in enumerate(kinds)]
 

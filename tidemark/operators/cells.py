@@ -5,37 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .twosample import reference_quantiles
+from .twosample import quantiles
 
 POOLED = "<pooled rare categories>"
 
 
-def quantile_edges(long: DataFrame, n_bins: int = 10) -> DataFrame:
-    """(feature, constant, edges): interior quantiles of the reference, each once, in order.
+def quantile_edges(summed: DataFrame, n_bins: int = 10) -> DataFrame:
+    """(feature, constant, edges): interior quantiles of the reference, each once, in order, from twosample.cumulative.
 
     A constant reference has `constant` set, and no edges: its cells are below, equal and above.
     Features without reference values have no row.
     """
-    inner = reference_quantiles(long, [k / n_bins for k in range(1, n_bins)])
+    inner = quantiles(summed, [k / n_bins for k in range(1, n_bins)])
     edges = inner.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("edges"))  # n_bins - 1 values
-    ends = long.where("is_reference").groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = summed.where("n_reference > 0").groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high"))
     same = F.col("low") == F.col("high")
     return ends.join(edges, "feature").select("feature", F.when(same, F.col("low")).alias("constant"), F.when(same, F.array().cast("array<double>")).otherwise(F.col("edges")).alias("edges"))
 
 
-def numeric_cells(long: DataFrame, n_bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
+def numeric_cells(summed: DataFrame, n_bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """(feature, cell, n_reference, n_current, p_reference, p_current): all cells, empty ones too.
 
-    Cell k holds values from edge k - 1 up to, but not at, edge k. Edges that are not given are computed
-    once and held as n_bins - 1 numbers a feature.
+    Cell k holds values from edge k - 1 up to, but not at, edge k. Cells are sums over distinct values.
+    Edges that are not given are computed once and held as n_bins - 1 numbers a feature.
     """
     if edges is None:
-        rows = [tuple(r) for r in quantile_edges(long, n_bins).collect()]
-        edges = long.sparkSession.createDataFrame(rows, "feature string, constant double, edges array<double>")
+        rows = [tuple(r) for r in quantile_edges(summed, n_bins).collect()]
+        edges = summed.sparkSession.createDataFrame(rows, "feature string, constant double, edges array<double>")
     cell = F.when(F.col("constant").isNull(), F.size(F.filter("edges", lambda e: e <= F.col("v")))).otherwise(F.signum(F.col("v") - F.col("constant")).cast("int") + 1)
-    counted = long.join(F.broadcast(edges), "feature").groupBy("feature", cell.alias("cell")).agg(
-        F.count(F.when(F.col("is_reference"), 1)).alias("n_reference"), F.count(F.when(~F.col("is_reference"), 1)).alias("n_current")
-    )
+    counted = summed.join(F.broadcast(edges), "feature").groupBy("feature", cell.alias("cell")).agg(F.sum("n_reference").alias("n_reference"), F.sum("n_current").alias("n_current"))
     last = F.when(F.col("constant").isNull(), F.size("edges")).otherwise(2)
     every = edges.select("feature", F.explode(F.sequence(F.lit(0), last)).alias("cell"))
     full = every.join(counted, ["feature", "cell"], "left").fillna(0, ["n_reference", "n_current"])

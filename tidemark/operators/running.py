@@ -1,30 +1,46 @@
-"""Running sums in the order of a value, without a task that holds all values of a group.
+"""Running sums in the order of a value, without a task that holds all values of a large group.
 
-The values of each group are cut into buckets at approximate quantiles. Sums run inside the buckets;
-what lies in the buckets before is added from a table of one row per bucket. Where the cuts fall changes
-the work of the tasks, never the result.
+Groups of up to GROUP_ROWS distinct values are summed by a plain window. Beyond, all values are cut into
+ranges, as many as their number asks for; sums run inside the ranges, and what lies in the ranges before
+comes from a table of one row per range and group. Both ways give the same sums.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from math import ceil
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 32
+from ..functions.lineage import cut
+
+#: Distinct values of a group that one task sums.
+GROUP_ROWS = 1_000_000
 
 
-def running_sums(frame: DataFrame, group: str, order: str, sums: list[str], buckets: int = BUCKETS) -> DataFrame:
+def running_sums(frame: DataFrame, group: str, order: str, sums: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """frame, distinct by (group, order), with `{s}_upto` (own row included), and the next `order` of the group."""
-    cuts = frame.groupBy(group).agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 1000).alias("_cuts"))
-    placed = frame.join(F.broadcast(cuts), group).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
-    totals = placed.groupBy(group, "_bucket").agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.min(order).alias("_least"))
-    along = Window.partitionBy(group).orderBy("_bucket")  # `buckets` rows a group
-    before = totals.select(group, "_bucket", *[(F.sum(f"_{s}").over(along) - F.col(f"_{s}")).alias(f"_{s}") for s in sums], F.lead("_least").over(along).alias("_next"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.join(F.broadcast(before), [group, "_bucket"])
+    frame = cut(frame)  # read more than once from here on
+    size = frame.groupBy(group).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    following = lambda name: f"next_{name}"
+
+    def upto(s: str, window: Column) -> Column:
+        return F.sum(s).over(window.rowsBetween(Window.unboundedPreceding, 0))
+
+    if (size["most"] or 0) <= group_rows:
+        along = Window.partitionBy(group).orderBy(order)
+        return frame.select("*", *[upto(s, along).alias(f"{s}_upto") for s in sums], F.lead(order).over(along).alias(following(order)))
+    ranges = max(2, ceil(size["all"] / group_rows))
+    placed = cut(frame.repartitionByRange(ranges, group, order).withColumn("_range", F.spark_partition_id()))
+    totals = placed.groupBy(group, "_range").agg(*[F.sum(s).alias(f"_{s}") for s in sums], F.min(order).alias("_least"))
+    along = Window.partitionBy(group).orderBy("_range")  # a row per range
+    before = totals.select(
+        F.col(group).alias("_group"), F.col("_range").alias("_own"), *[(F.sum(f"_{s}").over(along) - F.col(f"_{s}")).alias(f"_{s}") for s in sums], F.lead("_least").over(along).alias("_next")
+    )
+    inside = Window.partitionBy(group, "_range").orderBy(order)
+    summed = placed.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_own")))
     return summed.select(
         *frame.columns,
-        *[(F.col(f"_{s}") + F.sum(s).over(upto)).alias(f"{s}_upto") for s in sums],
-        F.coalesce(F.lead(order).over(inside), F.col("_next")).alias(f"next_{order}"),
+        *[(F.col(f"_{s}") + upto(s, inside)).alias(f"{s}_upto") for s in sums],
+        F.coalesce(F.lead(order).over(inside), F.col("_next")).alias(following(order)),
     )

@@ -1,4 +1,8 @@
-"""Two-sample statistics of numeric features: Kolmogorov-Smirnov D, Wasserstein-1, order statistics."""
+"""Two-sample statistics of numeric features: Kolmogorov-Smirnov D, Wasserstein-1, order statistics.
+
+All of them read one frame, `cumulative`: a row per feature and distinct value, with both sides' counts
+and running counts. The rows of the tables are gone through once.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +18,20 @@ def value_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", "v").agg(one(F.col("is_reference"))("n_reference"), one(~F.col("is_reference"))("n_current"))
 
 
-def distribution(long: DataFrame) -> DataFrame:
-    """value_counts with f_reference, f_current (distribution functions at v) and next_v."""
-    counts = value_counts(long)
-    totals = long.groupBy("feature").agg(F.count(F.when(F.col("is_reference"), 1)).alias("total_reference"), F.count(F.when(~F.col("is_reference"), 1)).alias("total_current"))
-    summed = running_sums(counts, "feature", "v", ["n_reference", "n_current"]).join(F.broadcast(totals), "feature")
-    share = lambda side: F.when(F.col(f"total_{side}") > 0, F.col(f"n_{side}_upto") / F.col(f"total_{side}"))
-    return summed.withColumn("f_reference", share("reference")).withColumn("f_current", share("current"))
+def cumulative(long: DataFrame) -> DataFrame:
+    """value_counts of (feature, is_reference, v), with n_reference_upto, n_current_upto and next_v."""
+    return running_sums(value_counts(long), "feature", "v", ["n_reference", "n_current"])
 
 
-def ks_wasserstein(long: DataFrame) -> DataFrame:
-    """feature, n_reference, n_current, ks, location, sign, wasserstein.
+def ks_wasserstein(summed: DataFrame) -> DataFrame:
+    """feature, n_reference, n_current, ks, location, sign, wasserstein, from cumulative counts.
 
     location is the smallest value at which the difference is largest; sign is 1 if the reference's
     distribution function is the larger one there, else -1. Null where a side has no values.
     """
-    d = distribution(long).withColumn("gap", F.col("f_reference") - F.col("f_current"))
+    totals = summed.groupBy("feature").agg(F.sum("n_reference").alias("total_reference"), F.sum("n_current").alias("total_current"))
+    share = lambda side: F.when(F.col(f"total_{side}") > 0, F.col(f"n_{side}_upto") / F.col(f"total_{side}"))
+    d = summed.join(F.broadcast(totals), "feature").withColumn("gap", share("reference") - share("current"))  # a row per feature
     at = F.min_by(F.struct("v", "gap"), F.struct(-F.abs("gap"), "v"))
     return (
         d.groupBy("feature")
@@ -47,22 +49,27 @@ def ks_wasserstein(long: DataFrame) -> DataFrame:
     )
 
 
-def reference_quantiles(long: DataFrame, fractions: list[float]) -> DataFrame:
-    """(feature, fraction, quantile) of the reference: exact, with linear interpolation between ranks.
+def quantiles(summed: DataFrame, fractions: list[float], group: str = "feature", value: str = "v", n: str = "n_reference") -> DataFrame:
+    """(group, fraction, quantile) of `n` counted values: exact, with linear interpolation between ranks.
 
-    The values at the wanted ranks are picked from running counts, so no task sorts a whole feature.
+    The values at the wanted ranks are picked from running counts, so no task sorts a whole group.
     """
-    reference = long.where("is_reference")
-    counts = reference.groupBy("feature", "v").agg(F.count("*").alias("n"))
-    totals = reference.groupBy("feature").agg(F.count("*").alias("total"))
+    totals = summed.groupBy(group).agg(F.sum(n).alias("total")).where("total > 0")
     wanted = F.explode(F.array(*[F.lit(float(q)) for q in fractions]))
     place = F.col("fraction") * (F.col("total") - 1)
-    ranks = totals.withColumn("fraction", wanted).select("feature", "fraction", F.floor(place).alias("low"), F.ceil(place).alias("high"), (place - F.floor(place)).alias("part"))
-    ranked = running_sums(counts, "feature", "v", ["n"])
-    hit = ranked.join(F.broadcast(ranks), "feature")  # one row per feature and fraction
-    inside = lambda r: (F.col(r) < F.col("n_upto")) & (F.col(r) >= F.col("n_upto") - F.col("n"))
-    found = hit.where(inside("low") | inside("high")).groupBy("feature", "fraction", "part").agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    return found.select("feature", "fraction", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
+    ranks = totals.withColumn("fraction", wanted).select(group, "fraction", F.floor(place).alias("low"), F.ceil(place).alias("high"), (place - F.floor(place)).alias("part"))
+    if group == "feature":  # a row per feature and fraction; other groups may be many, so Spark decides
+        ranks = F.broadcast(ranks)
+    hit = summed.where(F.col(n) > 0).join(ranks, group)
+    inside = lambda r: (F.col(r) < F.col(f"{n}_upto")) & (F.col(r) >= F.col(f"{n}_upto") - F.col(n))
+    found = hit.where(inside("low") | inside("high")).groupBy(group, "fraction", "part").agg(F.min(value).alias("a"), F.max(value).alias("b"))
+    return found.select(group, "fraction", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("quantile"))
+
+
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, quantile): each group's median of its values that are there."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return quantiles(running_sums(counts, group, "v", ["n"]), [0.5], group, n="n").drop("fraction")
 
 
 def roc_auc(scored: DataFrame, group: str = "feature", label: str = "label", score: str = "score") -> DataFrame:

@@ -2,7 +2,7 @@
 
 All numeric features share their jobs, and so do all categorical ones; what comes to the driver is a
 row per feature, side or cell. Category names are listed in the details up to LISTED per feature; the
-statistics cover all of them.
+statistics cover all of them, and `changed_categories` gives all names as a frame.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from ..operators import categorical as cat
 from ..operators.decisions import adjusted, resolve_threshold
 from ..operators.longform import category_long, numeric_long
 from ..operators.quality import duplicates, profile
-from ..operators.twosample import ks_wasserstein
+from ..operators.twosample import cumulative, ks_wasserstein
 from ..schema import is_empty, require_frames, schema_alerts, skip_reason, validate_schema
 
 LISTED = 1000
@@ -280,16 +280,20 @@ def numeric_statistics(reference: DataFrame, current: DataFrame, features: list[
     stable: dict = {}
     edges: dict = {}
     if methods:
-        long = numeric_long(reference, current, features).persist()
+        summed = cumulative(numeric_long(reference, current, features)).persist()
+
+        def by_cells() -> tuple[dict, dict]:
+            found = _rows(cells.quantile_edges(summed, drift["n_bins"]))
+            frame = cells.numeric_cells(summed, drift["n_bins"], _edges_frame(summed, found))
+            return found, _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+
         try:
-            if methods & {"ks", "wasserstein"}:
-                distances = _rows(ks_wasserstein(long))
-            if methods & {"psi", "js"}:
-                edges = _rows(cells.quantile_edges(long, drift["n_bins"]))
-                frame = cells.numeric_cells(long, drift["n_bins"], _edges_frame(long, edges))
-                stable = _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+            distances, (edges, stable) = together(
+                lambda: _rows(ks_wasserstein(summed)) if methods & {"ks", "wasserstein"} else {},
+                lambda: by_cells() if methods & {"psi", "js"} else ({}, {}),
+            )
         finally:
-            long.unpersist()
+            summed.unpersist()
     return distances, stable, edges
 
 
@@ -299,14 +303,27 @@ def category_statistics(reference: DataFrame, current: DataFrame, features: list
         return {}, {}, {}, {}
     frame = cells.category_cells(category_long(reference, current, features)).persist()
     try:
-        stable = _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+        stability_of = lambda: _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
         if "chi2" not in drift["categorical_methods"]:
-            return stable, {}, {}, {}
-        return stable, _rows(cat.chi_square(frame)), _rows(cat.category_changes(frame)), _category_names(frame, features)
+            return stability_of(), {}, {}, {}
+        return tuple(together(stability_of, lambda: _rows(cat.chi_square(frame)), lambda: _rows(cat.category_changes(frame)), lambda: _category_names(frame, features)))
     finally:
         frame.unpersist()
 
 
+def changed_categories(reference: DataFrame, current: DataFrame, config: Mapping[str, Any] | None = None) -> DataFrame:
+    """(feature, cell, change): every new and disappeared category of the valid categorical features, as a frame.
+
+    The result of `analyze` lists LISTED names of each feature and change, and says so; this is all of them.
+    """
+    require_frames(reference, current)
+    config = validate_config(default_config(reference) if config is None else config)
+    names = valid_by_kind(config, validate_schema(reference, current, config["schema"]), "categorical")
+    if not names:
+        return reference.sparkSession.createDataFrame([], "feature string, cell string, change string")
+    return cat.new_and_gone(cells.category_cells(category_long(reference, current, names)))
+
+
 def valid_by_kind(config: Mapping[str, Any], schema: Mapping[str, Any], kind: str) -> list[str]:
     return [n for n, s in config["schema"]["features"].items() if n in schema["valid_features"] and s["kind"] == kind]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_rows
@@ -39,18 +39,19 @@ def classify(incoming: DataFrame, known: DataFrame, key: str = "event_id", diges
 def tumbling_windows(events: DataFrame, size: int, order: list[str], group: str | None = None) -> DataFrame:
     """Adds window_no (from 0): each `size` consecutive events of a group, full windows only.
 
-    Windows count events in the order given; time plays no part. With a group, events are numbered
-    inside it, one task per group; without, over ranges of the order.
+    Windows count events in the order given; time plays no part. Events are numbered over ranges of the
+    order, of group and order where there is a group, so no task numbers a whole group.
     """
+    order = [group, *order] if group else order
+    numbered = number_rows(events, *order, name="_n")
     if group is None:
-        numbered = number_rows(events, *order, name="_n")
-        total = F.broadcast(events.agg(F.count("*").alias("_total")))
-        counted = numbered.crossJoin(total)
+        counted = numbered.crossJoin(F.broadcast(events.agg(F.count("*").alias("_total"), F.lit(1).alias("_first"))))  # one row
     else:
-        inside = Window.partitionBy(group)
-        counted = events.withColumn("_n", F.row_number().over(inside.orderBy(*order)).cast("long")).withColumn("_total", F.count("*").over(inside))
-    full = F.col("_n") <= F.floor(F.col("_total") / size) * size
-    return counted.where(full).withColumn("window_no", F.floor((F.col("_n") - 1) / size)).drop("_n", "_total")
+        sizes = numbered.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_total"), F.min("_n").alias("_first"))
+        counted = numbered.join(sizes, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+    place = F.col("_n") - F.col("_first")
+    full = place < F.floor(F.col("_total") / size) * size
+    return counted.where(full).withColumn("window_no", F.floor(place / size)).drop("_n", "_total", "_first")
 
 
 def feedback_join(events: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 from typing import Any
@@ -28,6 +27,7 @@ from ..operators.numbering import number_rows
 from ..schema import validate_schema
 from ..sources.tables import load_table, records_frame, table_format
 from .delivery import AlertDelivery, Sender, post
+from . import records as tables
 from .events import canonical_features, classify, payload_hash, performance
 from .settings import validate_monitoring_config
 from .store import IdempotencyConflict, InvalidStateTransition, PendingEvents, RecordNotFound, StorageError, Store
@@ -93,12 +93,15 @@ class Monitor:
 
     def upload_reference(self, name: str, data: bytes) -> dict[str, Any]:
         """A reference from the bytes of a file, by the name's extension."""
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, os.path.basename(name))
-            with open(path, "wb") as f:
-                f.write(data)
-            local = load_table(self.spark, path).toPandas()  # a file that fits into a request
-        return self.register_reference(self.spark.createDataFrame(local), name)
+        # kept with the state, where executors can read it too
+        path = f"{self.store.root}/uploads/{hashlib.sha256(data).hexdigest()[:24]}-{os.path.basename(name)}"
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+        return self.register_reference(path, name)
 
     def activate_reference(self, reference_id: str, discard: bool = False) -> dict[str, Any]:
         """Makes one reference the active one. Claimed events forbid it; buffered ones do unless discarded."""
@@ -322,13 +325,13 @@ class Monitor:
     def ingest_feedback_frame(self, frame: DataFrame) -> dict[str, Any]:
         rows = cut(frame.select("event_id", "y_json", F.monotonically_increasing_id().alias("position")))
         events = self.store.latest("events").select("event_id", "window_id")
-        unknown = rows.join(events, "event_id", "left_anti").select("event_id").limit(1).collect()
+        unknown = tables.with_known(rows, events, "event_id").where("not known").select("event_id").limit(1).collect()
         if unknown:
             raise RecordNotFound(f"events has no {unknown[0]['event_id']!r}")
         sorted_out = cut(classify(rows, self.store.latest("feedback"), digest="y_json"))
         counts = {r["outcome"]: r["count"] for r in sorted_out.groupBy("outcome").count().collect()}
         if counts.get("conflict"):
-                raise IdempotencyConflict(f"labels that differ from known ones: {counts['conflict']}")
+            raise IdempotencyConflict(f"labels that differ from known ones: {counts['conflict']}")
         if counts.get("accepted"):
             self.store.append("feedback", sorted_out.where("outcome = 'accepted'").select("event_id", "y_json", F.lit(self.clock()).alias("received_at")))
         windows = events.join(rows.select("event_id").distinct(), "event_id").where("window_id is not null").select("window_id").distinct()
@@ -365,11 +368,7 @@ class Monitor:
 
     def runs_overview(self) -> DataFrame:
         """A row per run with its alert count, deliveries by state, and performance."""
-        runs = self.store.latest("runs").drop("version")
-        sent = self.store.latest("deliveries").groupBy("run_id").agg(F.count(F.when(F.col("status") == "succeeded", 1)).alias("delivered"), F.count(F.when(F.col("status") == "failed", 1)).alias("undelivered"))
-        measured = self.store.latest("performance").select("run_id", F.col("status").alias("performance_status"), "metrics")
-        summary = F.from_json(F.get_json_object("result", "$.summary"), "status string, n_alerts long")
-        return runs.withColumn("summary", summary).drop("result").join(sent, "run_id", "left").join(measured, "run_id", "left").select("*", "summary.n_alerts", F.col("summary.status").alias("result_status")).drop("summary")
+        return tables.overview(self.store.latest("runs").drop("version"), self.store.latest("deliveries"), self.store.latest("performance"))
 
     def status(self) -> dict[str, Any]:
         """What is there: the active reference, events by state, runs by status; ready or why not."""
@@ -377,5 +376,5 @@ class Monitor:
             reference, problem = self.active_reference(), None
         except StorageError as e:
             reference, problem = None, str(e)
-        by = lambda table, field: {r[field]: r["count"] for r in self.store.latest(table).groupBy(field).count().collect()}
-        return {"ready": problem is None, "problem": problem, "reference": reference and {k: v for k, v in reference.items() if k not in ("content_path", "version")}, "events": by("events", "state"), "runs": by("runs", "status"), "buffered_rows": by("events", "state").get("buffered", 0), "window_size": self.online["window"]["size"]}
+        events = self.store.counts("events", "state")
+        return {"ready": problem is None, "problem": problem, "reference": reference and {k: v for k, v in reference.items() if k not in ("content_path", "version")}, "events": events, "runs": self.store.counts("runs", "status"), "buffered_rows": events.get("buffered", 0), "window_size": self.online["window"]["size"]}

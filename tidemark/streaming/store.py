@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import records
+
 SCHEMA_VERSION = 2
 
 
@@ -86,18 +88,16 @@ class Store:
         return self.spark.read.schema(self.schemas[table]).parquet(self.path(table))
 
     def latest(self, table: str) -> DataFrame:
-        key = TABLES[table][1]
-        names = [f.name for f in self.schemas[table]]
-        return self.read(table).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*names), "version").alias("x")).select("x.*")
+        return records.latest(self.read(table), TABLES[table][1])
 
     def append(self, table: str, frame: DataFrame) -> None:
         out = frame.withColumn("version", F.lit(self.version()))
         missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schemas[table] if f.name not in out.columns]
         out.select("*", *missing).select(*[F.col(f.name).cast(f.dataType) for f in self.schemas[table]]).write.mode("append").parquet(self.path(table))
 
-    def put(self, table: str, *records: Mapping[str, Any]) -> None:
+    def put(self, table: str, *rows: Mapping[str, Any]) -> None:
         schema = T.StructType([f for f in self.schemas[table] if f.name != "version"])
-        self.append(table, self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in records], schema))
+        self.append(table, self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema).coalesce(1))
 
     def find(self, table: str, value: str) -> dict[str, Any] | None:
         """The latest version of one record."""
@@ -121,9 +121,7 @@ class Store:
 
     def runs_page(self, limit: int = 50, offset: int = 0, status: str | None = None) -> DataFrame:
         """Runs, latest first."""
-        runs = self.latest("runs")
-        runs = runs.where(F.col("status") == status) if status else runs
-        return runs.orderBy(F.desc("created_at"), F.desc("run_id")).offset(offset).limit(limit)
+        return records.page(self.latest("runs"), limit, offset, status)
 
     def listing(self, table: str, **equal: str) -> DataFrame:
         """Records as they are now, oldest first, by creation and key; only those whose columns equal what is given."""
@@ -138,5 +136,12 @@ class Store:
 
     def claimed_windows(self) -> list[str]:
         """Windows that were claimed and not finished, oldest first."""
-        claimed = self.latest("events").where("state = 'claimed'").groupBy("window_id").agg(F.min("sequence").alias("first"))
-        return [r["window_id"] for r in claimed.orderBy("first").collect()]
+        return [r["window_id"] for r in records.claimed(self.latest("events")).orderBy("first_sequence").collect()]
+
+    def oldest_buffered(self, n: int) -> DataFrame:
+        """The first n events that wait for a window."""
+        return records.oldest(self.latest("events"), "buffered", n).drop("version")
+
+    def counts(self, table: str, field: str) -> dict[str, int]:
+        """How many records are in each state."""
+        return {r[field]: r["n"] for r in records.counts_by(self.latest(table), field).collect()}
