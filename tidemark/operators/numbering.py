@@ -12,7 +12,7 @@ def number_rows(frame: DataFrame, *order: Column | str, name: str = "n", start:
     """Adds `name`: start, start + 1, ... in the order given, which should tell rows apart.
 
     Rows are cut into ranges; a row's number is its place in its range plus the sizes of those before.
-    Both are read from one checkpoint, so they agree.
+    Both are read from one written table, so they agree.
     """
     ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
