@@ -233,6 +233,34 @@ def test_running_sums_do_not_depend_on_ranges(spark, rows, buckets):
         assert got[g, v] == (sum(n for h, x, n in rows if h == g and x <= v), min(later, default=None))
 
 
+def test_medians_like_numpy(spark):
+    rows = [(g, v) for g, values in {"odd": [3, 1, 2], "even": [4.5, 1, 9, 2], "ties": [2, 2, 2, 5], "one": [7]}.items() for v in map(float, values)] + [("odd", None), ("none", None)]
+    got = {r.g: r.quantile for r in twosample.medians(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got == {"odd": 2.0, "even": 3.25, "ties": 2.0, "one": 7.0}
+
+
+def test_rare_categories_are_one_for_the_learner(spark, monkeypatch):
+    from tidemark.operators import adversarial
+
+    monkeypatch.setattr(adversarial, "MOST_CATEGORIES", 2)
+    rows = [("a", 1.0)] * 5 + [("b", 2.0)] * 3 + [("c", 9.0), ("d", None), (None, 3.0)]
+    train = spark.createDataFrame(rows, "x0 string, x1 double")
+    _, scored, _ = adversarial._prepared(train, spark.createDataFrame([("a", 1.0), ("c", None), ("new", 2.0), (None, 5.0)], train.schema), ["categorical", "numeric"])
+    assert [tuple(r) for r in scored.select("x0", "x1", "x1_missing").collect()] == [("a", 1.0, 0.0), (adversarial.OTHER, 1.5, 1.0), (adversarial.OTHER, 2.0, 0.0), (adversarial.MISSING, 5.0, 0.0)]
+
+
+def test_group_folds_balance_labels(spark):
+    rng = random.Random(11)
+    rows = [(g, int(rng.random() < 0.3), k) for g in range(600) for k in range(rng.choice([1, 1, 2, 5, 12]))]
+    dealt = group_folds(spark.createDataFrame(rows, "group_id long, label int, k int"), 4, 7)
+    share = {}
+    for r in dealt.groupBy("label", "fold").count().collect():
+        share.setdefault(r.label, {})[r.fold] = r["count"]
+    for by_fold in share.values():
+        total = sum(by_fold.values())
+        assert len(by_fold) == 4 and all(abs(n / total - 0.25) < 0.05 for n in by_fold.values())
+
+
 def test_number_rows(spark):
     rows = [(k * 7919 % 101, k) for k in range(101)]
     got = number_rows(spark.createDataFrame(rows, "v int, k int").repartition(5), "v", start=10).collect()

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from .functions.canonical import kind_of
 
+#: The configuration's version, keys, method names and limits below are the contract (fixed values).
 VERSION = "0.2"
 NUMERIC_METHODS = ("ks", "wasserstein", "psi", "js")
 CATEGORICAL_METHODS = ("chi2", "psi", "js")

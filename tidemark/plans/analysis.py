@@ -30,6 +30,7 @@ from ..operators.twosample import cumulative, ks_wasserstein
 from ..schema import is_empty, require_frames, schema_alerts, skip_reason, validate_schema
 
 LISTED = 1000
+#: Names of checks, decisions and reasons' keys in the result are the contract (fixed values).
 P_VALUE_METHODS = ("ks", "chi2")
 
 
