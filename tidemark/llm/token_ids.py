@@ -20,16 +20,17 @@ import public_tokenizers  # noqa: E402
 import pyarrow as pa  # noqa: E402
 import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
+from xxhash import xxh3_128_digest  # noqa: E402
 
 TOKENIZER_FILE = "word_bpe_49k.json"
-#: Words that a worker remembers at most; then it begins anew.
-CACHED_WORDS = 1_000_000
-#: Longer words are forgotten after the texts that hold them.
-LONGEST_CACHED = 256
+#: Words that a worker remembers at most, by 128 bits of their hash; then it begins anew.
+CACHED_WORDS = 700_000
 #: Words that the tokenizer gets as one text, joined by a special token.
 _JOINED = 64
+#: Such texts that the tokenizer gets at once.
+_ENCODED = 64
 #: Bytes of text that are looked up together, at least, unless there are no more.
-_TOGETHER = 8 << 20
+_TOGETHER = 3 << 20
 #: A line each: small Latin letters (a-z and, in UTF-8, those of U+00DF to U+00FF) or a digit, then signs
 #: without an apostrophe, which the tokenizer parts and takes as they are; or any other word.
 _LINES = re.compile(rb"^(?:((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])++|[0-9])?([]!\"#$%&()*+,./:;=>?@[^_`{}~|-]++)?|(.+))$", re.MULTILINE)
@@ -50,21 +51,6 @@ def _all_folded(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)
 
 
-class _Numbers(dict):
-    """Words to numbers; a word that is asked for first gets the next number and is noted as new."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.given = 0
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = self.given
-        self.given += 1
-        self.new.append(word)
-        return number
-
-
 class Encoded(NamedTuple):
     """The ids of some texts one after another, each text's end id last, and the places where the texts end."""
 
@@ -83,12 +69,13 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number = _Numbers()
-        self.first = np.zeros(1024, np.int32)
+        self.given = 0  # words have numbers
+        self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # 128 bits of each word's hash, in the order of the first 64
+        self.number = np.zeros(0, np.int32)
+        self.first = np.zeros(1024, np.int32)  # of each number's ids in `flat`
         self.length = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
-        self.long: list[bytes] = []
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit numbers, without special tokens added."""
@@ -106,19 +93,12 @@ class WordEncoder:
             begin = end
 
     def _looked_up(self, texts: pa.Array, end_id: int) -> Encoded:
-        for w in self.long:
-            del self.number[w]
-        self.long = []
-        if len(self.number) > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
+        if self.given > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
             self._forget()
         words = pc.ascii_split_whitespace(_all_folded(texts))
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.binary()).to_pylist()
-        numbers = np.fromiter(map(self.number.__getitem__, distinct), np.int32, len(distinct))
-        if self.number.new:
-            self._learn()
-        at = numbers[coded.indices.to_numpy()]
+        at = self._numbers(coded.dictionary.cast(pa.binary()).to_pylist())[coded.indices.to_numpy()]
         length = self.length[at]
         of_words = np.append(0, np.cumsum(length, dtype=np.int64))
         of_texts = of_words[np.append(0, np.cumsum(counts))]
@@ -128,55 +108,73 @@ class WordEncoder:
         inside = np.ones(len(ids), bool)
         ends = of_texts[1:] + np.arange(1, n_ends + 1)
         inside[ends - 1] = False
-        ids[inside] = self.flat[np.repeat((self.first[at] - of_words[:-1]).astype(np.int32), length) + np.arange(of_words[-1], dtype=np.int32)]
+        place = np.repeat((self.first[at] - of_words[:-1]).astype(np.int32), length)
+        place += np.arange(of_words[-1], dtype=np.int32)
+        ids[inside] = self.flat[place]
         return Encoded(ids, ends)
 
-    def _learn(self) -> None:
-        """Gives all new words, and the parts that they are made of, their ids."""
-        new, number = self.number.new, self.number
-        first_new = number.given - len(new)
-        words = len(new)
-        plain, other, signed, parts = [], [], [], []
-        # parts that are new come to the list's end; they are letters or signs alone, so plain
-        for k, (letters, signs, rest) in enumerate(_LINES.findall(b"\n".join(new)), first_new):
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words; those that are new get one, and their ids."""
+        hashes = np.frombuffer(b"".join(map(xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        found = np.full(len(words), -1, np.int32)
+        if self.given:
+            slot = np.minimum(np.searchsorted(self.keys[0], hashes[:, 0]), len(self.number) - 1)
+            hit = (self.keys[0][slot] == hashes[:, 0]) & (self.keys[1][slot] == hashes[:, 1])
+            found[hit] = self.number[slot[hit]]
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            first = self.given
+            self.given += len(missing)
+            found[missing] = np.arange(first, self.given, dtype=np.int32)
+            order = missing[np.argsort(hashes[missing, 0])]
+            at = np.searchsorted(self.keys[0], hashes[order, 0])
+            self.keys = [np.insert(x, at, hashes[order, k]) for k, x in enumerate(self.keys)]
+            self.number = np.insert(self.number, at, found[order])
+            self._learn([words[k] for k in missing.tolist()], first)
+        return found
+
+    def _learn(self, new: list[bytes], first: int) -> None:
+        """Gives the words that are numbered from `first` on, and the parts that they are made of, their ids."""
+        plain, other, signed, pairs = [], [], [], []
+        parts: dict[bytes, int] = {}
+        for k, (letters, signs, rest) in enumerate(_LINES.findall(b"\n".join(new))):
             if rest:
                 other.append(k)
             elif letters and signs:
                 signed.append(k)
-                parts += number[letters], number[signs]
+                pairs += parts.setdefault(letters, len(parts)), parts.setdefault(signs, len(parts))
             else:
                 plain.append(k)
-        plain += range(first_new + words, number.given)
-        if number.given > len(self.first):
-            self.first, self.length = (np.resize(x, 2 * number.given) for x in (self.first, self.length))
-        self._encode(plain, [new[k - first_new] for k in plain], self.simple)
-        odd = [k for k in other if b"<|" in new[k - first_new]]  # it may hold the joint itself
-        rest = [k for k in other if b"<|" not in new[k - first_new]] if odd else other
-        self._encode(rest, [new[k - first_new] for k in rest], self.tokenizer)
+        of_parts = self._numbers(list(parts)) if parts else None
+        if self.given > len(self.first):
+            self.first, self.length = (np.resize(x, 2 * self.given) for x in (self.first, self.length))
+        self._encode(plain, new, first, self.simple)
+        odd = [k for k in other if b"<|" in new[k]]  # it may hold the joint itself
+        self._encode([k for k in other if b"<|" not in new[k]] if odd else other, new, first, self.tokenizer)
         for k in odd:
-            ids = np.asarray(self.tokenizer.encode(new[k - first_new].decode(), add_special_tokens=False).ids, np.uint32)
-            self._add([k], ids, np.zeros(1, np.int64), np.asarray([len(ids)]))
+            ids = np.asarray(self.tokenizer.encode(new[k].decode(), add_special_tokens=False).ids, np.uint32)
+            self._add([first + k], ids, np.zeros(1, np.int64), np.asarray([len(ids)]))
         if signed:
-            pairs = np.asarray(parts)
-            length = self.length[pairs]
+            of_pairs = of_parts[pairs]
+            length = self.length[of_pairs]
             ends = np.cumsum(length)
-            ids = self.flat[np.repeat(self.first[pairs] - (ends - length), length) + np.arange(ends[-1])]
+            ids = self.flat[np.repeat(self.first[of_pairs] - (ends - length), length) + np.arange(ends[-1])]
             both = length.reshape(-1, 2).sum(axis=1)
-            self._add(signed, ids, np.cumsum(both) - both, both)
-        self.long = [w for w in new if len(w) > LONGEST_CACHED]
-        new.clear()
+            self._add(np.asarray(signed) + first, ids, np.cumsum(both) - both, both)
 
-    def _encode(self, numbers: list[int], words: list[bytes], tokenizer: Tokenizer) -> None:
+    def _encode(self, at: list[int], new: list[bytes], first: int, tokenizer: Tokenizer) -> None:
         text = b"<|endoftext|>"
-        joined = [(text.join(words[i : i + _JOINED]) + text).decode() for i in range(0, len(words), _JOINED)]
-        found = [np.asarray(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        joined = [(text.join([new[k] for k in at[i : i + _JOINED]]) + text).decode() for i in range(0, len(at), _JOINED)]
+        found = []
+        for i in range(0, len(joined), _ENCODED):  # what the tokenizer returns is much larger than the ids
+            found += [np.asarray(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(joined[i : i + _ENCODED], add_special_tokens=False)]
         if found:
             ids = np.concatenate(found)
             ends = np.flatnonzero(ids == self.joint)
-            first = np.append(0, ends[:-1] + 1)
-            self._add(numbers, ids, first, ends - first)
+            begins = np.append(0, ends[:-1] + 1)
+            self._add(np.asarray(at) + first, ids, begins, ends - begins)
 
-    def _add(self, numbers: list[int], ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
+    def _add(self, numbers: np.ndarray | list[int], ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> None:
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
         self.first[numbers] = self.used + first
