@@ -157,3 +157,34 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op2_quality_rules, which SQL can express too."""
+    return op2_quality_rules(spark, sf_dir).drop("kept", "posterior")
+
+
+BASE_COUNTS_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM texts
+),
+placed AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM split),
+windows AS (
+  SELECT r, i, w, lead(w, 1) OVER along AS w1, lead(w, 2) OVER along AS w2
+  FROM placed WINDOW along AS (PARTITION BY r ORDER BY i)
+),
+repeated AS (SELECT r, i FROM windows WHERE w2 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, w, w1, w2) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM repeated, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
+counts AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM split LEFT JOIN covered USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+"""

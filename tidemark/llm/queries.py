@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality_rules, secret_scan
 from .html_layout import op10_html_extraction
 from .lm_scoring import op3_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
@@ -30,10 +31,13 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op10_html_extraction,
 )
 
+#: Columns of operators that SQL can express where it cannot express the whole operator.
+BASES = {quality_rules.quality_base_counts: quality_rules.BASE_COUNTS_SQL, secret_scan.secret_base_counts: secret_scan.BASE_COUNTS_SQL}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in (*OPERATORS, *BASES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL}
+    return {"op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL} | {f.__name__: sql for f, sql in BASES.items()}

@@ -188,3 +188,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
     )
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op4_secret_scan's certain kinds, which SQL can express too."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_EITHER_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else "_?" for c in word) for word in ("password", "passwd", "secret", "token", "api_key"))
+BASE_COUNTS_SQL = rf"""
+WITH found AS (
+  SELECT doc_id,
+    regexp_extract_all(coalesce(text, ''), '({_EITHER_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS assigned,
+    regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') AS keys,
+    regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') AS digits
+  FROM documents
+)
+SELECT doc_id, CAST(len(list_filter(assigned, lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(keys, lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(digits, lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM found
+"""
