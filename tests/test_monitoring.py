@@ -8,6 +8,8 @@ import pytest
 import yaml
 
 from tests.test_analysis import config
+from tidemark import analyze
+from tidemark.plans.windows import Kept, analyze_windows, keep
 from tidemark.sources.tables import load_monitoring_config
 from tidemark.streaming import delivery
 from tidemark.streaming.events import performance, tumbling_windows
@@ -90,6 +92,55 @@ def test_events_windows_labels_and_delivery(spark, tmp_path, ticking):
     assert m.store.read("audit").count() == 2
 
 
+def same(a, b):
+    """Equal but for rounding."""
+    if isinstance(a, dict):
+        return isinstance(b, dict) and a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    if isinstance(a, list):
+        return isinstance(b, list) and len(a) == len(b) and all(map(same, a, b))
+    return a == pytest.approx(b, rel=1e-9, abs=1e-12) if isinstance(a, float) and isinstance(b, float) else a == b
+
+
+def test_windows_together_are_windows_alone(spark, tmp_path):
+    c = config(FEATURES | {"pay": {"kind": "numeric", "nullable": False, "min": 0}})
+    ref = spark.createDataFrame([(20.0 + k % 17, "abc"[k % 3], float(k % 2)) for k in range(60)] + [(None, None, 1.0)], "age double, region string, pay double")
+    rows = [("w1", 25.0 + k % 9, "ab"[k % 2], 1.0, None) for k in range(24)] + [("w2", 60.0, "new", float("inf"), str(k % 2)) for k in range(5)]
+    rows += [("w3", None, None, -1.0, None)] * 4 + [("w4", -0.0, "c", None, None), ("w4", float("-inf"), "", 0.0, None)]
+    current = spark.createDataFrame(rows, "w string, age double, region string, pay double, more string")
+    columns = {"w1": ["age", "region", "pay"], "w2": ["age", "region", "pay", "more"], "w3": ["age", "pay"], "w4": ["age", "region"], "none": ["age"]}
+    keep(ref, c).write(str(tmp_path / "kept"))
+    found = analyze_windows(ref, Kept.read(spark, str(tmp_path / "kept")), current, "w", columns, c)
+    assert sorted(found) == ["w1", "w2", "w3", "w4"]  # no rows, no result
+    for w, result in found.items():
+        alone = analyze(ref, current.where(f"w = '{w}'").select(*columns[w]), c)
+        assert same(alone, result), w
+    assert found["w2"]["alerts"] and found["w3"]["schema"]["missing_columns"]["current"] == ["region"]
+
+
+def test_jobs_do_not_grow_with_windows(spark, tmp_path, ticking):
+    m = Monitor(spark, settings(tmp_path), clock=ticking)
+    m.register_reference(reference(spark), "base")
+    jobs = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(), default=-1)
+    taken, k = [], 0
+    for windows in (1, 1, 7):  # the first one computes what is kept of the reference
+        began = jobs()
+        out = m.ingest_events([event(k + j, 200.0) for j in range(3 * windows)])
+        taken.append(jobs() - began)
+        assert len(out["run_ids"]) == windows
+        k += 3 * windows
+    assert len((tmp_path / "out" / "alerts.jsonl").read_text().splitlines()) == 9
+    assert taken[2] <= taken[1] + 5, taken
+
+
+def test_one_windows_fault_is_its_own(spark, tmp_path, ticking):
+    m = Monitor(spark, settings(tmp_path), clock=ticking)
+    m.register_reference(reference(spark), "base")
+    odd = [event(k, features={"age": 30.0, "AGE": 1, "region": "a"}) for k in range(3, 6)]  # two names that Spark takes for one
+    out = m.ingest_events([event(k) for k in range(3)] + odd)
+    assert [m.run_envelope(r)["status"] for r in out["run_ids"]] == ["completed", "failed"]
+    assert m.store.counts("events", "state") == {"processed": 3, "failed": 3}
+
+
 def test_batches_and_alerts(spark, tmp_path, ticking):
     m = Monitor(spark, settings(tmp_path), clock=ticking)
     m.register_reference(reference(spark), "base")
@@ -112,7 +163,7 @@ def test_claimed_windows_are_finished_after_a_crash(spark, tmp_path, ticking):
     m = Monitor(spark, settings(tmp_path), clock=ticking)
     m.register_reference(reference(spark), "base")
     m.ingest_events([event(0), event(1)])
-    real, m._process_window = m._process_window, lambda w: (_ for _ in ()).throw(RuntimeError("crash"))
+    m._process_block = lambda w: (_ for _ in ()).throw(RuntimeError("crash"))
     with pytest.raises(RuntimeError):
         m.ingest_events([event(2)])
     assert m.store.count_events("claimed") == 3

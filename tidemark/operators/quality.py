@@ -13,8 +13,8 @@ from ..functions.decide import exceeds_column
 COUNTS = ("rows", "missing", "positive_infinities", "negative_infinities", "finite", "least", "largest", "below_min", "above_max")
 
 
-def profile(frame: DataFrame, features: Mapping[str, Mapping]) -> DataFrame:
-    """A row per feature with COUNTS; features map names to {kind, min?, max?}.
+def profile(frame: DataFrame, features: Mapping[str, Mapping], by: str | None = None) -> DataFrame:
+    """A row per feature, and per value of `by`, with COUNTS; features map names to {kind, min?, max?}.
 
     Missing is null or NaN. Counts of numbers are null for categorical features; below_min and above_max
     count finite values beyond the bounds, and are null where there is no bound.
@@ -41,13 +41,14 @@ def profile(frame: DataFrame, features: Mapping[str, Mapping]) -> DataFrame:
                 bound("max", finite > float(spec.get("max", 0))).alias("above_max"),
             )
         )
-    return frame.agg(F.array(*structs).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    kept = [by] if by else []
+    return frame.groupBy(*kept).agg(F.array(*structs).alias("_x")).select(*kept, F.explode("_x").alias("_x")).select(*kept, "_x.*")
 
 
-def duplicates(frame: DataFrame) -> DataFrame:
-    """One row: rows, duplicate_count (rows after the first of equal ones), duplicate_fraction."""
+def duplicates(frame: DataFrame, by: str | None = None) -> DataFrame:
+    """One row, or one per value of `by`: rows, duplicate_count (rows after the first of equal ones), duplicate_fraction."""
     same = canonical(frame).groupBy(*[quoted(c) for c in frame.columns]).agg(F.count("*").alias("__n"))
-    sums = same.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_count"))
+    sums = same.groupBy(*([by] if by else [])).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_count"))
     return sums.withColumn("duplicate_fraction", F.when(F.col("rows") > 0, F.col("duplicate_count") / F.col("rows")))
 
 

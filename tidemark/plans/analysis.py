@@ -276,33 +276,40 @@ def _category_names(frame: DataFrame, features: list[str]) -> dict[str, dict[str
 
 def numeric_statistics(reference: DataFrame, current: DataFrame, features: list[str], drift: Mapping[str, Any]) -> tuple[dict, dict, dict]:
     """By feature: distances, PSI and JS, and the edges of the bins."""
-    methods = set(drift["numeric_methods"]) if features else set()
-    distances: dict = {}
-    stable: dict = {}
-    edges: dict = {}
-    if methods:
-        summed = cumulative(numeric_long(reference, current, features)).persist()
-
-        def by_cells() -> tuple[dict, dict]:
-            found = _rows(cells.quantile_edges(summed, drift["n_bins"]))
-            frame = cells.numeric_cells(summed, drift["n_bins"], _edges_frame(summed, found))
-            return found, _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
-
-        try:
-            distances, (edges, stable) = together(
-                lambda: _rows(ks_wasserstein(summed)) if methods & {"ks", "wasserstein"} else {},
-                lambda: by_cells() if methods & {"psi", "js"} else ({}, {}),
-            )
-        finally:
-            summed.unpersist()
-    return distances, stable, edges
+    if not features or not drift["numeric_methods"]:
+        return {}, {}, {}
+    return statistics_of_sums(cumulative(numeric_long(reference, current, features)), drift)
+
+
+def statistics_of_sums(summed: DataFrame, drift: Mapping[str, Any], edges: Mapping[str, Any] | None = None) -> tuple[dict, dict, dict]:
+    """numeric_statistics from cumulative counts; edges that are known are not computed again."""
+    methods, summed = set(drift["numeric_methods"]), summed.persist()
+
+    def by_cells() -> tuple[dict, dict]:
+        found = _rows(cells.quantile_edges(summed, drift["n_bins"])) if edges is None else edges
+        frame = cells.numeric_cells(summed, drift["n_bins"], _edges_frame(summed, found))
+        return found, _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+
+    try:
+        distances, (edges_found, stable) = together(
+            lambda: _rows(ks_wasserstein(summed)) if methods & {"ks", "wasserstein"} else {},
+            lambda: by_cells() if methods & {"psi", "js"} else ({}, {}),
+        )
+    finally:
+        summed.unpersist()
+    return distances, stable, edges_found
 
 
 def category_statistics(reference: DataFrame, current: DataFrame, features: list[str], drift: Mapping[str, Any]) -> tuple[dict, dict, dict, dict]:
     """By feature: PSI and JS, chi-square, changes of categories, and the names of new and disappeared ones."""
     if not features or not drift["categorical_methods"]:
         return {}, {}, {}, {}
-    frame = cells.category_cells(category_long(reference, current, features)).persist()
+    return statistics_of_cells(cells.category_cells(category_long(reference, current, features)), features, drift)
+
+
+def statistics_of_cells(frame: DataFrame, features: list[str], drift: Mapping[str, Any]) -> tuple[dict, dict, dict, dict]:
+    """category_statistics from cells with shares."""
+    frame = frame.persist()
     try:
         stability_of = lambda: _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
         if "chi2" not in drift["categorical_methods"]:
@@ -443,6 +450,13 @@ def analyze(reference: DataFrame, current: DataFrame, config: Mapping[str, Any]
         lambda: numeric_statistics(reference, current, by_kind["numeric"], config["drift"]),
         lambda: category_statistics(reference, current, by_kind["categorical"], config["drift"]),
     )
+    rows = {s: next(iter(profiles[s].values()))["rows"] if profiles[s] else 0 if empty[s] else frames[s].count() for s in SIDES}
+    return document(config, reference, current, schema, empty, profiles, repeated, numeric, category, rows)
+
+
+def document(config: Mapping[str, Any], reference: DataFrame, current: DataFrame, schema: dict, empty: Mapping[str, bool], profiles: dict, repeated: dict, numeric: tuple, category: tuple, rows: Mapping[str, int]) -> dict[str, Any]:
+    """The result of analyze from what was computed; only adversarial validation, if configured, runs jobs."""
+    specs = {n: config["schema"]["features"][n] for n in schema["valid_features"]}
     quality = check_quality(reference, current, config, schema, empty, profiles, repeated)
     drift = analyze_drift(config, schema, profiles, numeric, category)
     kinds = {n: s["kind"] for n, s in specs.items()}
@@ -452,7 +466,6 @@ def analyze(reference: DataFrame, current: DataFrame, config: Mapping[str, Any]
         adversary = adversarial.result("error", config["adversarial"], f"adversarial validation failed: {type(e).__name__}: {e}")
     alerts = [*schema_alerts(schema, config["schema"], empty), *quality_alerts(quality), *drift_alerts(drift["features"]), *adversarial_alerts(adversary)]
     features = list(drift["features"].values())
-    rows = {s: next(iter(profiles[s].values()))["rows"] if profiles[s] else 0 if empty[s] else frames[s].count() for s in SIDES}
     result = {
         "contract_version": config["contract_version"],
         "effective_config": config,

@@ -50,37 +50,32 @@ class AlertDelivery:
         self.store, self.config, self.clock, self.sender, self.sleep = store, config, clock, sender, sleep
         self.environment = os.environ if environment is None else environment
 
-    def dispatch(self, run: Mapping[str, Any]) -> list[dict[str, Any]]:
-        payload = payload_of(run) if run["status"] == "completed" else None
-        if payload is None:
-            return []
-        out = []
-        if self.config["jsonl_path"]:
-            out.append(self._deliver(run, "jsonl", payload, self._to_file))
-        if self.config["webhook_url_env"]:
-            out.append(self._deliver(run, "webhook", payload, self._to_webhook))
-        return out
-
-    def _deliver(self, run: Mapping[str, Any], channel: str, payload: dict[str, Any], send: Callable[[str, str], int]) -> dict[str, Any]:
-        own, text = delivery_id(run["run_id"], channel), canonical_json(payload)
-        record = self.store.find("deliveries", own)
-        if record is None:
-            record = {"delivery_id": own, "run_id": run["run_id"], "channel": channel, "payload": text, "status": "pending", "attempts": 0, "created_at": self.clock(), "updated_at": self.clock()}
-            self.store.put("deliveries", record)
-        elif record["payload"] != text:
-            raise IdempotencyConflict(f"delivery {own} was made with another payload")
-        if record["status"] == "succeeded":
-            return record
+    def dispatch(self, *runs: Mapping[str, Any]) -> list[dict[str, Any]]:
+        """Deliveries of completed runs with alerts. All are recorded in one write before the first is sent, and in one after."""
+        send = {"jsonl": self._to_file, "webhook": self._to_webhook}
+        channels = [c for c, key in (("jsonl", "jsonl_path"), ("webhook", "webhook_url_env")) if self.config[key]]
+        texts = [(run["run_id"], canonical_json(payload)) for run in runs if run["status"] == "completed" and (payload := payload_of(run))]
+        asked = {delivery_id(run_id, c): (run_id, c, text) for run_id, text in texts for c in channels}
+        known = self.store.find_all("deliveries", list(asked))
+        for own, record in known.items():
+            if record["payload"] != asked[own][2]:
+                raise IdempotencyConflict(f"delivery {own} was made with another payload")
+        now = self.clock()
+        fresh = {own: {"delivery_id": own, "run_id": run_id, "channel": c, "payload": text, "status": "pending", "attempts": 0, "error": None, "created_at": now, "updated_at": now} for own, (run_id, c, text) in asked.items() if own not in known}
+        self.store.put("deliveries", *fresh.values())
+        records = {own: (known | fresh)[own] for own in asked}
+        tried = {own: self._tried(r, send[r["channel"]]) for own, r in records.items() if r["status"] != "succeeded"}
+        self.store.put("deliveries", *tried.values())
+        return [tried.get(own, r) for own, r in records.items()]
+
+    def _tried(self, record: dict[str, Any], send: Callable[[str, str], int]) -> dict[str, Any]:
         attempts, error = record["attempts"], None
         try:
-            attempts += send(own, text)
+            attempts += send(record["delivery_id"], record["payload"])
         except Exception as e:  # noqa: BLE001  whatever it is, the run stands
             attempts += getattr(e, "attempts", 1)
             error = safe_error(e)
-        new = record | {"status": "failed" if error else "succeeded", "attempts": attempts, "error": error, "updated_at": self.clock()}
-        new.pop("version", None)
-        self.store.put("deliveries", new)
-        return new
+        return record | {"status": "failed" if error else "succeeded", "attempts": attempts, "error": error, "updated_at": self.clock()}
 
     def _to_file(self, own: str, text: str) -> int:
         path = self.config["jsonl_path"]

@@ -1,7 +1,8 @@
 """Online monitoring: events come in, counted windows are analysed, late labels are evaluated.
 
 Tables in, tables out: events are deduplicated, numbered and cut into windows by Spark jobs; only the
-results of `analyze`, one document per window, pass through the driver. `stream` runs the same steps as
+results, one document per window, pass through the driver, BLOCK windows at a time. The windows of a block
+share their jobs and the reference's aggregates, which are computed once. `stream` runs the same steps as
 a Structured Streaming query; a batch that is replayed after a failure finds its epoch committed, or
 its events stored, and changes nothing.
 """
@@ -15,12 +16,13 @@ from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.analysis import analyze
+from ..plans.windows import Kept, analyze_windows, keep
 from ..functions.canonical import canonical, canonical_json, kind_of, quoted, sha256_json, utc_timestamp
 from ..functions.lineage import cut
 from ..operators.numbering import number_rows
@@ -34,6 +36,8 @@ from .store import IdempotencyConflict, InvalidStateTransition, PendingEvents, R
 
 EVENT_KEYS = ({"event_id", "occurred_at", "features"}, {"prediction", "score"})
 FEEDBACK_KEYS = ({"event_id", "y_true"}, set())
+#: Windows that are analysed together.
+BLOCK = 200
 INCOMING = "event_id string, occurred_at string, features string, prediction_json string, score double"
 
 
@@ -139,6 +143,13 @@ class Monitor:
     def _content(self, reference: Mapping[str, Any]) -> DataFrame:
         return self.spark.read.parquet(reference["content_path"])
 
+    def _kept(self, reference: Mapping[str, Any]) -> Kept:
+        """The reference's aggregates, computed at first use and kept beside its content."""
+        path = f"{reference['content_path']}-kept"
+        if not self.store.exists(f"{path}/facts/_SUCCESS"):
+            keep(self._content(reference), self.analysis).write(path)
+        return Kept.read(self.spark, path)
+
     # ---- events
 
     def ingest_events(self, events: list[Mapping[str, Any]]) -> dict[str, Any]:
@@ -194,10 +205,9 @@ class Monitor:
 
     def process_ready_windows(self) -> list[dict[str, Any]]:
         """Finishes windows that were claimed before a crash, then claims and analyses all that are full."""
-        runs = [self._process_window(w) for w in self.store.claimed_windows()]
+        runs = self._process_windows(self.store.claimed_windows())
         reference = self.active_reference()
-        claimed = self._claim(reference["reference_id"], self.online["window"]["size"])
-        return runs + [self._process_window(w) for w in claimed]
+        return runs + self._process_windows(self._claim(reference["reference_id"], self.online["window"]["size"]))
 
     def _claim(self, reference_id: str, size: int) -> list[str]:
         """Cuts the buffered events into full windows, in the order of their sequence; the rest stays."""
@@ -213,47 +223,45 @@ class Monitor:
         order = full.groupBy("window_id").agg(F.min("sequence").alias("first")).orderBy("first").collect()
         return [r["window_id"] for r in order]
 
-    def _events(self, window_id: str) -> DataFrame:
-        return self.store.latest("events").where(F.col("window_id") == window_id).drop("version")
-
-    def _finish_window(self, window_id: str, state: str) -> None:
-        claimed = self._events(window_id).where("state = 'claimed'").withColumn("state", F.lit(state)).persist()
-        self.store.append("events", claimed)
-        claimed.unpersist()
-
-    def _current(self, events: DataFrame, reference: DataFrame) -> DataFrame:
-        """The events' features as columns, of the reference's types where they fit it."""
-        names = {f.name: f.dataType for f in reference.schema}
-        keys = events.select(F.explode(F.map_keys(F.from_json("features", "map<string,string>"))).alias("k")).distinct().collect()
-        extra = sorted({r["k"] for r in keys} - set(names))
-        present = {r["k"] for r in keys}
-        parsed = events.select(F.from_json("features", "map<string,string>").alias("m"))
-        columns = []
-        for n, t in names.items():
-            if n in present:
-                raw = F.col("m")[n]
-                columns.append((raw.try_cast("double") if kind_of(t) == "numeric" else raw.try_cast(t)).alias(n))
-        return canonical(parsed.select(*columns, *[F.col("m")[n].alias(n) for n in extra]))
-
-    def _start(self, source: str, source_id: str, reference: Mapping[str, Any], rows: int) -> dict[str, Any]:
-        run_id = f"run_{hashlib.sha256(f'{source}:{source_id}'.encode()).hexdigest()[:32]}"
-        known = self.store.find("runs", run_id)
-        if known:
-            return known
-        run = {"run_id": run_id, "source": source, "source_id": source_id, "reference_id": reference["reference_id"], "config_sha256": self.config_sha256, "row_count": rows, "status": "running", "created_at": self.clock()}
-        self.store.put("runs", run)
-        return run | {"result": None, "error": None, "completed_at": None}
-
-    def _analysed(self, run: dict[str, Any], reference: Mapping[str, Any], current: Callable[[DataFrame], DataFrame]) -> dict[str, Any]:
-        """The run, completed or failed; one that is so already is left as it is."""
+    @staticmethod
+    def _columns(events: DataFrame, reference: DataFrame) -> tuple[list[str], dict[str, list[str]]]:
+        """Names of the events' features, the reference's first, of all windows and of each; and no more than names comes to the driver."""
+        keys = events.select("window_id", F.explode(F.map_keys(F.from_json("features", "map<string,string>"))).alias("k"))
+        found = {r["window_id"]: set(r["keys"]) for r in keys.groupBy("window_id").agg(F.collect_set("k").alias("keys")).collect()}
+        ordered = lambda names: [n for n in reference.columns if n in names] + sorted(names - set(reference.columns))
+        return ordered(set().union(*found.values())), {w: ordered(names) for w, names in found.items()}
+
+    @staticmethod
+    def _frame(events: DataFrame, reference: DataFrame, names: list[str], window: str) -> DataFrame:
+        """The events' features as columns, of the reference's types where they fit it, beside their window."""
+        types = {f.name: f.dataType for f in reference.schema}
+
+        def value(n: str) -> Column:
+            raw = F.col("m")[n]
+            return (raw if n not in types else raw.try_cast("double") if kind_of(types[n]) == "numeric" else raw.try_cast(types[n])).alias(n)
+
+        parsed = events.select(F.col("window_id").alias("w"), F.from_json("features", "map<string,string>").alias("m"))
+        return canonical(parsed.select(F.col("w").alias(window), *[value(n) for n in names]))
+
+    def _start(self, source: str, reference: Mapping[str, Any], rows: Mapping[str, int]) -> dict[str, dict[str, Any]]:
+        """By source id, its run: known ones as they are, others new."""
+        ids = {s: f"run_{hashlib.sha256(f'{source}:{s}'.encode()).hexdigest()[:32]}" for s in rows}
+        known = self.store.find_all("runs", list(ids.values()))
+        runs = {}
+        for s, run_id in ids.items():
+            runs[s] = known.get(run_id) or {"run_id": run_id, "source": source, "source_id": s, "reference_id": reference["reference_id"], "config_sha256": self.config_sha256, "row_count": rows[s], "status": "running", "result": None, "error": None, "created_at": self.clock(), "completed_at": None}
+        self.store.put("runs", *[r for r in runs.values() if r["run_id"] not in known])
+        return runs
+
+    def _analysed(self, run: dict[str, Any], result: Callable[[], dict[str, Any]]) -> dict[str, Any]:
+        """The run, completed or failed and not yet stored; one that is so already is left as it is."""
         if run["status"] != "running":
             return run
         try:
-            content = self._content(reference)
-            result = analyze(content, current(content), self.analysis)
+            text = canonical_json(result())
         except Exception as e:  # noqa: BLE001  a run that fails is a result too
-            return self.store.change("runs", run, ("running",), "status", "failed", error=f"{type(e).__name__}: {str(e)[:500]}", completed_at=self.clock())
-        return self.store.change("runs", run, ("running",), "status", "completed", result=canonical_json(result), completed_at=self.clock())
+            return self.store.moved("runs", run, ("running",), "status", "failed", error=f"{type(e).__name__}: {str(e)[:500]}", completed_at=self.clock())
+        return self.store.moved("runs", run, ("running",), "status", "completed", result=text, completed_at=self.clock())
 
     def complete_again(self, run_id: str, result: Mapping[str, Any]) -> dict[str, Any]:
         """A replayed completion: the same result changes nothing, another one is a conflict."""
@@ -264,20 +272,55 @@ class Monitor:
             raise IdempotencyConflict(f"run {run_id} was completed with another result")
         return run
 
-    def _process_window(self, window_id: str) -> dict[str, Any]:
-        events = self._events(window_id).persist()
-        owners = [r["reference_id"] for r in events.select("reference_id").distinct().collect()]
-        if len(owners) != 1:
-            raise StorageError(f"window {window_id} has {len(owners)} references")
-        reference = self._compatible(self.store.get("references", owners[0]))
-        run = self._start("window", window_id, reference, events.count())
-        run = self._analysed(run, reference, lambda content: self._current(events, content))
-        events.unpersist()
-        self._finish_window(window_id, "processed" if run["status"] == "completed" else "failed")
-        if run["status"] == "completed":
-            self._evaluate([run["run_id"]])
-            self.delivery.dispatch(run)
-        return run
+    def _process_windows(self, window_ids: list[str]) -> list[dict[str, Any]]:
+        """The windows' runs, in order; what was finished before is not analysed again."""
+        return [run for k in range(0, len(window_ids), BLOCK) for run in self._process_block(window_ids[k : k + BLOCK])]
+
+    def _process_block(self, window_ids: list[str]) -> list[dict[str, Any]]:
+        events = cut(self.store.events_of(window_ids))
+        sizes = events.groupBy("window_id").agg(F.collect_set("reference_id").alias("owners"), F.count("*").alias("n")).collect()
+        mixed = [r["window_id"] for r in sizes if len(r["owners"]) != 1]
+        if mixed:
+            raise StorageError(f"windows with events of several references: {', '.join(sorted(mixed))}")
+        runs: dict[str, dict[str, Any]] = {}
+        for owner in sorted({r["owners"][0] for r in sizes}):  # one, but for windows that were claimed before a crash
+            reference = self._compatible(self.store.get("references", owner))
+            started = self._start("window", reference, {r["window_id"]: r["n"] for r in sizes if r["owners"][0] == owner})
+            running = [w for w, run in started.items() if run["status"] == "running"]
+            result_of = self._results(events.where(F.col("window_id").isin(running)), reference) if running else dict
+            done = {w: self._analysed(run, lambda w=w: result_of(w)) for w, run in started.items()}
+            self.store.put("runs", *[done[w] for w in running])
+            runs |= done
+        good = [w for w, run in runs.items() if run["status"] == "completed"]
+        state = F.when(F.col("window_id").isin(good), "processed").otherwise("failed")
+        self.store.append("events", events.where("state = 'claimed'").withColumn("state", state))
+        ordered = [runs[w] for w in window_ids]
+        completed = [run for run in ordered if run["status"] == "completed"]
+        self._evaluate([run["run_id"] for run in completed])
+        self.delivery.dispatch(*completed)
+        return ordered
+
+    def _results(self, events: DataFrame, reference: Mapping[str, Any]) -> Callable[[str], dict[str, Any]]:
+        """What gives a window's result: all are computed in one go, or, where that fails, each by itself, so that one window's fault is its own."""
+        content = self._content(reference)
+        every, columns = self._columns(events, content)
+        window = "window_id"
+        while window.lower() in {n.lower() for n in every}:
+            window += "_"
+        try:
+            current = self._frame(events, content, every, window)
+            found = analyze_windows(content, self._kept(reference), current, window, columns, self.analysis)
+        except Exception:  # noqa: BLE001  found again, and recorded, by the window it belongs to
+            found = {}
+
+        def result(w: str) -> dict[str, Any]:
+            if w in found:
+                return found[w]
+            # also windows whose events have no features at all
+            alone = self._frame(events.where(F.col("window_id") == w), content, columns.get(w, []), window)
+            return analyze(content, alone.drop(window), self.analysis)
+
+        return result
 
     # ---- batches
 
@@ -296,7 +339,7 @@ class Monitor:
             self.store.put("batches", batch)
         elif batch["payload_sha256"] != digest:
             raise IdempotencyConflict(f"batch {batch_id} is known with other contents")
-        run = self._start("batch", batch_id, reference, len(records))
+        run = self._start("batch", reference, {batch_id: len(records)})[batch_id]
         if batch["state"] == "accepted":
             batch = self.store.change("batches", batch, ("accepted",), "state", "processing", run_id=run["run_id"])
 
@@ -306,7 +349,14 @@ class Monitor:
             fields = [T.StructField(n, T.DoubleType() if n in types and kind_of(types[n]) == "numeric" else types.get(n, T.StringType())) for n in names]
             return records_frame(self.spark, records, T.StructType(fields))
 
-        run = self._analysed(run, reference, current)
+        def result() -> dict[str, Any]:
+            content = self._content(reference)
+            return analyze(content, current(content), self.analysis)
+
+        done = self._analysed(run, result)
+        if done is not run:
+            self.store.put("runs", done)
+        run = done
         if batch["state"] == "processing":
             self.store.change("batches", batch, ("processing",), "state", "completed" if run["status"] == "completed" else "failed")
         if run["status"] == "completed":
@@ -343,17 +393,20 @@ class Monitor:
         """Performance of completed window runs: one job for all of them, stored per run."""
         if not run_ids or not self.online["performance"]["enabled"]:
             return []
-        runs = self.store.latest("runs").where(F.col("run_id").isin(run_ids)).select("run_id", F.col("source_id").alias("window_id"))
-        samples = self.store.latest("events").join(F.broadcast(runs), "window_id").join(self.store.latest("feedback").select("event_id", "y_json"), "event_id")
+        runs = self.store.find_all("runs", run_ids)
+        named = self.spark.createDataFrame([(k, r["source_id"]) for k, r in runs.items()], "run_id string, window_id string")
+        events = self.store.events_of([r["source_id"] for r in runs.values()])
+        samples = events.join(named, "window_id").join(self.store.latest("feedback").select("event_id", "y_json"), "event_id")
         found = {r["run_id"]: r.asDict() for r in performance(samples, self.online["performance"], "run_id").collect()}
         least, out = self.online["performance"]["min_feedback_rows"], []
+        known, now = self.store.find_all("performance", run_ids), self.clock()
+        records = []
         for run_id in run_ids:
             metrics = found.get(run_id) or {"status": "not_evaluated", "reason": "insufficient_feedback", "feedback_rows": 0, "accuracy": None, "roc_auc": None}
             metrics = {k: v for k, v in metrics.items() if k != "run_id"} | {"min_feedback_rows": least}
-            known = self.store.find("performance", run_id)
-            now = self.clock()
-            self.store.put("performance", {"run_id": run_id, "status": metrics["status"], "metrics": canonical_json(metrics), "created_at": known["created_at"] if known else now, "updated_at": now})
+            records.append({"run_id": run_id, "status": metrics["status"], "metrics": canonical_json(metrics), "created_at": known[run_id]["created_at"] if run_id in known else now, "updated_at": now})
             out.append({"run_id": run_id} | metrics)
+        self.store.put("performance", *records)
         return out
 
     # ---- views

@@ -72,9 +72,8 @@ class Store:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
+    def exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
     def version(self) -> int:
@@ -83,7 +82,7 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         """All versions."""
-        if not self._exists(table):
+        if not self.exists(self.path(table)):
             return self.spark.createDataFrame([], self.schemas[table])
         return self.spark.read.schema(self.schemas[table]).parquet(self.path(table))
 
@@ -96,6 +95,8 @@ class Store:
         out.select("*", *missing).select(*[F.col(f.name).cast(f.dataType) for f in self.schemas[table]]).write.mode("append").parquet(self.path(table))
 
     def put(self, table: str, *rows: Mapping[str, Any]) -> None:
+        if not rows:
+            return
         schema = T.StructType([f for f in self.schemas[table] if f.name != "version"])
         self.append(table, self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema).coalesce(1))
 
@@ -105,6 +106,12 @@ class Store:
         found = self.read(table).where(F.col(key) == value).orderBy(F.desc("version")).limit(1).collect()
         return found[0].asDict(recursive=True) if found else None
 
+    def find_all(self, table: str, values: list[str]) -> dict[str, dict[str, Any]]:
+        """The latest versions of records, by key; the keys reach the scan."""
+        key = TABLES[table][1]
+        found = records.latest(self.read(table).where(F.col(key).isin(values)), key).collect() if values else []
+        return {r[key]: {k: v for k, v in r.asDict(recursive=True).items() if k != "version"} for r in found}
+
     def get(self, table: str, value: str) -> dict[str, Any]:
         found = self.find(table, value)
         if found is None:
@@ -113,12 +120,17 @@ class Store:
 
     def change(self, table: str, record: Mapping[str, Any], allowed: Iterable[str], field: str, state: str, **more: Any) -> dict[str, Any]:
         """A version of the record with `field` moved to `state`, from one of the allowed states only."""
-        if record[field] not in allowed:
-            raise InvalidStateTransition(f"{table}: {record[field]} cannot become {state}")
-        new = {k: v for k, v in record.items() if k != "version"} | {field: state} | more
+        new = self.moved(table, record, allowed, field, state, **more)
         self.put(table, new)
         return new
 
+    @staticmethod
+    def moved(table: str, record: Mapping[str, Any], allowed: Iterable[str], field: str, state: str, **more: Any) -> dict[str, Any]:
+        """What `change` stores, for several records that are put at once."""
+        if record[field] not in allowed:
+            raise InvalidStateTransition(f"{table}: {record[field]} cannot become {state}")
+        return {k: v for k, v in record.items() if k != "version"} | {field: state} | more
+
     def runs_page(self, limit: int = 50, offset: int = 0, status: str | None = None) -> DataFrame:
         """Runs, latest first."""
         return records.page(self.latest("runs"), limit, offset, status)
@@ -134,6 +146,10 @@ class Store:
     def count_events(self, state: str) -> int:
         return self.latest("events").where(F.col("state") == state).count()
 
+    def events_of(self, windows: list[str]) -> DataFrame:
+        """The events of windows as they are now. An event that is in a window stays in it, so the windows reach the scan."""
+        return records.latest(self.read("events").where(F.col("window_id").isin(windows)), "event_id").drop("version")
+
     def claimed_windows(self) -> list[str]:
         """Windows that were claimed and not finished, oldest first."""
         return [r["window_id"] for r in records.claimed(self.latest("events")).orderBy("first_sequence").collect()]
