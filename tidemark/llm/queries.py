@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules, secret_scan
+from .bpe_trie import op13_bpe_roundtrip
 from .html_layout import op10_html_extraction
 from .lm_scoring import op3_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
@@ -29,6 +30,7 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_permutation_index,
     op9_near_dedup,
     op10_html_extraction,
+    op13_bpe_roundtrip,
 )
 
 #: Columns of operators that SQL can express where it cannot express the whole operator.
