@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality_rules, secret_scan
 from .bpe_trie import op13_bpe_roundtrip
+from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .html_layout import op10_html_extraction
+from .importance_resampling import OP12_SQL, op12_importance_resampling
 from .lm_scoring import op3_lm_scoring
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
@@ -30,6 +32,8 @@ OPERATORS: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_permutation_index,
     op9_near_dedup,
     op10_html_extraction,
+    op11_hard_negatives,
+    op12_importance_resampling,
     op13_bpe_roundtrip,
 )
 
@@ -42,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL} | {f.__name__: sql for f, sql in BASES.items()}
+    return {"op7_mixing": OP7_SQL, "op9_near_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_importance_resampling": OP12_SQL} | {f.__name__: sql for f, sql in BASES.items()}
