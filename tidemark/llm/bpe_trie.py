@@ -44,11 +44,11 @@ from .common import ship, table
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Words, and stretches between spaces, that a worker remembers at most; then it begins anew.
-CACHED = 800_000
+CACHED = 350_000
 #: Longer ones (in characters) are worked out each time.
 LONGEST_CACHED = 100
 #: Characters of texts that are worked on together, at least, unless there are no more.
-_TOGETHER = 8 << 20
+_TOGETHER = 3 << 20
 #: Prefixes of more bytes are not held for the next word.
 _HELD = 512
 _ALONE = 1 << 62
@@ -65,13 +65,8 @@ class ByteBPE:
             raise ValueError(f"{file} normalises texts or has added tokens that take their surroundings")
         self.added = {t["content"]: t["id"] for t in given["added_tokens"]}
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        byte_of = _bytes_of_signs()
         vocabulary, merges = given["model"]["vocab"], given["model"]["merges"]
-        self.token: list[bytes] = [b""] * (1 + max([*vocabulary.values(), *self.added.values()]))
-        for word, number in vocabulary.items():
-            self.token[number] = bytes(byte_of[c] for c in word)
-        for word, number in self.added.items():
-            self.token[number] = word.encode()
+        self.token = _tokens(given)
         self.length = list(map(len, self.token))
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}  # of a token, when it is made
@@ -237,10 +232,6 @@ class ByteBPE:
         for plan in plans:
             yield b"".join([_little([p]) if isinstance(p, int) else _looked_up(alone, p[0]) + _looked_up(after_space, p[1]) for p in plan])
 
-    def decode(self, ids: bytes | None) -> str:
-        """The text of ids, given as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self.token.__getitem__, _numbers(ids))).decode("utf-8", "replace") if ids else ""
-
 
 #: Stretches that do not depend on what is before and after: white space and what follows it.
 _UNITS = re.compile(r"\s*\S+|\s+")
@@ -277,7 +268,32 @@ def _bytes_of_signs() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+def _tokens(given: dict) -> list[bytes]:
+    """The bytes of each token of a tokenizer file, by its id."""
+    byte_of = _bytes_of_signs()
+    vocabulary, added = given["model"]["vocab"], {t["content"]: t["id"] for t in given["added_tokens"]}
+    token = [b""] * (1 + max([*vocabulary.values(), *added.values()]))
+    for word, number in vocabulary.items():
+        token[number] = bytes(byte_of[c] for c in word)
+    for word, number in added.items():
+        token[number] = word.encode()
+    return token
+
+
+class Decoder:
+    """Of a tokenizer file only what decoding takes."""
+
+    def __init__(self, file: str = TOKENIZER_FILE):
+        with open(public_tokenizers.path(file), encoding="utf-8") as f:
+            self.token = _tokens(json.load(f))
+
+    def __call__(self, ids: bytes | None) -> str:
+        """The text of ids, given as little-endian unsigned 32-bit numbers."""
+        return b"".join(map(self.token.__getitem__, _numbers(ids))).decode("utf-8", "replace") if ids else ""
+
+
 _TOKENIZERS: dict[str, ByteBPE] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
 def tokenizer(file: str = TOKENIZER_FILE) -> ByteBPE:
@@ -288,6 +304,13 @@ def tokenizer(file: str = TOKENIZER_FILE) -> ByteBPE:
     return _TOKENIZERS[file]
 
 
+def decoder(file: str = TOKENIZER_FILE) -> Decoder:
+    """This worker's decoder."""
+    if file not in _DECODERS:
+        _DECODERS[file] = Decoder(file)
+    return _DECODERS[file]
+
+
 def encoded(docs: DataFrame, file: str = TOKENIZER_FILE) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers) of every row."""
     ship(docs.sparkSession)
@@ -317,14 +340,14 @@ def decoded(rows: DataFrame, file: str = TOKENIZER_FILE) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(file)
+        decode = decoder(file)
         for b in batches:
             size = pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False).cumsum()
             at = 0
             while at < b.num_rows:
                 to = max(at + 1, int(size.searchsorted((size[at - 1] if at else 0) + 4 * _TOGETHER, "right")))
                 part = b.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([bpe.decode(x.as_py()) for x in part.column(2)], pa.string())], ["doc_id", "n_tokens", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([decode(x.as_py()) for x in part.column(2)], pa.string())], ["doc_id", "n_tokens", "ids", "text"])
                 at = to
 
     return rows.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
