@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .twosample import quantiles
@@ -23,6 +26,11 @@ def quantile_edges(summed: DataFrame, n_bins: int = 10) -> DataFrame:
     return ends.join(edges, "feature").select("feature", F.when(same, F.col("low")).alias("constant"), F.when(same, F.array().cast("array<double>")).otherwise(F.col("edges")).alias("edges"))
 
 
+def cell_of(value: str) -> Column:
+    """A value's cell, beside the columns of quantile_edges."""
+    return F.when(F.col("constant").isNull(), F.size(F.filter("edges", lambda e: e <= F.col(value)))).otherwise(F.signum(F.col(value) - F.col("constant")).cast("int") + 1)
+
+
 def numeric_cells(summed: DataFrame, n_bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """(feature, cell, n_reference, n_current, p_reference, p_current): all cells, empty ones too.
 
@@ -32,14 +40,18 @@ def numeric_cells(summed: DataFrame, n_bins: int = 10, edges: DataFrame | None =
     if edges is None:
         rows = [tuple(r) for r in quantile_edges(summed, n_bins).collect()]
         edges = summed.sparkSession.createDataFrame(rows, "feature string, constant double, edges array<double>")
-    cell = F.when(F.col("constant").isNull(), F.size(F.filter("edges", lambda e: e <= F.col("v")))).otherwise(F.signum(F.col("v") - F.col("constant")).cast("int") + 1)
-    counted = summed.join(F.broadcast(edges), "feature").groupBy("feature", cell.alias("cell")).agg(F.sum("n_reference").alias("n_reference"), F.sum("n_current").alias("n_current"))
+    counted = summed.join(F.broadcast(edges), "feature").groupBy("feature", cell_of("v").alias("cell")).agg(F.sum("n_reference").alias("n_reference"), F.sum("n_current").alias("n_current"))
     last = F.when(F.col("constant").isNull(), F.size("edges")).otherwise(2)
     every = edges.select("feature", F.explode(F.sequence(F.lit(0), last)).alias("cell"))
     full = every.join(counted, ["feature", "cell"], "left").fillna(0, ["n_reference", "n_current"])
     return with_shares(full)
 
 
+def edges_frame(spark: SparkSession, edges: Mapping[str, Mapping[str, Any]]) -> DataFrame:
+    """quantile_edges from rows by feature."""
+    return spark.createDataFrame([(n, e["constant"], e["edges"]) for n, e in edges.items()], "feature string, constant double, edges array<double>")
+
+
 def category_cells(long: DataFrame) -> DataFrame:
     """(feature, cell, n_reference, n_current, p_reference, p_current): each category of either side."""
     counted = long.groupBy("feature", F.col("category").alias("cell")).agg(

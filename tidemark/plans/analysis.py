@@ -34,7 +34,7 @@ LISTED = 1000
 P_VALUE_METHODS = ("ks", "chi2")
 
 
-def _rows(frame: DataFrame) -> dict[str, dict[str, Any]]:
+def rows_by_feature(frame: DataFrame) -> dict[str, dict[str, Any]]:
     return {r["feature"]: r.asDict(recursive=True) for r in frame.collect()}
 
 
@@ -130,7 +130,7 @@ def check_quality(reference: DataFrame, current: DataFrame, config: Mapping[str,
 
 def profiles_of(frames: Mapping[str, DataFrame], specs: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
     """By side and feature, the counts of operators.quality.profile: one job a side."""
-    found = together(*[lambda f=f: _rows(profile(f.select(*_selected(f, specs)), specs)) if specs else {} for f in frames.values()])
+    found = together(*[lambda f=f: rows_by_feature(profile(f.select(*_selected(f, specs)), specs)) if specs else {} for f in frames.values()])
     return dict(zip(frames, found, strict=True))
 
 
@@ -281,18 +281,18 @@ def numeric_statistics(reference: DataFrame, current: DataFrame, features: list[
     return statistics_of_sums(cumulative(numeric_long(reference, current, features)), drift)
 
 
-def statistics_of_sums(summed: DataFrame, drift: Mapping[str, Any], edges: Mapping[str, Any] | None = None) -> tuple[dict, dict, dict]:
-    """numeric_statistics from cumulative counts; edges that are known are not computed again."""
+def statistics_of_sums(summed: DataFrame, drift: Mapping[str, Any]) -> tuple[dict, dict, dict]:
+    """numeric_statistics from cumulative counts."""
     methods, summed = set(drift["numeric_methods"]), summed.persist()
 
     def by_cells() -> tuple[dict, dict]:
-        found = _rows(cells.quantile_edges(summed, drift["n_bins"])) if edges is None else edges
-        frame = cells.numeric_cells(summed, drift["n_bins"], _edges_frame(summed, found))
-        return found, _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+        found = rows_by_feature(cells.quantile_edges(summed, drift["n_bins"]))
+        frame = cells.numeric_cells(summed, drift["n_bins"], cells.edges_frame(summed.sparkSession, found))
+        return found, rows_by_feature(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
 
     try:
         distances, (edges_found, stable) = together(
-            lambda: _rows(ks_wasserstein(summed)) if methods & {"ks", "wasserstein"} else {},
+            lambda: rows_by_feature(ks_wasserstein(summed)) if methods & {"ks", "wasserstein"} else {},
             lambda: by_cells() if methods & {"psi", "js"} else ({}, {}),
         )
     finally:
@@ -311,10 +311,10 @@ def statistics_of_cells(frame: DataFrame, features: list[str], drift: Mapping[st
     """category_statistics from cells with shares."""
     frame = frame.persist()
     try:
-        stability_of = lambda: _rows(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
+        stability_of = lambda: rows_by_feature(stability.psi_js(frame, drift["psi_smoothing"], drift["js_base"]))
         if "chi2" not in drift["categorical_methods"]:
             return stability_of(), {}, {}, {}
-        return tuple(together(stability_of, lambda: _rows(cat.chi_square(frame)), lambda: _rows(cat.category_changes(frame)), lambda: _category_names(frame, features)))
+        return tuple(together(stability_of, lambda: rows_by_feature(cat.chi_square(frame)), lambda: rows_by_feature(cat.category_changes(frame)), lambda: _category_names(frame, features)))
     finally:
         frame.unpersist()
 
@@ -383,11 +383,6 @@ def analyze_drift(config: Mapping[str, Any], schema: Mapping[str, Any], profiles
     return {"status": highest_status([f["status"] for f in features.values()]), "features": features, "reason": _drift_reason(list(features.values()))}
 
 
-def _edges_frame(long: DataFrame, edges: Mapping[str, Any]) -> DataFrame:
-    rows = [(n, e["constant"], e["edges"]) for n, e in edges.items()]
-    return long.sparkSession.createDataFrame(rows, "feature string, constant double, edges array<double>")
-
-
 def _drift_reason(features: list[dict[str, Any]]) -> str | None:
     n = {s: sum(f["status"] == s for f in features) for s in ("error", "skipped")}
     if n["error"]:

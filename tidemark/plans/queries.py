@@ -7,17 +7,20 @@ values turn into null, NaN or infinity by rule, and the current side is shifted
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..calibrate import summarize
-from ..functions.canonical import kind_of
+from ..functions.canonical import content_sums, is_finite, kind_of
+from ..functions.lineage import shared_folder
 from ..functions.tails import kolmogorov_tail
 from ..operators import cells, quality, twosample
 from ..operators import categorical as cat
 from ..operators.adversarial import group_folds, labelled, stratified_folds, validate
 from ..operators.decisions import alerts, benjamini_hochberg, distance_decisions, quality_status, raw_p_values, roll_up
+from ..operators.distribution_index import Index, sample_distances
 from ..operators.histogram import category_shares, equal_width
 from ..operators.longform import category_long, numeric_long
 from ..operators.stability import psi_js
@@ -417,6 +420,59 @@ def window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.join(base, "event_type").select("event_type", "window_no", F.round(F.col("mean") - F.col("base"), 6).alias("shift"))
 
 
+def _variants(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Orders with nulls, and tables that differ from them: by order only, in where nulls stand, by a type, a value or a row."""
+    o = _table(spark, sf_dir, "orders")
+    price, status = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus"))
+    own = lambda a, b, c: o.select(a.alias("a"), b.alias("b"), c.alias("c"))
+    other = F.when(F.col("o_orderkey") % 2 == 1, F.col("o_totalprice"))
+    return {
+        "itself": own(price, other, status), "another_order": own(price, other, status).repartition(3), "nulls_swapped": own(other, price, status),
+        "one_value": own(F.when(F.col("o_orderkey") == 0, 0.5).when(F.col("o_orderkey") == 1, 0.25).otherwise(price), other, status), "a_row_less": own(price, other, status).where("c is not null or b is null"),
+    }
+
+
+@register("reference_fingerprint", """
+WITH base AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS a, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice END AS b, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS c FROM orders),
+variants AS (
+  SELECT 'itself' AS variant, a, b, c FROM base UNION ALL SELECT 'another_order', a, b, c FROM base UNION ALL SELECT 'nulls_swapped', b, a, c FROM base
+  UNION ALL SELECT 'one_value', CASE WHEN k = 0 THEN 0.5 WHEN k = 1 THEN 0.25 ELSE a END, b, c FROM base UNION ALL SELECT 'a_row_less', a, b, c FROM base WHERE c IS NOT NULL OR b IS NULL),
+counted AS (SELECT variant, a, b, c, count(*) AS n FROM variants GROUP BY ALL),
+gone AS (
+  SELECT v.variant FROM (SELECT DISTINCT variant FROM variants) v JOIN (SELECT a, b, c, n FROM counted WHERE variant = 'itself') i ON true
+  WHERE NOT EXISTS (SELECT 1 FROM counted x WHERE x.variant = v.variant AND x.n = i.n AND x.a IS NOT DISTINCT FROM i.a AND x.b IS NOT DISTINCT FROM i.b AND x.c IS NOT DISTINCT FROM i.c))
+SELECT variant, count(*) AS rows, variant NOT IN (SELECT variant FROM gone) AND count(*) = (SELECT count(*) FROM base) AS same FROM variants GROUP BY variant""")
+def reference_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tables have the fingerprint of the first one: content decides, where nulls stand included, and order does not."""
+    found = {name: content_sums(frame) for name, frame in _variants(spark, sf_dir).items()}
+    return spark.createDataFrame([(name, sums[0], sums == found["itself"]) for name, sums in found.items()], "variant string, rows long, same boolean")
+
+
+@register("window_distances", """
+WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS total FROM events),
+w AS (SELECT event_type, (n - 1) // 400 AS window_no, value FROM n WHERE n <= total // 400 * 400),
+r AS (SELECT event_type, value FROM events WHERE user_id % 3 = 0),
+both_sides AS (SELECT event_type, window_no, value, 0 AS r, 1 AS c FROM w UNION ALL SELECT event_type, window_no, value, 1, 0 FROM r JOIN (SELECT DISTINCT event_type, window_no FROM w) USING (event_type)),
+points AS (SELECT event_type, window_no, value, sum(r) AS r, sum(c) AS c FROM both_sides WHERE isfinite(value) GROUP BY ALL),
+gaps AS (
+  SELECT *, (sum(r) OVER o)::DOUBLE / (sum(r) OVER g) - (sum(c) OVER o)::DOUBLE / (sum(c) OVER g) AS gap, lead(value) OVER o - value AS step FROM points
+  WINDOW o AS (PARTITION BY event_type, window_no ORDER BY value), g AS (PARTITION BY event_type, window_no))
+SELECT event_type, window_no::BIGINT AS window_no, sum(r)::BIGINT AS n_reference, sum(c)::BIGINT AS n_current, round(max(abs(gap)), 9) AS ks,
+  min_by(value, (-abs(gap), value)) AS location, CASE WHEN min_by(gap, (-abs(gap), value)) > 0 THEN 1 ELSE -1 END AS sign, round(sum(abs(gap) * coalesce(step, 0)), 9) AS wasserstein
+FROM gaps GROUP BY 1, 2""")
+def window_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of an event type against the events of a third of the users, by an index of these."""
+    e = _table(spark, sf_dir, "events").select("event_id", "event_type", "value", "ts", "user_id")
+    values = e.where((F.col("user_id") % 3 == 0) & is_finite(F.col("value")))
+    path = f"{shared_folder(spark)}/tidemark-index-{uuid.uuid4().hex}"
+    Index.write(values.groupBy(F.col("event_type").alias("name"), F.col("value").alias("v")).agg(F.count("*").alias("n")), path)
+    w = tumbling_windows(e, 400, ["ts", "event_id"], "event_type").where(is_finite(F.col("value")))
+    samples = w.select(F.concat_ws("/", "event_type", "window_no").alias("feature"), F.col("event_type").alias("name"), F.col("value").alias("v"))
+    found = sample_distances(Index.read(spark, path), samples)
+    own = F.split("feature", "/")
+    return _rounded(found.select(own[0].alias("event_type"), own[1].cast("long").alias("window_no"), "n_reference", "n_current", "ks", "location", "sign", "wasserstein"), "ks", "wasserstein", digits=9)
+
+
 @register("event_dedup_conflict", """
 WITH incoming AS (
   SELECT event_id, sha256(concat_ws('|', event_type, value::VARCHAR)) AS h, 1 AS position FROM events WHERE event_id % 4 <> 0
@@ -549,19 +605,19 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("calibration_summary", """
 WITH runs AS (
-  SELECT l_shipmode_like AS case_id, CASE WHEN l_linenumber = 1 THEN 'none' ELSE 'numeric' END AS scenario, l_linenumber AS method, l_suppkey % 5 AS seed, l_quantity AS value, CASE WHEN l_tax > 0.02 THEN l_discount > 0.05 END AS alert, l_linenumber > 3 AS expected_signal
+  SELECT l_shipmode_like AS case_id, CASE WHEN l_suppkey % 3 = 0 THEN 8.0 END AS age_shift_years, CASE WHEN l_suppkey % 3 = 1 THEN 8.0 END AS current_missing_fraction, CASE WHEN l_linenumber = 1 THEN 'none' ELSE 'numeric' END AS scenario, l_linenumber AS method, l_suppkey % 5 AS seed, l_quantity AS value, CASE WHEN l_tax > 0.02 THEN l_discount > 0.05 END AS alert, l_linenumber > 3 AS expected_signal
   FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem))
-SELECT case_id, scenario, method, string_agg(DISTINCT seed::VARCHAR, '|' ORDER BY seed::VARCHAR) AS seeds, count(DISTINCT seed) AS n_runs, count(alert) AS n_decisions, count(*) FILTER (alert) AS n_alerts, round(avg(value), 6) AS mean_value, median(value) AS median_value,
+SELECT case_id, age_shift_years, current_missing_fraction, scenario, method, string_agg(DISTINCT seed::VARCHAR, '|' ORDER BY seed::VARCHAR) AS seeds, count(DISTINCT seed) AS n_runs, count(alert) AS n_decisions, count(*) FILTER (alert) AS n_alerts, round(avg(value), 6) AS mean_value, median(value) AS median_value,
   CASE WHEN scenario = 'none' THEN 'false_alert_rate' WHEN any_value(expected_signal) THEN 'detection_rate' ELSE 'non_target_alert_rate' END AS rate_kind, round(count(*) FILTER (alert) / nullif(count(alert), 0), 9) AS observed_rate
-FROM runs GROUP BY case_id, scenario, method""")
+FROM runs GROUP BY case_id, age_shift_years, current_missing_fraction, scenario, method""")
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = _table(spark, sf_dir, "lineitem")  # noqa: E741
     runs = l.select(
         F.concat("l_returnflag", "l_linestatus").alias("case_id"), F.when(F.col("l_linenumber") == 1, "none").otherwise("numeric").alias("scenario"), F.lit("f").alias("drift_family"), F.lit("l").alias("drift_level"), F.lit(1).alias("n_current"),
-        F.lit(0.0).alias("age_shift_years"), F.lit(None).cast("double").alias("current_missing_fraction"), F.lit("drift").alias("source"), F.lit(None).cast("string").alias("feature"), F.col("l_linenumber").alias("method"), (F.col("l_linenumber") > 3).alias("expected_signal"),
+        F.when(F.col("l_suppkey") % 3 == 0, 8.0).alias("age_shift_years"), F.when(F.col("l_suppkey") % 3 == 1, 8.0).alias("current_missing_fraction"), F.lit("drift").alias("source"), F.lit(None).cast("string").alias("feature"), F.col("l_linenumber").alias("method"), (F.col("l_linenumber") > 3).alias("expected_signal"),
         F.lit("sha").alias("config_sha256"), (F.col("l_suppkey") % 5).alias("seed"), F.col("l_quantity").alias("value"), F.when(F.col("l_tax") > 0.02, F.col("l_discount") > 0.05).alias("alert"),
     )
-    found = summarize(runs).select("case_id", "scenario", "method", "seeds", "n_runs", "n_decisions", "n_alerts", "mean_value", "median_value", "rate_kind", "observed_rate")
+    found = summarize(runs).select("case_id", "age_shift_years", "current_missing_fraction", "scenario", "method", "seeds", "n_runs", "n_decisions", "n_alerts", "mean_value", "median_value", "rate_kind", "observed_rate")
     return _rounded(_rounded(found, "mean_value"), "observed_rate", digits=9)
 
 

@@ -1,10 +1,10 @@
 """analyze of many windows against one reference, in as many jobs as one window takes.
 
-What all windows need of the reference (counts of its values and categories, profile, repeated rows,
-edges of the bins) is computed once and kept as tables. A window's feature is a feature of its own in the
-long frames, so one job serves all windows. The work is in proportion to the windows' rows and, for every
-window, to the reference's distinct values. Adversarial validation, where configured, fits a model per
-window and so runs jobs per window.
+What all windows need of the reference (an index of its values, counts of its categories and cells, profile,
+repeated rows, edges of the bins) is computed once and kept as tables. A window's feature is a feature of its own
+in the long frames, so one job serves all windows. The work, and what is shuffled, is in proportion to the windows'
+rows and, for every window, to the reference's distinct categories; numeric values of the reference are looked up in
+its index, not joined. Adversarial validation, where configured, fits a model per window and so runs jobs per window.
 """
 
 from __future__ import annotations
@@ -20,19 +20,20 @@ from pyspark.sql import functions as F
 from ..config import validate_config
 from ..contracts import SIDES
 from ..functions.canonical import quoted
-from ..operators import cells
+from ..operators import cells, stability
+from ..operators.distribution_index import Index, sample_distances
 from ..operators.longform import category_values, numeric_values
 from ..operators.quality import duplicates, profile
 from ..operators.running import running_sums
 from ..schema import validate_schema
-from .analysis import document, profiles_of, repeated_rows, statistics_of_cells, statistics_of_sums, together, valid_by_kind
+from .analysis import document, profiles_of, repeated_rows, rows_by_feature, statistics_of_cells, together, valid_by_kind
 
 #: Stands between a window and a feature's name.
 SEPARATOR = "\x1f"
 
 
-class Kept(NamedTuple):
-    """values: (name, v, n); categories: (name, cell, n); facts: profile, repeated rows and edges by name."""
+class Counted(NamedTuple):
+    """What is kept of a reference, before it is written. values: (name, v, n); categories: (name, cell, n); facts: profile, repeated rows, edges and cells by name."""
 
     values: DataFrame
     categories: DataFrame
@@ -40,19 +41,24 @@ class Kept(NamedTuple):
 
     def write(self, path: str) -> None:
         """The facts come last: where they are, all is."""
-        self.values.write.mode("overwrite").parquet(f"{path}/values")
+        Index.write(self.values, f"{path}/index")
         self.categories.write.mode("overwrite").parquet(f"{path}/categories")
         rows = [(json.dumps(self.facts),)]
         self.values.sparkSession.createDataFrame(rows, "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
 
+
+class Kept(NamedTuple):
+    index: Index
+    categories: DataFrame
+    facts: dict[str, Any]
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> Kept:
         facts = json.loads(spark.read.schema("facts string").parquet(f"{path}/facts").first()[0])
-        values = spark.read.schema("name string, v double, n long").parquet(f"{path}/values")
-        return Kept(values, spark.read.schema("name string, cell string, n long").parquet(f"{path}/categories"), facts)
+        return Kept(Index.read(spark, f"{path}/index"), spark.read.schema("name string, cell string, n long").parquet(f"{path}/categories"), facts)
 
 
-def keep(reference: DataFrame, config: Mapping[str, Any]) -> Kept:
+def keep(reference: DataFrame, config: Mapping[str, Any]) -> Counted:
     """What comparisons need of a reference that has rows and fits the schema."""
     config = validate_config(config)
     schema = validate_schema(reference, reference, config["schema"])
@@ -61,13 +67,25 @@ def keep(reference: DataFrame, config: Mapping[str, Any]) -> Kept:
     none = reference.sparkSession.createDataFrame
     values = numeric_values(reference, numeric).groupBy(F.col("feature").alias("name"), "v").agg(F.count("*").alias("n")) if numeric else none([], "name string, v double, n long")
     named = category_values(reference, categorical).groupBy(F.col("feature").alias("name"), F.col("category").alias("cell")).agg(F.count("*").alias("n")) if categorical else none([], "name string, cell string, n long")
-    summed = lambda: running_sums(values.select(F.col("name").alias("feature"), "v", F.col("n").alias("n_reference")), "feature", "v", ["n_reference"])
+
+    def binned() -> dict[str, dict[str, Any]]:
+        """Edges and the reference's count of every cell."""
+        if not numeric:
+            return {}
+        one_sided = values.select(F.col("name").alias("feature"), "v", F.col("n").alias("n_reference"), F.lit(0).cast("long").alias("n_current"))
+        summed = running_sums(one_sided, "feature", "v", ["n_reference"])
+        edges = {r["feature"]: r.asDict() for r in cells.quantile_edges(summed, config["drift"]["n_bins"]).collect()}
+        counted = cells.numeric_cells(summed, edges=cells.edges_frame(summed.sparkSession, edges)).orderBy("feature", "cell").collect()  # a row per feature and bin
+        for name, e in edges.items():
+            e["counts"] = [r["n_reference"] for r in counted if r["feature"] == name]
+        return edges
+
     profiles, repeated, edges = together(
         lambda: profiles_of({"reference": reference}, specs)["reference"],
         lambda: repeated_rows({"reference": reference})["reference"],
-        lambda: {r["feature"]: r.asDict() for r in cells.quantile_edges(summed(), config["drift"]["n_bins"]).collect()} if numeric else {},
+        binned,
     )
-    return Kept(values, named, {"profiles": profiles, "repeated": repeated, "edges": edges})
+    return Counted(values, named, {"profiles": profiles, "repeated": repeated, "edges": edges})
 
 
 def _counts(kept: DataFrame, own: DataFrame, asked: DataFrame, value: str) -> DataFrame:
@@ -78,6 +96,15 @@ def _counts(kept: DataFrame, own: DataFrame, asked: DataFrame, value: str) -> Da
     return theirs.unionByName(ours).groupBy("feature", value).agg(F.sum("n_reference").alias("n_reference"), F.sum("n_current").alias("n_current"))
 
 
+def _sample_cells(samples: DataFrame, asked: DataFrame, edges: Mapping[str, Any]) -> DataFrame:
+    """What cells.numeric_cells gives, for samples (feature, name, v) and the reference's kept counts: the reference's values are not gone through."""
+    rows = [(n, e["constant"], e["edges"], e["counts"]) for n, e in edges.items()]
+    kept = F.broadcast(samples.sparkSession.createDataFrame(rows, "name string, constant double, edges array<double>, counts array<long>"))  # a row per feature
+    counted = samples.join(kept, "name").groupBy("feature", cells.cell_of("v").alias("cell")).agg(F.count("*").alias("n_current"))
+    every = asked.join(kept, "name").select("feature", F.posexplode("counts").alias("cell", "n_reference"))
+    return cells.with_shares(every.join(counted, ["feature", "cell"], "left").fillna(0, ["n_current"]))
+
+
 def _by_window(found: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
     out: dict[str, dict[str, Any]] = defaultdict(dict)
     for feature, x in found.items():
@@ -109,9 +136,17 @@ def analyze_windows(reference: DataFrame, kept: Kept, current: DataFrame, window
     def numeric() -> list[dict]:
         if not asked["numeric"] or not drift["numeric_methods"]:
             return [{}, {}, {}]
-        counts = _counts(kept.values, own(numeric_values(current, names["numeric"], window), F.col("v")), frame("numeric"), "v")
+        wanted = frame("numeric")
+        samples = own(numeric_values(current, names["numeric"], window), F.col("v")).join(F.broadcast(wanted), ["window", "name"]).select("feature", "name", "v").persist()  # a row per window of a block and feature is broadcast
         edges = {f: kept.facts["edges"][n] for f, _, n in asked["numeric"] if n in kept.facts["edges"]}
-        return [_by_window(x) for x in statistics_of_sums(running_sums(counts, "feature", "v", ["n_reference", "n_current"]), drift, edges)]
+        try:
+            distances, stable = together(
+                lambda: rows_by_feature(sample_distances(kept.index, samples)) if {"ks", "wasserstein"} & set(drift["numeric_methods"]) else {},
+                lambda: rows_by_feature(stability.psi_js(_sample_cells(samples, wanted, kept.facts["edges"]), drift["psi_smoothing"], drift["js_base"])) if {"psi", "js"} & set(drift["numeric_methods"]) else {},
+            )
+        finally:
+            samples.unpersist()
+        return [_by_window(x) for x in (distances, stable, edges)]
 
     def categories() -> list[dict]:
         if not asked["categorical"] or not drift["categorical_methods"]:

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.analysis import analyze
 from ..plans.windows import Kept, analyze_windows, keep
-from ..functions.canonical import canonical, canonical_json, kind_of, quoted, sha256_json, utc_timestamp
+from ..functions.canonical import canonical, canonical_json, content_sums, kind_of, sha256_json, utc_timestamp
 from ..functions.lineage import cut
 from ..operators.numbering import number_rows
 from ..schema import validate_schema
@@ -82,8 +82,8 @@ class Monitor:
         found = validate_schema(frame, frame, self.analysis["schema"])
         if found["status"] != "ok":
             raise ValueError(f"the reference does not fit the schema: {found['reason']}")
-        sums = frame.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[quoted(c) for c in frame.columns]).cast("decimal(38,0)")).alias("h")).first()
-        content = sha256_json([sums["n"], str(sums["h"]), [[f.name, f.dataType.simpleString()] for f in frame.schema]])
+        n_rows, sums = content_sums(frame)
+        content = sha256_json([n_rows, sums, [[f.name, f.dataType.simpleString()] for f in frame.schema]])
         reference_id = f"ref_{hashlib.sha256(f'{content}:{self.config_sha256}'.encode()).hexdigest()[:24]}"
         known = self.store.find("references", reference_id)
         if known:
@@ -91,7 +91,7 @@ class Monitor:
         path = f"{self.store.root}/content/{reference_id}"
         frame.write.mode("overwrite").parquet(path)
         first = not self.store.latest("references").where("active").head(1)
-        record = {"reference_id": reference_id, "name": name, "content_sha256": content, "config_sha256": self.config_sha256, "source_format": source, "row_count": sums["n"], "columns": frame.columns, "dtypes": [f.dataType.simpleString() for f in frame.schema], "content_path": path, "created_at": self.clock(), "active": False}
+        record = {"reference_id": reference_id, "name": name, "content_sha256": content, "config_sha256": self.config_sha256, "source_format": source, "row_count": n_rows, "columns": frame.columns, "dtypes": [f.dataType.simpleString() for f in frame.schema], "content_path": path, "created_at": self.clock(), "active": False}
         self.store.put("references", record)
         return self.activate_reference(reference_id) if first else record
 
