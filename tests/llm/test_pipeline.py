@@ -90,8 +90,9 @@ def test_run_gives_the_last_stages_rows(spark, sf, kept):
 
 
 def test_odd_and_empty_tables(spark, sf):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, _kept string, _text long, id string, row int, digest string"
     odd = [(1, None, None, None, None, None, None), (2, "", "", "", 0, 0.5, ""), (None, "a b " * 60, "en", "s", 1, 0.1, "x"), (3, "A b " * 60, "en", "s", 1, 0.1, "x"), (3, "A b " * 60, "en", "s", 1, 0.1, "x")]
+    odd = [(*r, "k", 7, "i", 3, "t") for r in odd]
     for some in (odd, []):
         docs = spark.createDataFrame(some, schema)
         for _, stage in C.STAGES[:-1]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +14,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
+
+#: Applications that have the package.
+_SHIPPED: set[str] = set()
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -20,20 +25,33 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that start on this machine import the package from where the driver did."""
+    """Lets Python workers import the package: on this machine from where the driver did, on a cluster from an archive that Spark hands out."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local" and context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        archive = io.BytesIO()
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            package = os.path.join(PACKAGE_ROOT, __name__.split(".")[0])
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), PACKAGE_ROOT))
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-package-{uuid.uuid4().hex}.zip")
+        stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
+        try:
+            stream.write(archive.getvalue())
+        finally:
+            stream.close()
+        context.addPyFile(path.toString())
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset one of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
+    """The folder in spark.checkpoint.dir, which driver and executors share; on this machine alone one of our own where it is unset, on a cluster an error."""
+    return shared_folder(spark)
 
 
 class Scratch:

@@ -160,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     scratch = Scratch(docs.sparkSession, "mix")
     decided, few = plan(measured(docs, scratch, seed).select("source", "size", "ord"), weights, max_epochs)
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source"), order_of(seed=seed).alias("ord"))
+    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in names]).alias("row"), F.col("source"), order_of(seed=seed).alias("ord"))
     times = repeated(packed, decided.select("source", "whole", "cut", "chosen", "of"), few, ["row"], scratch)
     return times.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
 

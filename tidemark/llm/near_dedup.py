@@ -379,11 +379,12 @@ def link(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 def keep_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row of docs of each component, and each row without words, all columns as they were; of rows that repeat one."""
-    kept = link(docs, similarity).where("stays").groupBy(F.col("doc_id").alias("_kept"), F.col("text_id").alias("_text")).count()
+    kept = link(docs, similarity).where("stays").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_id").alias("kept_text")).count()
     repeated = not kept.where("count > 1").isEmpty()
-    same = docs["doc_id"].eqNullSafe(F.col("_kept")) & (text_id(docs["text"]) == F.col("_text"))
-    stay = docs.join(kept, same, "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"]) if repeated else stay
+    # a row's own columns stay inside a struct, so that none can clash with what is joined
+    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text"), text_id(F.col("text")).alias("digest"))
+    stay = packed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_text")), "left_semi")
+    return (stay.dropDuplicates(["id", "text"]) if repeated else stay).select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ parts, none of which proves anything by itself: an identifier (`user = ...`), a
 an endpoint (`https://...`, `db.example.org:5432`). Such weak candidates are reported only where
 complementary parts co-occur: the spans of a text, sorted by start, are interval-joined with the spans
 within `reach` code points of each other and in the same paragraph, and a weak candidate stays if its
-scope also holds parts that complete it:
+scope also holds parts that complete it. Parts are disjoint: characters that were read as one are no
+other part (a token in a URL's path is the URL's, an identifier's value the identifier's).
 
     secret    next to an identifier or an access key
     id        next to a secret (weak or assigned), and so on for a user name
@@ -48,6 +49,8 @@ _ID_HINTS = ("user", "login", "client", "account", "keyid", "key_id")
 #: Tokens that may be secrets: 20 or more characters of the base64 alphabets.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])", re.ASCII)
 ENDPOINT = re.compile(r"\b(?:https?|wss?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s\"'<>]+|(?<![\w.-])(?:[a-z0-9-]++\.)++[a-z]{2,}+:\d{2,5}\b|(?<![\w.-])(?:localhost|(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)):\d{2,5}\b", re.ASCII)
+#: A name and a password before the host of an address.
+USERINFO = re.compile(r"://([^\s/@:?#]+):([^\s/@?#]{3,})@")
 
 Span = tuple[int, int, str]
 
@@ -73,20 +76,31 @@ def looks_random(token: str) -> bool:
     return sum(bool(re.search(x, token)) for x in ("[0-9]", "[a-z]", "[A-Z]")) >= 2 and len(set(token)) >= 10
 
 
+def _apart(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that share no character with any of `taken`."""
+    taken = sorted(taken)
+    starts, ends = [s for s, _, _ in taken], []
+    for _, e, _ in taken:
+        ends.append(max(e, ends[-1]) if ends else e)
+    return [x for x in spans if (k := bisect_left(starts, x[1])) == 0 or ends[k - 1] <= x[0]]
+
+
 def weak_spans(text: str, certain: list[Span]) -> list[Span]:
-    """Candidates that need company; those that overlap a certain span are part of it."""
-    found: list[Span] = []
+    """Candidates that need company. No two of them, and none and a certain span, share a character: one part is read once.
+
+    What an endpoint or an identifier's value is made of is that part and no second one. Only an address of
+    the form scheme://user:password@host holds three parts: the name, the password, and what follows.
+    """
     low = text.lower() if any(c in text for c in ":=") else ""
-    if any(h in low for h in _ID_HINTS):
-        found += [(m.start(), m.end(), "id") for m in ID.finditer(text)]
-    found += [(m.start(), m.end(), "secret") for m in TOKEN.finditer(text) if looks_random(m[0])]
-    if "://" in text or ":" in text:
-        found += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    starts, ends = [s for s, _, _ in certain], []
-    for _, e, _ in certain:
-        ends.append(max(e, ends[-1]) if ends else e)
-    free = lambda s, e: (k := bisect_left(starts, e)) == 0 or ends[k - 1] <= s
-    return [x for x in found if free(x[0], x[1])]
+    endpoints = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if ":" in text else []
+    parts: list[Span] = []
+    for s, e, kind in endpoints:
+        m = USERINFO.search(text, s, e) if "@" in text[s:e] else None
+        parts += [(*m.span(1), "id"), (*m.span(2), "secret"), (m.end(), e, kind)] if m and m.end() < e else [(s, e, kind)]
+    ids = [(m.start(), m.end(), "id") for m in ID.finditer(text)] if any(h in low for h in _ID_HINTS) else []
+    ids = _apart(ids, endpoints)
+    tokens = [(m.start(), m.end(), "secret") for m in TOKEN.finditer(text) if looks_random(m[0])]
+    return _apart(ids + parts + _apart(tokens, ids + endpoints), certain)
 
 
 #: What must stand in the scope of a weak candidate: one kind of each group (fixed values of this design).
