@@ -25,7 +25,7 @@ from ..operators.histogram import category_shares, equal_width
 from ..operators.longform import category_long, numeric_long
 from ..operators.stability import psi_js
 from ..streaming import records
-from ..streaming.events import classify, feedback_join, performance, tumbling_windows
+from ..streaming.events import classify, envelopes, feedback_join, payload_hash, performance, settled, tumbling_windows, validated
 from .registry import register
 
 
@@ -491,6 +491,83 @@ def event_dedup_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+#: By id modulo 8: the same object, other white space, a text, a fraction, no object, no JSON, a key more, a boolean.
+_PAYLOADS = ["{p}", '{{ "k" : {k} }}', '{{"k": "{k}"}}', '{{"k": {k}.0}}', "[{k}]", "not json", '{{"k": {k}, "j": null}}', '{{"k": true}}']
+
+
+def _payload_cases() -> str:
+    parts = [f"WHEN {n} THEN '" + x.format(p="' || props || '", k="' || k || '") + "'" for n, x in enumerate(_PAYLOADS)]
+    return f"CASE event_id % {len(_PAYLOADS)} {' '.join(parts)} END"
+
+
+@register("event_payload_types", f"""
+WITH numbered AS (SELECT event_id, props, json_extract_string(props, '$.k') AS k FROM events),
+incoming AS (SELECT event_id, props, {_payload_cases()} AS features FROM numbered),
+checked AS (SELECT *, CASE WHEN json_valid(features) THEN features END AS j FROM incoming)
+SELECT outcome, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (
+  SELECT event_id, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'rejected'
+    WHEN json_keys(j) = ['k'] AND json_type(j, '$.k') = json_type(props, '$.k') AND json_extract_string(j, '$.k') = json_extract_string(props, '$.k') THEN 'duplicate' ELSE 'conflict' END AS outcome FROM checked)
+GROUP BY outcome""")
+def event_payload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of known ids: equal as JSON or not, types included; what is no object is no event."""
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), "props", F.get_json_object("props", "$.k").alias("k"))
+    rows = lambda features: validated(e.select("event_id", F.lit("2024-05-01T10:00:00Z").alias("occurred_at"), features.alias("features"), F.lit(None).cast("string").alias("prediction_json"), F.lit(None).cast("double").alias("score")))
+    digest = payload_hash("event_id", "occurred_at", "features", "shape").alias("payload_sha256")
+    incoming = rows(F.expr(_payload_cases()))
+    known = rows(F.col("props")).select("event_id", digest)
+    told = classify(incoming.where("reason is null").select("event_id", digest, F.lit(1).alias("position")), known).select("event_id", "outcome")
+    both = told.unionByName(incoming.where("reason is not null").select("event_id", F.lit("rejected").alias("outcome")))
+    return both.groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.col("event_id").cast("long")).alias("ids"))
+
+
+#: JSON lines by id modulo 9: a good one, a key missing, one too many, no such day, no offset, features that are a list, a number for an id, a line cut short, a text for a score.
+_LINE_PARTS = {
+    "id": """CASE WHEN event_id % 9 = 6 THEN event_id::VARCHAR ELSE '"' || event_id::VARCHAR || '"' END""",
+    "at": """CASE event_id % 9 WHEN 3 THEN '2024-02-30T10:00:00Z' WHEN 4 THEN '2024-05-01T10:00:00' ELSE '2024-05-01T10:00:00+02:00' END""",
+    "features": """CASE event_id % 9 WHEN 1 THEN '' WHEN 5 THEN ',"features":[1]' ELSE ',"features":' || props END""",
+    "rest": """CASE event_id % 9 WHEN 2 THEN ',"more":1}' WHEN 7 THEN '' WHEN 8 THEN ',"score":"high"}' ELSE ',"score":0.5}' END""",
+}
+_LINE = f"""'{{"event_id":' || {_LINE_PARTS["id"]} || ',"occurred_at":"' || {_LINE_PARTS["at"]} || '"' || {_LINE_PARTS["features"]} || {_LINE_PARTS["rest"]}"""
+
+
+@register("event_validation", f"""
+WITH lines AS (SELECT {_LINE} AS line FROM events),
+parsed AS (SELECT line, CASE WHEN json_valid(line) THEN line END AS j FROM lines),
+keyed AS (
+  SELECT *, list_sort(list_filter(['event_id', 'features', 'occurred_at'], lambda k: NOT list_contains(json_keys(j), k))) AS missing,
+    list_sort(list_filter(json_keys(j), lambda k: k NOT IN ('event_id', 'features', 'occurred_at', 'prediction', 'score'))) AS unknown, json_extract_string(j, '$.occurred_at') AS moment FROM parsed)
+SELECT reason, count(*) AS n, sum(length(line))::BIGINT AS size FROM (
+  SELECT line, CASE WHEN j IS NULL THEN 'not JSON' WHEN len(missing) > 0 THEN 'missing keys: ' || array_to_string(missing, ', ') WHEN len(unknown) > 0 THEN 'unknown keys: ' || array_to_string(unknown, ', ')
+    WHEN json_type(j, '$.score') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'NULL') THEN 'score must be a finite number' WHEN json_type(j, '$.event_id') <> 'VARCHAR' THEN 'event_id must be text that is not blank'
+    WHEN NOT regexp_matches(moment, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') OR try_cast(moment[:19] AS TIMESTAMP) IS NULL THEN 'occurred_at must be an ISO 8601 time with an offset'
+    WHEN json_type(j, '$.features') <> 'OBJECT' THEN 'features must be an object' ELSE 'none' END AS reason FROM keyed)
+GROUP BY reason""")
+def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why lines of JSON are no events."""
+    lines = _table(spark, sf_dir, "events").select(F.expr(_LINE.replace("::VARCHAR", "::STRING")).alias("value"))
+    found = validated(envelopes(lines))
+    return found.groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("size"))
+
+
+@register("label_settlement", """
+WITH incoming AS (
+  SELECT event_id, (event_id % 2)::VARCHAR AS y, 1 AS position FROM events WHERE event_id % 3 <> 0
+  UNION ALL SELECT event_id, (1 - event_id % 2)::VARCHAR, 2 FROM events WHERE event_id % 4 = 0
+  UNION ALL SELECT event_id, (event_id % 2)::VARCHAR, 3 FROM events WHERE event_id % 6 = 1),
+known AS (SELECT event_id, (event_id % 2)::VARCHAR AS known FROM events WHERE event_id % 7 = 0),
+j AS (SELECT *, coalesce(known, first(y) OVER (PARTITION BY event_id ORDER BY position)) AS truth, row_number() OVER (PARTITION BY event_id ORDER BY position) AS place FROM incoming LEFT JOIN known USING (event_id))
+SELECT outcome, count(*) AS n, sum(event_id)::BIGINT AS ids FROM (
+  SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'parked' WHEN known IS NULL AND place = 1 THEN 'accepted' WHEN y = truth THEN 'duplicate' ELSE 'conflict' END AS outcome FROM j) GROUP BY outcome""")
+def label_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of events that have come and of others, some known already, some given twice or otherwise."""
+    e = _table(spark, sf_dir, "events").select("event_id")
+    own = (F.col("event_id") % 2).cast("string")
+    part = lambda where, y, position: e.where(where).select("event_id", y.alias("y_json"), F.lit(position).alias("position"))
+    incoming = part("event_id % 3 <> 0", own, 1).unionByName(part("event_id % 4 = 0", (1 - F.col("event_id") % 2).cast("string"), 2)).unionByName(part("event_id % 6 = 1", own, 3))
+    found = settled(incoming, e.where("event_id % 5 <> 0"), part("event_id % 7 = 0", own, 0).drop("position"))
+    return found.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as events with a prediction and a score, labels as late feedback; a window per source."""
     d = _table(spark, sf_dir, "documents")

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
+import threading
 from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 from typing import Any
@@ -30,14 +32,16 @@ from ..schema import validate_schema
 from ..sources.tables import load_table, records_frame, table_format
 from .delivery import AlertDelivery, Sender, post
 from . import records as tables
-from .events import canonical_features, classify, payload_hash, performance
+from .events import EVENT_OPTIONAL, EVENT_REQUIRED, classify, envelopes, labels, parsed_json, payload_hash, performance, settled, type_of, validated, validated_labels
 from .settings import validate_monitoring_config
 from .store import IdempotencyConflict, InvalidStateTransition, PendingEvents, RecordNotFound, StorageError, Store
 
-EVENT_KEYS = ({"event_id", "occurred_at", "features"}, {"prediction", "score"})
+EVENT_KEYS = (EVENT_REQUIRED, EVENT_OPTIONAL)
 FEEDBACK_KEYS = ({"event_id", "y_true"}, set())
 #: Windows that are analysed together.
 BLOCK = 200
+#: Conflicts that a result names; it counts all of them.
+LISTED = 20
 INCOMING = "event_id string, occurred_at string, features string, prediction_json string, score double"
 
 
@@ -70,6 +74,7 @@ class Monitor:
         self.spark, self.analysis, self.online, self.clock = spark, config["analysis"], config["online"], clock
         self.config_sha256 = sha256_json(self.analysis)
         self.store = Store(spark, self.online["state_path"])
+        self._lock = threading.RLock()
         extra = {"sleep": sleep} if sleep else {}
         self.delivery = AlertDelivery(self.store, self.online["alerts"], clock, sender, environment, **extra)
 
@@ -114,14 +119,12 @@ class Monitor:
             return record
         if self.store.count_events("claimed"):
             raise PendingEvents("a window is being processed")
-        buffered = self.store.latest("events").where("state = 'buffered'")
+        buffered = self.store.open_events().where("state = 'buffered'")
         n = buffered.count()
         if n and not discard:
             raise PendingEvents(f"events are buffered: {n}")
         if n:
-            discarded = buffered.drop("version").withColumn("state", F.lit("discarded")).persist()
-            self.store.append("events", discarded)
-            discarded.unpersist()
+            self.store.close(buffered.drop("version").withColumn("state", F.lit("discarded")))
         olds = [r.asDict() for r in self.store.latest("references").where("active").collect()]  # one at most
         new = {k: v for k, v in record.items() if k != "version"} | {"active": True}
         self.store.put("references", *[{k: v for k, v in o.items() if k != "version"} | {"active": False} for o in olds], new)
@@ -162,41 +165,59 @@ class Monitor:
                 raise ValueError("features must be a mapping that is not empty")
             prediction = None if e.get("prediction") is None else canonical_json(e["prediction"])
             score = e.get("score")
+            if score is not None and not math.isfinite(float(score)):
+                raise ValueError("score must be a finite number")
             rows.append((e["event_id"].strip(), utc_timestamp(e["occurred_at"]), canonical_json(dict(e["features"])), prediction, None if score is None else float(score)))
         out = self.ingest_frame(self.spark.createDataFrame(rows, INCOMING).coalesce(1))
         if out["conflicts"]:
-            raise IdempotencyConflict(f"events whose id is known with other contents: {', '.join(out['conflicts'])}")
+            more = out["n_conflicts"] - len(out["conflicts"])
+            raise IdempotencyConflict(f"events whose id is known with other contents: {', '.join(out['conflicts'])}{f' and {more} more' if more else ''}")
         return {k: out[k] for k in ("accepted", "duplicates", "buffered_rows", "run_ids")}
 
     def ingest_frame(self, frame: DataFrame, epoch: str | None = None) -> dict[str, Any]:
-        """Events as a DataFrame with the columns of INCOMING, in any number."""
+        """Events as a DataFrame with the columns of INCOMING, or with one column `value` of JSON lines, in any number.
+
+        Rows that are no events are kept in the table `rejected` with their reason and epoch, and counted;
+        the table `conflicts` keeps all conflicts, of which LISTED are named.
+        """
+        with self._lock:
+            return self._ingest(frame, epoch)
+
+    def _ingest(self, frame: DataFrame, epoch: str | None) -> dict[str, Any]:
         reference = self.active_reference()
         position = F.monotonically_increasing_id().alias("position")
-        digest = payload_hash("event_id", "occurred_at", "canonical", "prediction_json", "score").alias("payload_sha256")
-        rows = frame.withColumn("canonical", canonical_features()).select("event_id", "occurred_at", F.col("canonical").alias("features"), "prediction_json", "score", digest, position)
-        known = self.store.latest("events").select("event_id", "payload_sha256")
-        sorted_out = cut(classify(cut(rows), known))
-        counts = {r["outcome"]: r["count"] for r in sorted_out.groupBy("outcome").count().collect()}
+        lines = envelopes(frame) if frame.columns == ["value"] else frame.select(*[c.split()[0] for c in INCOMING.split(", ")])
+        rows = cut(validated(lines).withColumn("line", F.col("line") if "line" in lines.columns else F.to_json(F.struct(*lines.columns))).select("*", position))
+        n_bad = self._reject(rows.where("reason is not null"), epoch or "")
         now = F.lit(self.clock())
+        digest = payload_hash("event_id", "occurred_at", "features", "shape", "prediction_json", "score").alias("payload_sha256")
+        good = rows.where("reason is null").select("event_id", "occurred_at", "features", "prediction_json", "score", digest, "position")
+        sorted_out = cut(classify(good, self.store.known_events(good)))
+        counts = {r["outcome"]: r["count"] for r in sorted_out.groupBy("outcome").count().collect()}
         if counts.get("conflict"):
             quarantined = sorted_out.where("outcome = 'conflict'").select("event_id", "payload_sha256", F.lit(epoch or "").alias("epoch"), now.alias("received_at"))
             self.store.append("conflicts", quarantined)
         if counts.get("accepted"):
-            last = self.store.read("events").agg(F.max("sequence")).first()[0] or 0
+            last = self.store.last_sequence()
             accepted = number_rows(sorted_out.where("outcome = 'accepted'"), "position", "event_id", name="sequence", start=last + 1)
-            self.store.append("events", accepted.drop("outcome", "position").withColumns({"reference_id": F.lit(reference["reference_id"]), "received_at": now, "state": F.lit("buffered"), "window_id": F.lit(None).cast("string")}))
-        conflicts = [r["event_id"] for r in sorted_out.where("outcome = 'conflict'").limit(20).collect()]
+            numbered = accepted.drop("outcome", "position").withColumns({"reference_id": F.lit(reference["reference_id"]), "received_at": now, "state": F.lit("buffered"), "window_id": F.lit(None).cast("string")})
+            self.store.accept(numbered, last + counts["accepted"])
+            self._unpark(sorted_out.where("outcome = 'accepted'"))
+        conflicts = [r["event_id"] for r in sorted_out.where("outcome = 'conflict'").limit(LISTED).collect()]
         runs = self.process_ready_windows()
-        return {"accepted": counts.get("accepted", 0), "duplicates": counts.get("duplicate", 0), "conflicts": conflicts, "buffered_rows": self.store.count_events("buffered"), "run_ids": [r["run_id"] for r in runs]}
+        return {"accepted": counts.get("accepted", 0), "duplicates": counts.get("duplicate", 0), "rejected": n_bad, "n_conflicts": counts.get("conflict", 0), "conflicts": conflicts, "buffered_rows": self.store.count_events("buffered"), "run_ids": [r["run_id"] for r in runs]}
 
     def stream(self, source: DataFrame, checkpoint: str, **trigger: Any) -> StreamingQuery:
-        """A streaming query over events (columns of INCOMING); one epoch at a time, each committed once."""
+        """A streaming query over events (columns of INCOMING, or JSON lines in a column `value`); one epoch at a time, each committed once."""
+        return self._epochs(source, checkpoint, self.ingest_frame, trigger)
 
+    def _epochs(self, source: DataFrame, checkpoint: str, ingest: Callable[[DataFrame, str], Any], trigger: Mapping[str, Any]) -> StreamingQuery:
         def epoch(frame: DataFrame, number: int) -> None:
             name = f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}:{number}"
-            if self.store.find("epochs", name) is None:
-                self.ingest_frame(frame, name)
-                self.store.put("epochs", {"epoch": name, "committed_at": self.clock()})
+            with self._lock:  # queries over events and labels run side by side
+                if self.store.find("epochs", name) is None:
+                    ingest(frame, name)
+                    self.store.put("epochs", {"epoch": name, "committed_at": self.clock()})
 
         writer = source.writeStream.foreachBatch(epoch).option("checkpointLocation", checkpoint)
         return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -211,7 +232,7 @@ class Monitor:
 
     def _claim(self, reference_id: str, size: int) -> list[str]:
         """Cuts the buffered events into full windows, in the order of their sequence; the rest stays."""
-        buffered = self.store.latest("events").where((F.col("state") == "buffered") & (F.col("reference_id") == reference_id)).drop("version")
+        buffered = self.store.open_events().where((F.col("state") == "buffered") & (F.col("reference_id") == reference_id)).drop("version")
         total = buffered.count()
         if total < size:
             return []
@@ -219,29 +240,47 @@ class Monitor:
         first = F.min("sequence").over(Window.partitionBy(F.floor((F.col("n") - 1) / size)))  # `size` rows
         window = F.concat(F.lit("window_"), F.substring(F.sha2(F.concat_ws(":", F.lit(reference_id), first.cast("string")), 256), 1, 32))
         full = cut(numbered.withColumn("window_id", window).withColumn("state", F.lit("claimed")).drop("n"))
-        self.store.append("events", full)
+        self.store.append("open", full)
         order = full.groupBy("window_id").agg(F.min("sequence").alias("first")).orderBy("first").collect()
         return [r["window_id"] for r in order]
 
     @staticmethod
-    def _columns(events: DataFrame, reference: DataFrame) -> tuple[list[str], dict[str, list[str]]]:
-        """Names of the events' features, the reference's first, of all windows and of each; and no more than names comes to the driver."""
-        keys = events.select("window_id", F.explode(F.map_keys(F.from_json("features", "map<string,string>"))).alias("k"))
-        found = {r["window_id"]: set(r["keys"]) for r in keys.groupBy("window_id").agg(F.collect_set("k").alias("keys")).collect()}
-        ordered = lambda names: [n for n in reference.columns if n in names] + sorted(names - set(reference.columns))
-        return ordered(set().union(*found.values())), {w: ordered(names) for w, names in found.items()}
+    def _columns(events: DataFrame, reference: DataFrame) -> dict[str, tuple[tuple[str, str], ...]]:
+        """By window, the names of its events' features, the reference's first, each with the type that its values have.
+
+        The type is number, text, boolean, or none where all values are null; nested where a value is an object or
+        array, mixed where scalars differ. No more than names and types comes to the driver.
+        """
+        value = F.explode(parsed_json(F.col("features")).cast("map<string,variant>"))
+        kind = F.when(type_of(F.col("value")).isin("object", "array"), "nested").otherwise(F.nullif(type_of(F.col("value")), F.lit("null")))
+        keys = events.select("window_id", value).groupBy("window_id", "key").agg(F.collect_set(kind).alias("kinds"))  # four kinds at most
+        one = F.when(F.size("kinds") == 0, "none").when(F.array_contains("kinds", "nested"), "nested").when(F.size("kinds") == 1, F.element_at("kinds", 1)).otherwise("mixed")
+        found: dict[str, dict[str, str]] = {}
+        for r in keys.select("window_id", "key", one.alias("kind")).collect():
+            found.setdefault(r["window_id"], {})[r["key"]] = r["kind"]
+        ordered = lambda names: [n for n in reference.columns if n in names] + sorted(names.keys() - set(reference.columns))
+        return {w: tuple((n, kinds[n]) for n in ordered(kinds)) for w, kinds in found.items()}
 
     @staticmethod
-    def _frame(events: DataFrame, reference: DataFrame, names: list[str], window: str) -> DataFrame:
-        """The events' features as columns, of the reference's types where they fit it, beside their window."""
-        types = {f.name: f.dataType for f in reference.schema}
+    def _frame(events: DataFrame, columns: tuple[tuple[str, str], ...], window: str) -> DataFrame:
+        """The events' features as columns of the types that their values have, beside their window.
 
-        def value(n: str) -> Column:
+        Nothing is cast to what the reference expects: a text among numbers makes a column of texts, which does
+        not fit a numeric feature. Nested values become arrays, which fit none.
+        """
+
+        def value(n: str, kind: str) -> Column:
             raw = F.col("m")[n]
-            return (raw if n not in types else raw.try_cast("double") if kind_of(types[n]) == "numeric" else raw.try_cast(types[n])).alias(n)
+            scalar = F.when(type_of(raw) != "null", raw)
+            text = scalar.cast("string")
+            typed = {
+                "number": F.try_variant_get(scalar, "$", "double"), "boolean": F.try_variant_get(scalar, "$", "boolean"), "nested": F.when(text.isNotNull(), F.array(text)),
+                "mixed": F.when(type_of(scalar) == "text", text).otherwise(F.concat(type_of(scalar), F.lit(":"), text)),
+            }
+            return typed.get(kind, text).alias(n)
 
-        parsed = events.select(F.col("window_id").alias("w"), F.from_json("features", "map<string,string>").alias("m"))
-        return canonical(parsed.select(F.col("w").alias(window), *[value(n) for n in names]))
+        parsed = events.select(F.col("window_id").alias("w"), parsed_json(F.col("features")).cast("map<string,variant>").alias("m"))
+        return canonical(parsed.select(F.col("w").alias(window), *[value(n, k) for n, k in columns]))
 
     def _start(self, source: str, reference: Mapping[str, Any], rows: Mapping[str, int]) -> dict[str, dict[str, Any]]:
         """By source id, its run: known ones as they are, others new."""
@@ -293,7 +332,7 @@ class Monitor:
             runs |= done
         good = [w for w, run in runs.items() if run["status"] == "completed"]
         state = F.when(F.col("window_id").isin(good), "processed").otherwise("failed")
-        self.store.append("events", events.where("state = 'claimed'").withColumn("state", state))
+        self.store.close(events.where("state = 'claimed'").withColumn("state", state))
         ordered = [runs[w] for w in window_ids]
         completed = [run for run in ordered if run["status"] == "completed"]
         self._evaluate([run["run_id"] for run in completed])
@@ -303,21 +342,26 @@ class Monitor:
     def _results(self, events: DataFrame, reference: Mapping[str, Any]) -> Callable[[str], dict[str, Any]]:
         """What gives a window's result: all are computed in one go, or, where that fails, each by itself, so that one window's fault is its own."""
         content = self._content(reference)
-        every, columns = self._columns(events, content)
+        columns = self._columns(events, content)
         window = "window_id"
-        while window.lower() in {n.lower() for n in every}:
+        while window.lower() in {n.lower() for own in columns.values() for n, _ in own}:
             window += "_"
-        try:
-            current = self._frame(events, content, every, window)
-            found = analyze_windows(content, self._kept(reference), current, window, columns, self.analysis)
-        except Exception:  # noqa: BLE001  found again, and recorded, by the window it belongs to
-            found = {}
+        found: dict[str, Any] = {}
+        shapes: dict[tuple, list[str]] = {}
+        for w, own in columns.items():
+            shapes.setdefault(own, []).append(w)
+        for own, windows in shapes.items():  # one, unless windows differ in features or their types
+            try:
+                current = self._frame(events.where(F.col("window_id").isin(windows)), own, window)
+                found |= analyze_windows(content, self._kept(reference), current, window, dict.fromkeys(windows, [n for n, _ in own]), self.analysis)
+            except Exception:  # noqa: BLE001  found again, and recorded, by the window it belongs to
+                continue
 
         def result(w: str) -> dict[str, Any]:
             if w in found:
                 return found[w]
             # also windows whose events have no features at all
-            alone = self._frame(events.where(F.col("window_id") == w), content, columns.get(w, []), window)
+            alone = self._frame(events.where(F.col("window_id") == w), columns.get(w, ()), window)
             return analyze(content, alone.drop(window), self.analysis)
 
         return result
@@ -373,21 +417,73 @@ class Monitor:
         return self.ingest_feedback_frame(self.spark.createDataFrame(rows, "event_id string, y_json string").coalesce(1))
 
     def ingest_feedback_frame(self, frame: DataFrame) -> dict[str, Any]:
-        rows = cut(frame.select("event_id", "y_json", F.monotonically_increasing_id().alias("position")))
-        events = self.store.latest("events").select("event_id", "window_id")
-        unknown = tables.with_known(rows, events, "event_id").where("not known").select("event_id").limit(1).collect()
-        if unknown:
-            raise RecordNotFound(f"events has no {unknown[0]['event_id']!r}")
-        sorted_out = cut(classify(rows, self.store.latest("feedback"), digest="y_json"))
-        counts = {r["outcome"]: r["count"] for r in sorted_out.groupBy("outcome").count().collect()}
+        """Labels (event_id, y_json); an unknown event, or a label that differs from a known one, rejects all of them."""
+        with self._lock:
+            rows = cut(frame.select("event_id", "y_json", F.monotonically_increasing_id().alias("position")))
+            found = cut(settled(rows, self.store.known_events(rows), self.store.of_batch("feedback", rows)))
+            unknown = found.where("outcome = 'parked'").select("event_id").limit(1).collect()
+            if unknown:
+                raise RecordNotFound(f"events has no {unknown[0]['event_id']!r}")
+            conflicts = found.where("outcome = 'conflict'").count()
+            if conflicts:
+                raise IdempotencyConflict(f"labels that differ from known ones: {conflicts}")
+            return self._settle(found, "")
+
+    def ingest_labels(self, frame: DataFrame, epoch: str = "") -> dict[str, Any]:
+        """Labels as they come: columns (event_id, y_json), or one column `value` of JSON lines.
+
+        Labels whose event has not come are parked, and settled when it does; labels that differ from a known one go to
+        `label_conflicts`, rows that are no labels to `rejected`. Counts of all are in the result.
+        """
+        with self._lock:
+            given = labels(frame) if frame.columns == ["value"] else validated_labels(frame.select("event_id", "y_json")).withColumn("line", F.to_json(F.struct("event_id", "y_json")))
+            rows = cut(given.select("event_id", "y_json", "reason", "line", F.monotonically_increasing_id().alias("position")))
+            n_bad = self._reject(rows.where("reason is not null"), epoch)
+            good = rows.where("reason is null").select("event_id", "y_json", "position")
+            found = cut(settled(good, self.store.known_events(good), self.store.of_batch("feedback", good)))
+            parked = found.where("outcome = 'parked'")
+            n_parked = parked.count()
+            if n_parked:
+                self.store.append("parked", parked.select("event_id", "y_json", "position", F.lit(epoch).alias("epoch"), F.lit(self.clock()).alias("received_at")))
+            return self._settle(found, epoch) | {"parked": n_parked, "rejected": n_bad}
+
+    def stream_labels(self, source: DataFrame, checkpoint: str, **trigger: Any) -> StreamingQuery:
+        """A streaming query over labels, beside that over events and with epochs of its own; see `ingest_labels`."""
+        return self._epochs(source, checkpoint, self.ingest_labels, trigger)
+
+    def _settle(self, found: DataFrame, epoch: str) -> dict[str, Any]:
+        """Stores labels that `settled` accepted, keeps conflicts apart, and evaluates the completed windows that labels are of."""
+        counts = {r["outcome"]: r["count"] for r in found.groupBy("outcome").count().collect()}
+        now = F.lit(self.clock()).alias("received_at")
         if counts.get("conflict"):
-            raise IdempotencyConflict(f"labels that differ from known ones: {counts['conflict']}")
+            self.store.append("label_conflicts", found.where("outcome = 'conflict'").select("event_id", "y_json", F.lit(epoch).alias("epoch"), now))
         if counts.get("accepted"):
-            self.store.append("feedback", sorted_out.where("outcome = 'accepted'").select("event_id", "y_json", F.lit(self.clock()).alias("received_at")))
-        windows = events.join(rows.select("event_id").distinct(), "event_id").where("window_id is not null").select("window_id").distinct()
-        runs = self.store.latest("runs").where("status = 'completed' and source = 'window'")
-        affected = [r["run_id"] for r in runs.join(windows, runs["source_id"] == windows["window_id"], "left_semi").select("run_id").orderBy("run_id").collect()]
-        return {"accepted": counts.get("accepted", 0), "duplicates": counts.get("duplicate", 0), "evaluations": self._evaluate(affected)}
+            self.store.append("feedback", found.where("outcome = 'accepted'").select("event_id", "y_json", now))
+        affected: list[str] = []
+        if counts.get("accepted") or counts.get("duplicate"):
+            mine = found.where("outcome <> 'parked'").select("event_id").distinct()
+            windows = self.store.known_events(mine).join(mine, "event_id").where("window_id is not null").select("window_id").distinct()
+            runs = self.store.latest("runs").where("status = 'completed' and source = 'window'")
+            affected = [r["run_id"] for r in runs.join(windows, runs["source_id"] == windows["window_id"], "left_semi").select("run_id").orderBy("run_id").collect()]
+        return {"accepted": counts.get("accepted", 0), "duplicates": counts.get("duplicate", 0), "conflicts": counts.get("conflict", 0), "evaluations": self._evaluate(affected)}
+
+    def _unpark(self, events: DataFrame) -> None:
+        """Settles the labels that waited for these events. A crash in between leaves them parked, and the next time they are duplicates."""
+        waiting = self.store.read("parked")
+        mine = cut(waiting.join(events.select("event_id").distinct(), "event_id", "left_semi").drop("version"))
+        if mine.isEmpty():
+            return
+        self._settle(cut(classify(mine, self.store.of_batch("feedback", mine), digest="y_json", order=["received_at", "position"])), "")
+        self.store.replace("parked", waiting.join(mine.select("event_id").distinct(), "event_id", "left_anti").drop("version"))
+
+    def _reject(self, bad: DataFrame, epoch: str) -> int:
+        """Keeps rows (event_id, line, reason, position) that are no events or labels, and counts them."""
+        n = bad.count()
+        if n:
+            now = self.clock()
+            name = F.sha2(F.concat_ws(":", F.lit(epoch or now), "position"), 256).alias("rejected_id")
+            self.store.append("rejected", bad.select(name, "event_id", F.col("line").alias("payload"), "reason", F.lit(epoch).alias("epoch"), F.lit(now).alias("received_at")))
+        return n
 
     def _evaluate(self, run_ids: list[str]) -> list[dict[str, Any]]:
         """Performance of completed window runs: one job for all of them, stored per run."""
