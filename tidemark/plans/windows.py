@@ -105,7 +105,7 @@ def _sample_cells(samples: DataFrame, asked: DataFrame, edges: Mapping[str, Any]
     return cells.with_shares(every.join(counted, ["feature", "cell"], "left").fillna(0, ["n_current"]))
 
 
-def _by_window(found: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
+def by_window(found: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
     out: dict[str, dict[str, Any]] = defaultdict(dict)
     for feature, x in found.items():
         window, name = feature.split(SEPARATOR, 1)
@@ -146,13 +146,13 @@ def analyze_windows(reference: DataFrame, kept: Kept, current: DataFrame, window
             )
         finally:
             samples.unpersist()
-        return [_by_window(x) for x in (distances, stable, edges)]
+        return [by_window(x) for x in (distances, stable, edges)]
 
     def categories() -> list[dict]:
         if not asked["categorical"] or not drift["categorical_methods"]:
             return [{}, {}, {}, {}]
         counts = _counts(kept.categories, own(category_values(current, names["categorical"], window), F.col("category").alias("cell")), frame("categorical"), "cell")
-        return [_by_window(x) for x in statistics_of_cells(cells.with_shares(counts), [f for f, _, _ in asked["categorical"]], drift)]
+        return [by_window(x) for x in statistics_of_cells(cells.with_shares(counts), [f for f, _, _ in asked["categorical"]], drift)]
 
     def profiled() -> dict[str, dict[str, Any]]:
         out: dict[str, dict[str, Any]] = defaultdict(dict)
