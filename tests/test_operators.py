@@ -261,6 +261,25 @@ def test_group_folds_balance_labels(spark):
         assert len(by_fold) == 4 and all(abs(n / total - 0.25) < 0.05 for n in by_fold.values())
 
 
+def test_group_folds_with_few_and_uneven_groups(spark):
+    """Every label's rows of a fold differ from an even share by at most the largest group's, also where sizes go over four decades."""
+    rng = random.Random(5)
+    for n_splits, sizes in ((3, [(700, 3), (500, 90), (2, 400), (30, 30), (1, 1), (5, 0), (0, 7)]), (4, [(int(10 ** rng.uniform(0, 3)), int(10 ** rng.uniform(0, 3))) for _ in range(60)]), (5, [(1, 0)] * 23 + [(0, 1)] * 14)):
+        rows = [(g, y) for g, n in enumerate(sizes) for y in (0, 1) for _ in range(n[y])]
+        dealt = group_folds(spark.createDataFrame(rows, "group_id long, label int"), n_splits, 7).cache()
+        assert dealt.count() == len(rows) and dealt.select("group_id", "fold").distinct().count() == len({g for g, _ in rows})
+        found = {(r.fold, r.label): r["count"] for r in dealt.groupBy("fold", "label").count().collect()}
+        for y in (0, 1):
+            even, largest = sum(n[y] for n in sizes) / n_splits, max(n[y] for n in sizes)
+            assert all(abs(found.get((f, y), 0) - even) <= largest for f in range(n_splits)), (n_splits, y, found)
+
+
+def test_equal_rows_are_dealt_evenly(spark):
+    rows = labelled(spark.createDataFrame([(1.0,)] * 901, "v double"), spark.createDataFrame([(1.0,)] * 100 + [(2.0,)], "v double"), {"v": "numeric"})
+    found = stratified_folds(rows.repartition(5), 4, 3).groupBy("label", "fold").count().collect()
+    assert sorted((r.label, r["count"]) for r in found) == [(0, 225), (0, 225), (0, 225), (0, 226), (1, 25), (1, 25), (1, 25), (1, 26)]
+
+
 def test_number_rows(spark):
     rows = [(k * 7919 % 101, k) for k in range(101)]
     got = number_rows(spark.createDataFrame(rows, "v int, k int").repartition(5), "v", start=10).collect()

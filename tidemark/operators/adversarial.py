@@ -14,11 +14,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import as_double, category_key, column, is_finite, kind_of
 from ..functions.decide import exceeds
+from .numbering import number_rows
 from .twosample import medians, roc_auc
 
 TREES, RATE, DEPTH, LEAF_ROWS = 80, 0.05, 4, 10
@@ -45,37 +46,70 @@ def stratified_folds(rows: DataFrame, n_splits: int, seed: int, label: str = "la
     """Adds `fold`: of each label the same number of rows in every fold, but for one.
 
     Rows are dealt in the order of a seeded hash of their content, so folds depend on neither partitions
-    nor order; equal rows are interchangeable. Rows are ranked inside hash ranges and the ranges' counts
-    summed, so that no task ranks a whole label.
+    nor order; equal rows are interchangeable, and told apart by a number of no meaning, so that rows of which
+    there are very many are not numbered by one task.
     """
     content = F.xxhash64(F.lit(seed), *[column(c) for c in rows.columns])
-    hashed = rows.withColumn("_h", content).withColumn("_range", F.shiftrightunsigned("_h", 54))
-    sizes = hashed.groupBy(label, "_range").agg(F.count("*").alias("_n"))
-    along = Window.partitionBy(label).orderBy("_range")  # at most 1024 ranges
-    before = sizes.select(label, "_range", (F.sum("_n").over(along) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_h"))
-    dealt = hashed.join(F.broadcast(before), [label, "_range"]).withColumn("fold", ((F.col("_before") + place - 1) % n_splits).cast("int"))
-    return dealt.drop("_h", "_range", "_before")
+    numbered = number_rows(rows.withColumns({"_h": content, "_tie": F.monotonically_increasing_id()}), label, "_h", "_tie", name="_n")
+    first = numbered.groupBy(F.col(label).alias("_label")).agg(F.min("_n").alias("_first"))  # a row per label
+    dealt = numbered.join(F.broadcast(first), F.col(label).eqNullSafe(F.col("_label")))
+    return dealt.withColumn("fold", ((F.col("_n") - F.col("_first")) % n_splits).cast("int")).drop("_h", "_tie", "_n", "_label", "_first")
+
+
+#: Group sizes up to this are told apart one by one; of larger ones the leading four bits.
+EXACT_SIZES = 64
+
+
+def _size_class(n: str) -> Column:
+    """A number for a group's rows of one label: equal for equal sizes, or for large ones that are within an eighth; at most a few hundred values."""
+    bits = F.floor(F.log2(F.greatest(F.col(n), F.lit(1)).cast("double"))).cast("int")
+    return F.when(F.col(n) <= EXACT_SIZES, F.col(n)).otherwise(EXACT_SIZES + 8 * bits + F.floor(F.col(n) / F.pow(F.lit(2.0), bits - 3)) - 8).cast("int")
+
+
+def dealt_cells(cells: list[tuple[int, int, int, int]], n_splits: int) -> list[list[int]]:
+    """For cells (groups, rows of label 0, rows of label 1, any), the folds that a cell's groups beyond whole rounds go to, in their order.
+
+    Whole rounds give every fold the same. The rest is dealt greedily, the largest groups first: each group goes to the fold where the
+    sum of squares of the labels' shares grows least, so to one that lacks the labels that the group has.
+    """
+    totals = [max(1, sum(c[k] for c in cells)) for k in (1, 2)]
+    have = [[0.0, 0.0] for _ in range(n_splits)]
+    rest: list[list[int]] = [[] for _ in cells]
+    share = lambda c: max(c[1] / totals[0], c[2] / totals[1]) / c[0]
+    for at in sorted(range(len(cells)), key=lambda k: (-share(cells[k]), k)):
+        groups, *rows = cells[at][:3]
+        mean = [r / groups / t for r, t in zip(rows, totals, strict=True)]
+        for f in have:
+            for k in (0, 1):
+                f[k] += groups // n_splits * mean[k]
+        for _ in range(groups % n_splits):
+            fold = min((f for f in range(n_splits) if f not in rest[at]), key=lambda f: (have[f][0] * mean[0] + have[f][1] * mean[1], sum(have[f]), f))
+            rest[at].append(fold)
+            for k in (0, 1):
+                have[fold][k] += mean[k]
+    return rest
 
 
 def group_folds(rows: DataFrame, n_splits: int, seed: int, label: str = "label", group: str = "group_id") -> DataFrame:
-    """Adds `fold`, the same for all rows of a group.
+    """Adds `fold`, the same for all rows of a group; labels' shares are near even in all folds.
 
-    Groups are sorted by size class and dealt in turn, large ones first, which keeps both labels' shares
-    near even without gathering the groups in one place.
+    Groups are counted by (rows of label 0, rows of label 1), a histogram of some ten thousand cells at most
+    however many groups there are; what comes to the driver is this. In a cell groups are dealt in the order of a
+    seeded hash: round by round, and the rest as `dealt_cells` says, so that a fold's rows of a label differ from an
+    even share by no more than about the largest group's.
     """
-    sizes = rows.groupBy(group).agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_n0"), F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_n1"))
-    shape = [F.floor(F.log2(F.col(c) + F.lit(1.0))).cast("int") for c in ("_n0", "_n1")]
-    classed = sizes.select(group, F.struct(*[s.alias(f"s{k}") for k, s in enumerate(shape)]).alias("_class"), F.xxhash64(F.lit(seed), column(group)).alias("_h"))
-    ranged = classed.withColumn("_range", F.shiftrightunsigned("_h", 58))
-    per = ranged.groupBy("_class", "_range").agg(F.count("*").alias("_n"))
-    along = Window.partitionBy("_class").orderBy("_range")
-    before = per.select("_class", "_range", (F.sum("_n").over(along) - F.col("_n")).alias("_before"))
-    classes = per.groupBy("_class").agg(F.sum("_n").alias("_size"))
-    shift = classes.select("_class", (F.sum("_size").over(Window.orderBy("_class")) - F.col("_size")).alias("_shift"))  # a row per size class
-    place = F.row_number().over(Window.partitionBy("_class", "_range").orderBy("_h", group))
-    turn = ranged.join(F.broadcast(before), ["_class", "_range"]).join(F.broadcast(shift), "_class").select(F.col(group).alias("_g"), ((F.col("_shift") + F.col("_before") + place - 1) % n_splits).cast("int").alias("fold"))
-    return rows.join(turn, F.col(group) == F.col("_g")).drop("_g")
+    count = lambda y: F.sum(F.when(F.col(label) == y, 1).otherwise(0))
+    sizes = rows.groupBy(group).agg(count(0).alias("_n0"), count(1).alias("_n1"))
+    celled = sizes.select(F.col(group).alias("_g"), "_n0", "_n1", _size_class("_n0").alias("_c0"), _size_class("_n1").alias("_c1"), F.xxhash64(F.lit(seed), column(group)).alias("_h"))
+    numbered = number_rows(celled, "_c0", "_c1", "_h", "_g", name="_n")
+    found = numbered.groupBy("_c0", "_c1").agg(F.count("*").alias("groups"), F.sum("_n0").alias("n0"), F.sum("_n1").alias("n1"), F.min("_n").alias("first")).orderBy("_c0", "_c1").collect()
+    rest = dealt_cells([(r["groups"], r["n0"], r["n1"], 0) for r in found], n_splits)
+    rounds = [(r["_c0"], r["_c1"], r["first"], r["groups"] // n_splits * n_splits, folds) for r, folds in zip(found, rest, strict=True)]
+    plan = F.broadcast(rows.sparkSession.createDataFrame(rounds, "_c0 int, _c1 int, _first long, _even long, _rest array<int>"))  # a row per cell
+    place = F.col("_n") - F.col("_first")
+    fold = F.when(place < F.col("_even"), (place % n_splits).cast("int")).otherwise(F.get("_rest", (place - F.col("_even")).cast("int")))
+    turn = numbered.join(plan, ["_c0", "_c1"]).select("_g", fold.alias("fold"))
+    return rows.join(turn, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def _stacked(rows: DataFrame, kinds: list[str], kind: str) -> DataFrame:

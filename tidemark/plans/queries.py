@@ -724,12 +724,17 @@ def stratified_folds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_folds(rows, 3, 42).groupBy("label", "fold").agg(F.count("*").alias("rows"))
 
 
-@register("group_folds", "SELECT count(DISTINCT o_custkey) AS n_groups, count(*) AS rows, 0::BIGINT AS groups_in_two_folds FROM orders")
+#: The last two columns are what folds promise: no group in two of them, and no label's rows further from an even share than the largest group's.
+@register("group_folds", "SELECT count(DISTINCT o_custkey) AS n_groups, count(*) AS rows, 0::BIGINT AS groups_in_two_folds, true AS labels_even FROM orders")
 def group_folds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     dealt = group_folds(labelled(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0"), {"o_totalprice": "numeric"}, "o_custkey"), 3, 42)
-    per = dealt.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("fold").alias("folds"))
-    return per.agg(F.count("*").alias("n_groups"), F.sum("n").alias("rows"), F.count(F.when(F.col("folds") > 1, 1)).alias("groups_in_two_folds"))
+    per = dealt.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("fold").alias("folds"), F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    labels_of = dealt.groupBy("fold", "label").agg(F.count("*").alias("n")).groupBy("label").agg(F.max("n").alias("most"), F.min("n").alias("least"), F.sum("n").alias("all"), F.count("*").alias("folds"))
+    largest = per.agg(F.max("n0").alias("m0"), F.max("n1").alias("m1"))
+    off = F.greatest(F.col("most") - F.col("all") / 3, F.col("all") / 3 - F.col("least"))
+    even = labels_of.crossJoin(F.broadcast(largest)).agg(F.bool_and((F.col("folds") == 3) & (off <= F.when(F.col("label") == 1, F.col("m1")).otherwise(F.col("m0")))).alias("labels_even"))  # one row beside two
+    return per.agg(F.count("*").alias("n_groups"), F.sum("n").alias("rows"), F.count(F.when(F.col("folds") > 1, 1)).alias("groups_in_two_folds")).crossJoin(even)
 
 
 @register("adversarial_auc")
