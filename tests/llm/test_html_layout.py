@@ -167,3 +167,102 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame([(None, None, "t"), (1, "", "t"), (1, "<p>a", "t"), (1, "<p>a", "t")], "page_id long, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in H.extract(pages).collect()) == [("1", ""), ("1", "a"), ("1", "a"), ("None", "")]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("sheet", "body", "text"),
+    [
+        ("", "<div style='visibility:hidden'>a<span style='visibility:visible'>B</span>c</div>", "B"),
+        ("", "<div style='display:none'>a<span style='display:block;visibility:visible'>B</span></div>", ""),
+        (".h{visibility:hidden}.s{visibility:visible}", "<ul class=h><li>a<li class=s>b<li>c<b class=s>d</b></ul>", "- b\n  d"),
+        ("div.x{display:none}", "<div class=x>a</div><p class=x>b", "b"),
+        (".a .b{display:none}", "<div class=a><p><i class=b>1</i></p></div><i class=b>2</i>", "2"),
+        (".a > .b{display:none}", "<div class=a><p><i class=b>1</i></p><i class=b>2</i></div>", "1"),
+        ("ul > li.x{display:none}", "<ul><li class=x>a<li>b</ul><ol><li class=x>c</ol>", "- b\n\n1. c"),
+        ("[hidden]{display:block}", "<p hidden>a", "a"),
+        (".row{display:flex}", "<p hidden class=row>a<p hidden>b", "a"),
+        ("[data-x]{display:none}[data-y='2']{display:none}[lang|=en]{display:none}", "<p data-x>a<p data-y=2>b<p data-y=3>c<p lang=en-GB>d", "c"),
+        ("#k p{display:none}.c.d p{display:block}", "<div id=k class='c d'><p>a</div>", ""),
+        (".c.d p{display:none}p{display:block}", "<div class='c d'><p>a</div><div class=c><p>b</div>", "b"),
+        ("* .x{display:none}", "<p class=x>a", ""),
+        ("p:hover{display:none}p + p{display:none}a,p::before{display:none}", "<p>x<p>y<a>z</a>", "x\n\ny"),
+        (".a > .b .c{display:none}", "<div class=b><div class=a><div class=b><div class=b><i class=c>1</i></div></div></div><i class=c>2</i></div>", "2"),
+        (".v{visibility:hidden}.v i{visibility:inherit}", "<p class=v>a<i>b</i>", ""),
+        (".v{visibility:hidden}", "<table><tr><td class=v>a<td>b<tr><td>c<td class=v>d</table>", "   b\nc"),
+    ],
+)
+def test_rules_above_and_inherited_visibility(sheet, body, text):
+    assert H.visible_text(f"<style>{sheet}</style>{body}") == text
+
+
+def test_noscript_shows_and_lists_count_as_they_say():
+    assert H.visible_text("<script>x</script><noscript>plain</noscript>") == "plain"
+    assert H.visible_text("<ol type=a start=26><li>x<li>y</ol><ol type=I start=4><li>p</ol><ol type=A><li value=0>q</ol>") == "z. x\naa. y\n\nIV. p\n\n0. q"
+
+
+def naive(tree, rules, above=(), seen=True):
+    """Visible words of a tree of tuples (tag, classes, style, children), by trying every rule on every element."""
+    tag, classes, style, children = tree
+    path = (*above, (tag, classes))
+
+    def fits(part, element):
+        wanted_tag, wanted = part
+        return wanted_tag in ("*", element[0]) and wanted <= element[1]
+
+    def stands(parts, at):
+        """Whether parts (from the element up, each with whether the next one up is its parent) fit the path up to `at`."""
+        (part, child), rest = parts[0], parts[1:]
+        if not fits(part, path[at]):
+            return False
+        return not rest or any(stands(rest, k) for k in ([at - 1] if child else range(at)) if k >= 0)
+
+    best = {}
+    for order, (parts, prop, value) in enumerate(rules):
+        if stands(parts, len(path) - 1):
+            weight = (sum(len(p[1]) for p, _ in parts), sum(p[0] != "*" for p, _ in parts), order)
+            if prop not in best or weight > best[prop][0]:
+                best[prop] = weight, value
+    best |= {prop: ((9,), value) for prop, value in style}
+    if best.get("display", (0, ""))[1] == "none":
+        return []
+    seen = {"hidden": False, "visible": True}.get(best.get("visibility", (0, ""))[1], seen)
+    words = []
+    for c in children:
+        words += ([c] if seen else []) if isinstance(c, str) else naive(c, rules, path, seen)
+    return words
+
+
+CLASSES = st.frozensets(st.sampled_from("abc"), max_size=2)
+DECIDES = st.sampled_from([("display", "none"), ("display", "block"), ("visibility", "hidden"), ("visibility", "visible")])
+TREES = st.recursive(
+    st.builds(lambda t, c, s: (t, c, s, ["w"]), st.sampled_from(["div", "span"]), CLASSES, st.lists(DECIDES, max_size=1)),
+    lambda inner: st.builds(lambda t, c, s, k: (t, c, s, k), st.sampled_from(["div", "section"]), CLASSES, st.lists(DECIDES, max_size=1), st.lists(st.one_of(inner, st.just("w")), max_size=4)),
+    max_leaves=14,
+)
+RULES = st.lists(st.tuples(st.lists(st.tuples(st.tuples(st.sampled_from(["*", "div", "span"]), CLASSES), st.booleans()), min_size=1, max_size=3), DECIDES).map(lambda x: (x[0], *x[1])), max_size=5)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TREES, RULES)
+def test_generated_trees_like_every_rule_on_every_element(tree, rules):
+    counter = iter(range(10_000))
+
+    def numbered(t):
+        return (*t[:3], [f"w{next(counter)}" if isinstance(c, str) else numbered(c) for c in t[3]])
+
+    def html(t):
+        tag, classes, style, children = t
+        return f"<{tag} class='{' '.join(sorted(classes))}' style='{';'.join(f'{p}:{v}' for p, v in style)}'>" + " ".join(c if isinstance(c, str) else html(c) for c in children) + f"</{tag}>"
+
+    def css(parts):
+        out = ""
+        for k, ((tag, classes), child) in enumerate(parts):
+            one = (tag if tag != "*" or not classes else "") + "".join(f".{c}" for c in sorted(classes))
+            out = one + ((" > " if parts[k - 1][1] else " ") + out if k else "")
+        return out
+
+    tree = numbered(tree)
+    sheet = "".join(f"{css(parts)}{{{prop}:{value}}}" for parts, prop, value in rules)
+    # the page's own html and body are above the tree
+    want = naive(("html", frozenset(), [], [("body", frozenset(), [], [tree])]), rules)
+    assert H.visible_text(f"<html><head><style>{sheet}</style></head><body>{html(tree)}</body></html>").split() == want

@@ -9,10 +9,12 @@ visible; the rest is laid out as blocks and lines. Nothing that is visible is dr
     pre        keeps its white space; elsewhere white space collapses
 
 Invisible are head, scripts, styles, templates and the like, the `hidden` attribute, closed details and
-dialogs, and what inline style or a simple rule of the page's own style sheet (tag, .class or #id)
-sets to `display: none` or `visibility: hidden`. Where such rules disagree on an element, importance,
-layer, kind of selector and order decide. Of rules inside at-rules only those of `@layer` and of
-`@media` for screen or all, without conditions, count.
+dialogs, and what inline style or the page's own style sheets set to `display: none` or `visibility: hidden`.
+What is not displayed takes all below with it; visibility is inherited and may be undone below. Selectors are tags,
+.classes, #ids and [attributes], together and below one another (`a b`, `a > b`); those that ask for siblings or a
+state (`:hover`) are passed over. Where rules disagree on an element, importance, layer, the selector's weight and
+order decide. Of rules inside at-rules only those of `@layer` and of `@media` for screen or all, without conditions,
+count. Scripts do not run, so `noscript` shows.
 
 Each page is one row's work, in memory proportional to it. Elements are opened at every depth, so what
 hides them does too; only indentation and padding end somewhere. Defined results: a null or empty page
@@ -28,7 +30,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Generator, Iterable, Iterator
 from html.parser import HTMLParser
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +82,12 @@ BOUNDS = frozenset(("table", "td", "th", "caption", "button", "html", "template"
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "names", "shown", "seen")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.names: frozenset[str] = frozenset()  # what selectors call it; with the next two set by `styled`
+        self.shown = self.seen = True
 
 
 class TreeBuilder(HTMLParser):
@@ -210,29 +214,159 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def parse(html: str) -> tuple[Element, dict[str, dict[str, Decision]]]:
-    """The page's tree, and what its own style sheet decides for tags, .classes and #ids."""
+def parse(html: str) -> Element:
+    """The page's tree, in which every element knows whether it shows."""
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return builder.root, decided(" ".join(builder.styles))
+    styled(builder.root, Sheet(" ".join(builder.styles)))
+    return builder.root
 
 
-#: A decision on whether an element shows: its precedence, and whether it hides.
-Decision = tuple[tuple, bool]
+#: A decision on whether an element shows: its precedence, and whether it hides; None inherits.
+Decision = tuple[tuple, "bool | None"]
 PROPERTIES = ("display", "visibility")
 
 
-def decided(sheet: str) -> dict[str, dict[str, Decision]]:
-    """What a style sheet decides of each property, by simple selector; nothing where it never hides."""
-    found: dict[str, dict[str, Decision]] = {x: {} for x in PROPERTIES}
-    for order, (selectors, body, layered) in enumerate(rules(re.sub(r"/\*.*?\*/", "", sheet, flags=re.DOTALL))):
-        simple = [s for s in (x.strip().lower() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s)]
-        for name, (important, hide) in declared(body).items() if simple else ():
-            for s in simple:
-                decision = ((important, layered == important, ".#".find(s[0]), order), hide)
-                found[name][s] = max(decision, found[name].get(s, decision))
-    return {name: x for name, x in found.items() if any(hide for _, hide in x.values())}
+class Compound(NamedTuple):
+    """What a selector asks of one element: names (a tag, .classes, an #id) and (attribute, relation, value)."""
+
+    names: frozenset[str]
+    attributes: tuple[tuple[str, str, str], ...] = ()
+
+    def fits(self, e: Element) -> bool:
+        return self.names <= e.names and all(_related(e.attrs.get(name), how, value) for name, how, value in self.attributes)
+
+    def key(self) -> str:
+        """The name by which it is found: an id or a class rather than a tag; * where it has none."""
+        return max(self.names, key=lambda x: (".#".find(x[0]), x), default="*")
+
+
+def _related(found: str | None, how: str, value: str) -> bool:
+    if found is None or how == "":
+        return found is not None
+    return {"=": found == value, "~=": value in found.split(), "|=": found == value or found.startswith(value + "-"), "^=": bool(value) and found.startswith(value), "$=": bool(value) and found.endswith(value), "*=": bool(value) and value in found}[how]
+
+
+class Rule(NamedTuple):
+    """A selector, from the element up: compounds, and whether each next one is the parent itself; and what it decides by property."""
+
+    compounds: tuple[Compound, ...]
+    child: tuple[bool, ...]
+    decisions: dict[str, Decision]
+
+
+_PART = re.compile(r"""([.#]?(?:[\w-]|[^\x00-\x7f])+|\*)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))\s*)?\]""")
+
+
+def selected(selector: str) -> tuple[tuple[Compound, ...], tuple[bool, ...], tuple[int, int, int]] | None:
+    """A selector's compounds from the element up, where the next one up is its parent, and its weight. None for what no page shows by itself (states, siblings)."""
+    compounds, child, weight = [], [], [0, 0, 0]
+    tokens = re.findall(r"""\s*>\s*|\s+|(?:\[(?:"[^"]*"|'[^']*'|[^\]"'])*\]|[^\s>\[])+""", selector.strip())
+    if len(tokens) % 2 == 0:
+        return None
+    for k, token in enumerate(tokens):
+        if k % 2:
+            child.append(">" in token)
+            continue
+        names, attributes, at = set(), [], 0
+        while at < len(token):
+            m = _PART.match(token, at)
+            if not m or (m[1] and m[1][0] not in ".#" and at):  # also :hover, ::before, + and ~
+                return None
+            if m[2]:
+                attributes.append((m[2].lower(), m[3] or "", next((x for x in m.group(4, 5, 6) if x is not None), "")))
+                weight[1] += 1
+            elif m[1] != "*":
+                names.add(m[1].lower())
+                weight["#.".find(m[1][0]) if m[1][0] in "#." else 2] += 1
+            at = m.end()
+        compounds.append(Compound(frozenset(names), tuple(attributes)))
+    return tuple(reversed(compounds)), tuple(reversed(child)), tuple(weight)
+
+
+class Sheet:
+    """A page's own rules on what shows, and, as the page is walked through, where the elements are open that they ask for above an element."""
+
+    def __init__(self, text: str):
+        self.by_key: dict[str, list[Rule]] = {}
+        self.above: dict[str, list[Compound]] = {}
+        self.open: dict[Compound, list[int]] = {}
+        for order, (selectors, body, layered) in enumerate(rules(re.sub(r"/\*.*?\*/", "", text, flags=re.DOTALL))):
+            found = declared(body)
+            for one in selectors.split(",") if found else ():
+                if parts := selected(one):
+                    compounds, child, weight = parts
+                    self.by_key.setdefault(compounds[0].key(), []).append(Rule(compounds, child, {name: ((important, layered == important, weight, order), hide) for name, (important, hide) in found.items()}))
+                    for c in compounds[1:]:
+                        if c not in self.open:
+                            self.open[c] = []
+                            self.above.setdefault(c.key(), []).append(c)
+
+    def enter(self, e: Element, depth: int) -> list[Compound]:
+        """Notes that an element is open; what it returns is to be closed with `leave`."""
+        if not self.above:
+            return []
+        fit = [c for name in (*e.names, "*") for c in self.above.get(name, ()) if c.fits(e)]
+        for c in fit:
+            self.open[c].append(depth)
+        return fit
+
+    def leave(self, fit: list[Compound]) -> None:
+        for c in fit:
+            self.open[c].pop()
+
+    def decide(self, e: Element, depth: int) -> dict[str, Decision]:
+        """The decision that wins, by property."""
+        best: dict[str, Decision] = {}
+        for name in (*e.names, "*"):
+            for rule in self.by_key.get(name, ()):
+                if rule.compounds[0].fits(e) and self._stands(rule, 1, depth - 1):
+                    for prop, decision in rule.decisions.items():
+                        if prop not in best or decision[0] > best[prop][0]:
+                            best[prop] = decision
+        return best
+
+    def _stands(self, rule: Rule, k: int, depth: int) -> bool:
+        """Whether the compounds from the k-th on are open at this depth and above."""
+        if k == len(rule.compounds):
+            return True
+        places = self.open[rule.compounds[k]]
+        at = bisect_right(places, depth) - 1
+        if rule.child[k - 1]:
+            return at >= 0 and places[at] == depth and self._stands(rule, k + 1, depth - 1)
+        if True not in rule.child[k:]:  # the nearest is as good as any
+            return at >= 0 and self._stands(rule, k + 1, places[at] - 1)
+        return any(self._stands(rule, k + 1, places[i] - 1) for i in range(at, -1, -1))
+
+
+def styled(root: Element, sheet: Sheet) -> None:
+    """Sets `shown` (displayed at all) and `seen` (its own text is visible) of every element below what is not shown.
+
+    What is not displayed takes all below with it. Visibility is inherited, and may be undone below.
+    """
+    waiting: list[tuple[Element | None, Any]] = [(root, True)]
+    depth = 0
+    while waiting:
+        e, state = waiting.pop()
+        if e is None:
+            sheet.leave(state)
+            depth -= 1
+            continue
+        a = e.attrs
+        e.names = frozenset((e.tag, *("." + c.lower() for c in a.get("class", "").split()), *(["#" + a["id"].lower()] if a.get("id") else [])))
+        best = sheet.decide(e, depth) if sheet.by_key else {}
+        for name, (important, hide) in (declared(a["style"]) if "style" in a else {}).items():
+            if name not in best or important >= best[name][0][0]:
+                best[name] = (important,), hide
+        hidden = best["display"][1] if "display" in best else "hidden" in a
+        e.shown = not (e.tag in INVISIBLE or hidden or (e.tag == "dialog" and "open" not in a))
+        if e.shown:
+            own = best["visibility"][1] if "visibility" in best else None
+            e.seen = state if own is None else not own
+            waiting.append((None, sheet.enter(e, depth)))
+            depth += 1
+            waiting += [(c, e.seen) for c in reversed(e.children) if not isinstance(c, str)]
 
 
 def rules(sheet: str) -> Iterator[tuple[str, str, bool]]:
@@ -271,13 +405,14 @@ def applies(head: str) -> bool:
     return bool(media) and any(re.fullmatch(r"(?:(?:only\s+)?(?:screen|all))?", x.strip(), re.IGNORECASE) for x in media[1].split(","))
 
 
-def declared(style: str) -> dict[str, tuple[bool, bool]]:
+def declared(style: str) -> dict[str, tuple[bool, bool | None]]:
     """(important, hides) of each of PROPERTIES that the declarations set; the last counts, after important ones."""
     found: dict[str, tuple[bool, bool]] = {}
     for name, value, rest in re.findall(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)([^;]*)", style, re.IGNORECASE):
         name, important = name.lower(), bool(re.search(r"!\s*important\b", rest, re.IGNORECASE))
         if important or not found.get(name, (False,))[0]:
-            found[name] = important, value.lower() in (("none",) if name == "display" else ("hidden", "collapse"))
+            word = value.lower()
+            found[name] = important, word == "none" if name == "display" else None if word in ("inherit", "unset") else word in ("hidden", "collapse")
     return found
 
 
@@ -360,26 +495,11 @@ def carried_out(step: Step) -> Any:
 
 
 class Renderer:
-    def __init__(self, sheet: dict[str, dict[str, Decision]]):
-        self.sheet = sheet
+    def __init__(self) -> None:
         self.level = 0  # of indentation
 
     def visible(self, e: Element) -> bool:
-        a = e.attrs
-        if e.tag in INVISIBLE or "hidden" in a or (e.tag == "dialog" and "open" not in a):
-            return False
-        own = declared(a["style"]) if "style" in a else {}
-        if not self.sheet:
-            return not any(hide for _, hide in own.values())
-        names = {e.tag, "#" + a.get("id", "").lower(), *("." + c.lower() for c in a.get("class", "").split())}
-        for name in PROPERTIES:
-            here = self.sheet.get(name, {})
-            best = max((here[x] for x in names if x in here), default=None)
-            if name in own and (best is None or own[name][0] >= best[0][0]):
-                best = own[name]
-            if best is not None and best[1]:
-                return False
-        return True
+        return e.shown
 
     def render(self, e: Element) -> Step:
         """The lines of an element."""
@@ -401,7 +521,7 @@ class Renderer:
         shut = e.tag == "details" and "open" not in e.attrs
         for c in e.children:
             if isinstance(c, str):
-                if not shut:
+                if not shut and e.seen:
                     out.text(c, keep)
             elif self.visible(c) and not (shut and c.tag != "summary"):
                 yield self._element(c, out, keep)
@@ -411,7 +531,7 @@ class Renderer:
         if tag == "br":
             out.newline()
         elif tag == "input":
-            if e.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") and e.attrs.get("value"):
+            if e.seen and e.attrs.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") and e.attrs.get("value"):
                 out.text(f" {e.attrs['value']} ", False)
         elif tag == "select":
             options = self._options(e)
@@ -459,7 +579,7 @@ class Renderer:
         number, step = _number(e.attrs.get("start"), 1), -1 if "reversed" in e.attrs else 1
         for c in e.children:
             if isinstance(c, str):
-                if c.strip():
+                if c.strip() and e.seen:
                     lines.append(" ".join(c.split()))
                 continue
             if not self.visible(c):
@@ -479,9 +599,10 @@ class Renderer:
                     lines += yield self.render(c)
                 continue
             number = _number(c.attrs.get("value"), number)
-            mark = f"{number}. " if e.tag == "ol" else "- "
+            mark = f"{counted(number, e.attrs.get('type', '1'))}. " if e.tag == "ol" else "- "
             number += step
-            lines += yield self._indented(c, mark)
+            own = yield self._indented(c, mark if c.seen else " " * len(mark))
+            lines += own if c.seen or any(x.strip() for x in own) else []
         return lines
 
     def _table(self, e: Element) -> Step:
@@ -494,13 +615,13 @@ class Renderer:
                     rows += [c] if c.tag == "tr" else [r for r in c.children if isinstance(r, Element) and r.tag == "tr" and self.visible(r)]
         for c in e.children:  # captions, and what does not belong into a table, come before it
             if isinstance(c, str):
-                before += [" ".join(c.split())] if c.strip() else []
+                before += [" ".join(c.split())] if c.strip() and e.seen else []
             elif c.tag not in SECTIONS and c.tag != "tr" and self.visible(c):
                 before += yield self.render(c)
             elif c.tag != "tr" and self.visible(c):
                 for x in c.children:
                     if isinstance(x, str):
-                        before += [" ".join(x.split())] if x.strip() else []
+                        before += [" ".join(x.split())] if x.strip() and c.seen else []
                     elif x.tag != "tr" and self.visible(x):
                         before += yield self.render(x)
         grid: list[list[tuple[int, int, list[str]]]] = []
@@ -510,7 +631,7 @@ class Renderer:
             x, k, cells, down = 0, 0, [], []
             for c in r.children:
                 if isinstance(c, str):
-                    if c.strip():
+                    if c.strip() and r.seen:
                         before.append(" ".join(c.split()))
                     continue
                 if not self.visible(c):
@@ -555,6 +676,23 @@ def _number(text: str | None, default: int) -> int:
     return int(text) if text and re.fullmatch(r"-?[0-9]{1,9}", text.strip()) else default
 
 
+def counted(n: int, kind: str) -> str:
+    """A list item's number as the list's type writes it: 1, a, A, i or I; others, and numbers that letters cannot write, in digits."""
+    if kind in ("a", "A") and n > 0:
+        letters = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            letters = chr(ord(kind) + k) + letters
+        return letters
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+        return out.upper() if kind == "I" else out
+    return str(n)
+
+
 def columns(text: str) -> int:
     """Columns that a text takes: wide characters take two, combining ones none."""
     if text.isascii():
@@ -565,8 +703,7 @@ def columns(text: str) -> int:
 def visible_text(html: str | None) -> str:
     if not html:
         return ""
-    root, sheet = parse(html)
-    return "\n".join(carried_out(Renderer(sheet).render(root)))
+    return "\n".join(carried_out(Renderer().render(parse(html))))
 
 
 def title_of(html: str | None) -> str | None:
