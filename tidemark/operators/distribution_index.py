@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from .running import running_sums
 
 #: Distinct values of a page, at least; and pages of an index at most.
@@ -112,6 +113,7 @@ def lookups(index: Index, asked: DataFrame) -> DataFrame:
     low, upto: reference values below the key, and up to it; below: the nearest of them; value: what holds the rank;
     area: the integral of counts up to the key or to the value; total: reference values of the name.
     """
+    ship(asked.sparkSession)
     fences = _Fences(index.fences.orderBy("page").collect())  # MAX_PAGES rows at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,10 @@
-"""Alert delivery: a JSON-lines file and a webhook. A failed delivery never fails the run."""
+"""Alert delivery: a JSON-lines file and a webhook. A failed delivery never fails the run.
+
+What is to be sent is recorded before it is tried, and each alert's outcome after. Alerts of a block go out together: lines
+for the file in one append, posts to the webhook by tasks, each with its delivery's id as idempotency key, so that a
+task that is run again sends nothing that the receiver takes for new. The file is looked through for ids that are there
+already only where a delivery was tried before, once for all of them.
+"""
 
 from __future__ import annotations
 
@@ -8,12 +14,18 @@ import os
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+import pyarrow as pa
+
 from ..functions.canonical import canonical_json
+from ..functions.shipping import ship
 from .store import IdempotencyConflict, StorageError, Store
 
+#: Posts that are under way at once, at most.
+SENDERS = 16
 Sender = Callable[[str, bytes, Mapping[str, str], float], int]
 
 
@@ -64,50 +76,93 @@ class AlertDelivery:
         fresh = {own: {"delivery_id": own, "run_id": run_id, "channel": c, "payload": text, "status": "pending", "attempts": 0, "error": None, "created_at": now, "updated_at": now} for own, (run_id, c, text) in asked.items() if own not in known}
         self.store.put("deliveries", *fresh.values())
         records = {own: (known | fresh)[own] for own in asked}
-        tried = {own: self._tried(r, send[r["channel"]]) for own, r in records.items() if r["status"] != "succeeded"}
+        waiting = [r for r in records.values() if r["status"] != "succeeded"]
+        tried = {}
+        for channel, deliver in send.items():
+            own = [r for r in waiting if r["channel"] == channel]
+            if own:
+                tried |= {r["delivery_id"]: self._tried(r, *outcome) for r, outcome in zip(own, deliver(own, known), strict=True)}
         self.store.put("deliveries", *tried.values())
         return [tried.get(own, r) for own, r in records.items()]
 
-    def _tried(self, record: dict[str, Any], send: Callable[[str, str], int]) -> dict[str, Any]:
-        attempts, error = record["attempts"], None
+    def _tried(self, record: dict[str, Any], attempts: int, error: str | None) -> dict[str, Any]:
+        return record | {"status": "failed" if error else "succeeded", "attempts": record["attempts"] + attempts, "error": error, "updated_at": self.clock()}
+
+    def _to_file(self, records: list[dict[str, Any]], known: Mapping[str, Any]) -> list[tuple[int, str | None]]:
+        """Attempts and error of each record."""
+        path = self.config["jsonl_path"]
         try:
-            attempts += send(record["delivery_id"], record["payload"])
+            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+            again = {r["delivery_id"] for r in records} & known.keys()
+            there, whole = _ids_in(path, again) if os.path.exists(path) else (set(), True)
+            lines = [canonical_json({"delivery_id": r["delivery_id"], **json.loads(r["payload"])}) + "\n" for r in records if r["delivery_id"] not in there]
+            if lines:
+                with open(path, "a", encoding="utf-8") as f:
+                    f.write(("" if whole else "\n") + "".join(lines))
+                    f.flush()
+                    os.fsync(f.fileno())
+            return [(1, None)] * len(records)
         except Exception as e:  # noqa: BLE001  whatever it is, the run stands
-            attempts += getattr(e, "attempts", 1)
-            error = safe_error(e)
-        return record | {"status": "failed" if error else "succeeded", "attempts": attempts, "error": error, "updated_at": self.clock()}
+            return [(1, safe_error(e))] * len(records)
 
-    def _to_file(self, own: str, text: str) -> int:
-        path = self.config["jsonl_path"]
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                if any(line.strip() and json.loads(line).get("delivery_id") == own for line in f):
-                    return 1
-        with open(path, "a", encoding="utf-8") as f:
-            f.write(canonical_json({"delivery_id": own, **json.loads(text)}) + "\n")
-            f.flush()
-            os.fsync(f.fileno())
-        return 1
-
-    def _to_webhook(self, own: str, text: str) -> int:
+    def _to_webhook(self, records: list[dict[str, Any]], known: Mapping[str, Any]) -> list[tuple[int, str | None]]:
+        """Attempts and error of each record. Posts are sent by tasks; a sender that was given instead stays with the driver."""
         url = self.environment.get(self.config["webhook_url_env"])
-        if not url:
-            raise StorageError("the webhook's environment variable is not set")
-        check_url(url)
-        headers = {"Content-Type": "application/json", "Idempotency-Key": own}
-        for attempt in range(1, self.config["max_attempts"] + 1):
-            try:
-                status = self.sender(url, text.encode(), headers, self.config["timeout_seconds"])
-                if 200 <= status < 300:
-                    return attempt
-                failure: Exception = StorageError(f"the webhook answered {status}")
-            except Exception as e:  # noqa: BLE001
-                failure = e
-            if attempt < self.config["max_attempts"]:
-                self.sleep(min(2 ** (attempt - 1), 5))
-        failure.attempts = self.config["max_attempts"]  # type: ignore[attr-defined]
-        raise failure
+        most, timeout = self.config["max_attempts"], self.config["timeout_seconds"]
+        try:
+            if not url:
+                raise StorageError("the webhook's environment variable is not set")
+            check_url(url)
+        except (ValueError, StorageError) as e:
+            return [(1, safe_error(e))] * len(records)
+        if self.sender is not post:
+            with ThreadPoolExecutor(min(len(records), SENDERS)) as pool:
+                return list(pool.map(lambda r: sent(r["delivery_id"], r["payload"], url, self.sender, most, timeout, self.sleep), records))
+        spark = self.store.spark
+        ship(spark)
+        rows = spark.createDataFrame([(k, r["delivery_id"], r["payload"]) for k, r in enumerate(records)], "place long, id string, payload string")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [sent(i, text, url, post, most, timeout, time.sleep) for i, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a for a, _ in found], pa.int64()), pa.array([e for _, e in found], pa.string())], ["place", "attempts", "error"])
+
+        found = rows.repartition(min(len(records), SENDERS)).mapInArrow(run, "place long, attempts long, error string").collect()  # a row per alert of a block
+        return [(r["attempts"], r["error"]) for r in sorted(found, key=lambda r: r["place"])]
+
+
+def _ids_in(path: str, wanted: set[str]) -> tuple[set[str], bool]:
+    """Those of the ids that lines of a file have, and whether the file ends with a whole line. A line that a crash cut short counts as none."""
+    there: set[str] = set()
+    with open(path, "rb") as f:
+        if wanted:
+            for line in f:
+                try:
+                    there.add(json.loads(line).get("delivery_id") if line.strip() else None)
+                except ValueError:
+                    continue
+        size = f.seek(0, os.SEEK_END)
+        if not size:
+            return set(), True
+        f.seek(size - 1)
+        return there & wanted, f.read(1) == b"\n"
+
+
+def sent(own: str, text: str, url: str, sender: Sender, most: int, timeout: float, sleep: Callable[[float], None]) -> tuple[int, str | None]:
+    """Attempts, and the last one's error if all failed."""
+    headers = {"Content-Type": "application/json", "Idempotency-Key": own}
+    error = None
+    for attempt in range(1, most + 1):
+        try:
+            status = sender(url, text.encode(), headers, timeout)
+            if 200 <= status < 300:
+                return attempt, None
+            error = safe_error(StorageError(f"the webhook answered {status}"))
+        except Exception as e:  # noqa: BLE001
+            error = safe_error(e)
+        if attempt < most:
+            sleep(min(2 ** (attempt - 1), 5))
+    return most, error
 
 
 def safe_error(e: Exception) -> str:
