@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from .common import ship, table
+from .common import ship, table, takes_turn
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 #: Words, and stretches between spaces, that a worker remembers at most; then it begins anew.
@@ -298,6 +298,7 @@ _DECODERS: dict[str, Decoder] = {}
 
 def tokenizer(file: str = TOKENIZER_FILE) -> ByteBPE:
     """This worker's tokenizer."""
+    takes_turn("bpe_trie", _TOKENIZERS.clear)
     if file not in _TOKENIZERS:
         _TOKENIZERS[file] = ByteBPE(file)
         gc.freeze()  # the vocabulary stays; the collector need not go through it again

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import io
-import os
+import ctypes
 import uuid
-import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,45 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import shared_folder
-
-#: Applications that have the package.
-_SHIPPED: set[str] = set()
-PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..functions.shipping import ship
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import the package: on this machine from where the driver did, on a cluster from an archive that Spark hands out."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local" and context.applicationId not in _SHIPPED:
-        _SHIPPED.add(context.applicationId)
-        archive = io.BytesIO()
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-            package = os.path.join(PACKAGE_ROOT, __name__.split(".")[0])
-            for folder, _, names in os.walk(package):
-                for name in names:
-                    if name.endswith(".py"):
-                        out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), PACKAGE_ROOT))
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark-package-{uuid.uuid4().hex}.zip")
-        stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
-        try:
-            stream.write(archive.getvalue())
-        finally:
-            stream.close()
-        context.addPyFile(path.toString())
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; on this machine alone one of our own where it is unset, on a cluster an error."""
-    return shared_folder(spark)
-
-
 class Scratch:
     """Tables written under the shared folder: they cut lineage and survive lost executors.
 
@@ -64,7 +29,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -110,6 +75,25 @@ class HashCache(dict):
         return value
 
 
+#: By operator, what gives back the memory that its tasks leave in a worker for those that follow; and whose turn it is.
+_GIVE_BACK: dict[str, Callable[[], None]] = {}
+_TURN: list[str] = [""]
+
+
+def takes_turn(operator: str, give_back: Callable[[], None] | None = None) -> None:
+    """To be called as a task begins: Spark keeps workers from stage to stage, and what another operator remembers, and what allocators keep of earlier tasks, would be held beside what this one needs."""
+    if give_back:
+        _GIVE_BACK[operator] = give_back
+    if _TURN[0] != operator:
+        _TURN[0] = operator
+        for name, f in _GIVE_BACK.items():
+            if name != operator:
+                f()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values (xor-shift and multiply rounds)."""
     x = x.astype(np.uint64, copy=True)

@@ -20,7 +20,7 @@ fill a partition, adaptive execution splits the join.
 Defined results: a null text is the empty text: one token, the end; rows that repeat are scored each;
 null doc_ids are a group for the split like any other (crc32 of the empty text); an empty table gives
 an empty result; with no training documents c, N and V are zero and the pieces keep their first
-weights; other columns are not read.
+weights; texts of any length are read whole, each by one task; other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ task. The table of sources is broadcast only when its counted rows are few.
 Defined results: a null text has size 0; the null source ranks last, the empty one first; sources of
 size 0 have target 0 (as their cap); rows that repeat id and text share a hash, and where the cut falls
 among them as many are taken as come nearest (which of them is arbitrary, so if they differ in other
-columns, `mix` may take one or the other); null ids are told apart by their texts; an empty table gives
-an empty result; `mix` keeps all other columns, whatever their names.
+columns, `mix` may take one or the other); null ids are told apart by their texts; texts of any length are
+counted whole; an empty table gives an empty result; `mix` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix64, ship, table
 from .components import components
-from .shingles import COORDINATES, identity, shingles, signature
+from .shingles import COORDINATES, begin, identity, shingles, signature
 
 #: A link, unless another similarity is asked for: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
@@ -87,6 +87,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for b in batches:
             n, ids, signs = [], [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
@@ -265,6 +266,7 @@ def _confirmed(similarity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, np.ndarray] = {}
         key = None
+        begin()
         for b in batches:
             texts = b.column(2).cast(pa.binary())
             for k, (unit, name) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
@@ -382,9 +384,9 @@ def keep_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     kept = link(docs, similarity).where("stays").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_id").alias("kept_text")).count()
     repeated = not kept.where("count > 1").isEmpty()
     # a row's own columns stay inside a struct, so that none can clash with what is joined
-    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text"), text_id(F.col("text")).alias("digest"))
+    packed = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").isNull().alias("none"), text_id(F.col("text")).alias("digest"))
     stay = packed.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_text")), "left_semi")
-    return (stay.dropDuplicates(["id", "text"]) if repeated else stay).select("row.*")
+    return (stay.dropDuplicates(["id", "none", "digest"]) if repeated else stay).select("row.*")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

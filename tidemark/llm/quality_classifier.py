@@ -7,7 +7,8 @@ every run; its statistics (sample_rows x 28 numbers) are all that reaches the dr
 Defined results: a null text is the empty text, and scores like it (its statistics are zeros); a
 null doc_id is a row like any other; repeated rows are scored each; ids whose labels disagree or
 are null are not learnt from; with no labels, or labels of one class, every score is the share of
-label 1 (0.5 with none); an empty table gives an empty result; other columns are not read.
+label 1 (0.5 with none); texts of any length are read whole, each by one task; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ conditions reject a document before any verdict.
 Defined results: a null text is the empty text: no words, so base_failed; ties of the posterior with
 the threshold keep the document; repeated rows and null ids are rows like any other; an empty table,
 and one of which no document passes the base conditions, has no posterior to learn: all posteriors are
-then those of the prior; other columns are not read.
+then those of the prior; texts of any length are counted whole, each by one task; other columns are not read.
 """
 
 from __future__ import annotations

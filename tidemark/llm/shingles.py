@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .common import HashCache, mix64
+from .common import HashCache, mix64, takes_turn
 
 #: Words in a shingle.
 WIDTH = 5
@@ -20,6 +20,11 @@ _ROWS = 2048
 _WORDS = HashCache()
 
 
+def begin() -> None:
+    """A task that takes shingles begins."""
+    takes_turn("shingles", _WORDS.clear)
+
+
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the 5-word shingles; a text of fewer words is one shingle, none without words.
 

@@ -22,6 +22,8 @@ import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer, normalizers, pre_tokenizers  # noqa: E402
 from xxhash import xxh3_128_digest  # noqa: E402
 
+from .common import takes_turn  # noqa: E402
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 #: Words that a worker remembers at most, by 128 bits of their hash; then it begins anew.
 CACHED_WORDS = 700_000
@@ -61,11 +63,14 @@ class Encoded(NamedTuple):
 class WordEncoder:
     def __init__(self, file: str = TOKENIZER_FILE):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        # for words that need neither normalising nor splitting
-        self.simple = Tokenizer.from_file(public_tokenizers.path(file))
+        # for words that need neither normalising nor splitting: the same model, and the same ids of added tokens, which follow its own
+        self.simple = Tokenizer(self.tokenizer.model)
+        self.simple.add_special_tokens([str(token) for _, token in sorted(self.tokenizer.get_added_tokens_decoder().items())])
         self.simple.normalizer = normalizers.Sequence([])
         self.simple.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.joint = self.tokenizer.token_to_id("<|endoftext|>")
+        if self.simple.token_to_id("<|endoftext|>") != self.joint:
+            raise ValueError(f"{file} numbers its added tokens otherwise")
         self._forget()
 
     def _forget(self) -> None:
@@ -188,6 +193,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 def encoder(file: str = TOKENIZER_FILE) -> WordEncoder:
     """This worker's encoder."""
+    takes_turn("token_ids", _ENCODERS.clear)
     if file not in _ENCODERS:
         _ENCODERS[file] = WordEncoder(file)
     return _ENCODERS[file]
