@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import queries
 
-WORDS = 300_000
+WORDS = 60_000
 
 
 @pytest.fixture(scope="module")
 def folder(spark, sf, tmp_path_factory):
     out = tmp_path_factory.mktemp("long")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    long = spark.createDataFrame([(10**9, "Word of the day, said again. " * (WORDS // 6), "en", "web", 0), (10**9 + 1, "z" * 2_000_000, "en", "web", 0)], docs.schema)
+    long = spark.createDataFrame([(10**9, "Word of the day, said again. " * (WORDS // 6), "en", "web", 0), (10**9 + 1, "z" * 50_000, "en", "web", 0)], docs.schema)
     docs.unionByName(long).write.parquet(str(out / "documents.parquet"))
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(str(out / f"{name}.parquet"))
