@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.distribution_index import Index, _table_name, sample_distances
+from tidemark.operators import distribution_index
+from tidemark.operators.distribution_index import Index, _table_name, lookups, sample_distances
 from tidemark.operators.twosample import cumulative, ks_wasserstein
 
 
@@ -100,3 +101,44 @@ def test_integrals_of_a_wide_range_stay_exact(spark, tmp_path):
     share = lambda of, x: sum(v <= x for v in of) / len(of)
     want = math.fsum(abs(share(values, a) - share(sample, a)) * (b - a) for a, b in zip(points, points[1:], strict=False))
     assert r.wasserstein == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize(("ask_rows", "few_pages"), [(3, 1_024), (3, 0), (4_096, 0)])
+def test_pages_that_many_samples_ask_are_answered_in_parts(spark, tmp_path, monkeypatch, ask_rows, few_pages):
+    """A Python task is handed ask_rows lookups of a page at a time, however many there are, and the results are the same."""
+    monkeypatch.setattr(distribution_index, "ASK_ROWS", ask_rows)
+    monkeypatch.setattr(distribution_index, "FEW_PAGES", few_pages)
+    rng = np.random.default_rng(5)
+    reference = [("a", float(v)) for v in rng.integers(0, 12, 40)] + [("b", float(v)) for v in rng.normal(size=20)]
+    samples = [(f"w{k}", name, float(v)) for k, name in enumerate("ab" * 6) for v in rng.integers(-2, 14, 9)]
+    index, _ = index_of(spark, tmp_path, reference)
+    frame = sample_distances(index, spark.createDataFrame(samples, "feature string, name string, v double"))
+    found, want = {r.feature: r for r in frame.collect()}, plainly(spark, reference, samples)
+    assert found.keys() == want.keys()
+    for f, w in want.items():
+        r = found[f]
+        assert (r.n_reference, r.n_current, r.ks, r.location, r.sign) == (w.n_reference, w.n_current, w.ks, w.location, w.sign), f
+        assert r.wasserstein == pytest.approx(w.wasserstein, rel=1e-12, abs=1e-12), f
+    asked = spark.createDataFrame([(f"w{k}", "a", 5.0, distribution_index.AT, 5.0, None) for k in range(200)], "feature string, name string, v double, kind int, key double, rank long")
+    met = lookups(index, asked)
+    assert len(met.collect()) == 200
+    assert 200 / ask_rows <= max(handed(met)) <= 200
+
+
+def handed(frame):
+    """Rows that each join of an executed plan gave."""
+    out = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if name.endswith("JoinExec"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(frame._jdf.queryExecution().executedPlan())
+    return out

@@ -10,7 +10,9 @@ of integrals between the sample's points, cut where the reference crosses the sa
 How it scales: a lookup finds its page among the pages' ends (`fences`), of which there are at most MAX_PAGES whatever
 the size of the reference (pages grow beyond), so they can be sent to every task. Lookups are then shuffled to the pages. The pages
 are a bucketed table and stay where they are: what is shuffled is in proportion to the samples' distinct values, the
-reference is read but not moved. Building shuffles the reference's distinct values once.
+reference is read but not moved. Building shuffles the reference's distinct values once. However many lookups
+meet in a page, a Python task is handed ASK_ROWS of them at a time; an index of a few pages goes to every task, and the
+lookups of a page are dealt over the tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ PAGE_ROWS = 1_024
 MAX_PAGES = 1 << 18
 #: Pages of one bucket, about, and buckets at most.
 BUCKET_PAGES, MAX_BUCKETS = 64, 2_048
+#: Lookups that are answered together, at most.
+ASK_ROWS = 4_096
+#: Pages of an index that is sent to every task, at most; the lookups of such an index are dealt over about as many shares.
+FEW_PAGES = 1_024
 
 _PAGES = "page int, n_before long, below double, v array<double>, upto array<long>, area array<double>"
 _FENCES = "page int, name string, first double, last double, n_before long, total long"
@@ -100,6 +106,9 @@ class _Fences:
             own = [r for r in rows if r["name"] == name]
             self.of[name] = (own[0]["page"], np.asarray([r["first"] for r in own]), np.asarray([r["n_before"] for r in own], np.int64), own[-1]["last"], own[0]["total"])
 
+    def __len__(self) -> int:
+        return sum(len(first) for _, first, *_ in self.of.values())
+
     def places(self, name: str, kind: int, key: np.ndarray) -> np.ndarray:
         """The pages of values, or of ranks from 1 on; -1 below all values."""
         base, first, before, _, _ = self.of[name]
@@ -148,9 +157,16 @@ def lookups(index: Index, asked: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _ANSWER.split(", ")])
 
     placed = asked.select("feature", "name", "v", "kind", F.coalesce("key", F.lit(0.0)).alias("key"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank")).mapInArrow(find, "feature string, v double, kind int, key double, rank long, page int, total long")
-    inside = placed.where("page >= 0").groupBy("page").agg(F.collect_list(F.struct("feature", "v", "kind", "key", "rank", "total")).alias("asked"))
+    few = len(fences) <= FEW_PAGES
+    share = F.pmod(F.xxhash64("feature", "v", "kind"), F.lit(max(1, FEW_PAGES // max(1, len(fences)))))
+    keys = ["page", "share"] if few else ["page"]
+    # numbered in their own task, so a page's lookups are cut without a count of them
+    ordered = placed.where("page >= 0").withColumn("share", share).repartition(*keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    inside = ordered.withColumn("part", F.floor(place / ASK_ROWS)).groupBy(*keys, "part").agg(F.collect_list(F.struct("feature", "v", "kind", "key", "rank", "total")).alias("asked"))
     # the pages are bucketed by page, so only what is asked is shuffled
-    met = inside.hint("merge").join(index.pages, "page").select("asked", "n_before", "below", "v", "upto", "area").mapInArrow(answer, _ANSWER)
+    joined = inside.join(F.broadcast(index.pages), "page") if few else inside.hint("merge").join(index.pages, "page")
+    met = joined.select("asked", "n_before", "below", "v", "upto", "area").mapInArrow(answer, _ANSWER)
     none = F.lit(None).cast("double")
     zero = F.lit(0).cast("long")
     outside = placed.where("page < 0").select("feature", "v", "kind", zero.alias("low"), zero.alias("upto"), none.alias("below"), none.alias("value"), F.lit(0.0).alias("area"), "total")
