@@ -52,3 +52,10 @@ def test_query(spark, con, name):
 def test_names_are_unique():
     with pytest.raises(ValueError):
         register(next(iter(QUERIES)))(lambda s, d: None)
+
+
+def test_payloads_are_parsed_in_one_place(spark, sf):
+    """The given payloads are validated once and read from there; a filter on why they are no events does not parse them again for every place that it names them."""
+    plan = QUERIES["event_payload_types"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") <= 2  # of the known payloads: one value, and no other beside it
+    assert "get_json_object" not in plan

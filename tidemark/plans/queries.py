@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..calibrate import summarize
 from ..functions.canonical import content_sums, is_finite, kind_of
-from ..functions.lineage import shared_folder
+from ..functions.lineage import cut, shared_folder
 from ..functions.tails import kolmogorov_tail
 from ..operators import cells, quality, twosample
 from ..operators import categorical as cat
@@ -513,9 +513,10 @@ def event_payload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("event_id"), "props", F.get_json_object("props", "$.k").alias("k"))
     rows = lambda features: validated(e.select("event_id", F.lit("2024-05-01T10:00:00Z").alias("occurred_at"), features.alias("features"), F.lit(None).cast("string").alias("prediction_json"), F.lit(None).cast("double").alias("score")))
     digest = payload_hash("event_id", "occurred_at", "features", "shape").alias("payload_sha256")
-    incoming = rows(F.expr(_payload_cases()))
+    # read three times from here on, and a filter on `reason` would parse the payloads once for every place that it names them
+    incoming = cut(rows(F.expr(_payload_cases())).select("event_id", digest, "reason", F.lit(1).alias("position")))
     known = rows(F.col("props")).select("event_id", digest)
-    told = classify(incoming.where("reason is null").select("event_id", digest, F.lit(1).alias("position")), known).select("event_id", "outcome")
+    told = classify(incoming.where("reason is null").drop("reason"), known).select("event_id", "outcome")
     both = told.unionByName(incoming.where("reason is not null").select("event_id", F.lit("rejected").alias("outcome")))
     return both.groupBy("outcome").agg(F.count("*").alias("n"), F.sum(F.col("event_id").cast("long")).alias("ids"))
 

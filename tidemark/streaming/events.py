@@ -107,6 +107,7 @@ def validated(rows: DataFrame) -> DataFrame:
     """Adds `reason`, why a row is no event, null where it is one; occurred_at in UTC, features as canonical JSON, and their `shape`.
 
     rows: event_id, occurred_at, features, prediction_json, score, and `problem` and `shape` where they are known already. Event ids are trimmed.
+    Cut the result before filtering on `reason`: Spark else moves the filter below, where payloads are parsed for every place that names them.
     """
     known = F.col("problem") if "problem" in rows.columns else F.lit(None).cast("string")
     v, p = F.col("_features"), F.col("_prediction")
